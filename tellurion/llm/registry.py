@@ -1,11 +1,13 @@
 """Queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from tellurion.llm import chat, mixing, packing
+from tellurion.llm import chat, langid, mixing, packing, quality
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op4_perspectives": chat.op4_perspectives,
     "op7_mixing": mixing.op7_mixing,
+    "op8_langid": langid.op8_langid,
+    "op10_quality": quality.op10_quality,
 }
 
 SQL = {"op4_perspectives": chat.OP4_SQL}
