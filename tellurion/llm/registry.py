@@ -1,13 +1,15 @@
 """Queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from tellurion.llm import chat, langid, mixing, packing, quality, scoring
+from tellurion.llm import chat, langid, linedup, mixing, neardup, packing, quality, scoring
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op4_perspectives": chat.op4_perspectives,
     "op5_scoring": scoring.op5_scoring,
+    "op6_neardup": neardup.op6_neardup,
     "op7_mixing": mixing.op7_mixing,
     "op8_langid": langid.op8_langid,
+    "op9_linedup": linedup.op9_linedup,
     "op10_quality": quality.op10_quality,
 }
 
