@@ -1,9 +1,11 @@
 """Queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from tellurion.llm import chat, langid, linedup, mixing, neardup, packing, quality, scoring
+from tellurion.llm import ann, chat, langid, linedup, mixing, neardup, packing, quality, scoring, substring
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_nearest": ann.op2_nearest,
+    "op3_substring": substring.op3_substring,
     "op4_perspectives": chat.op4_perspectives,
     "op5_scoring": scoring.op5_scoring,
     "op6_neardup": neardup.op6_neardup,
