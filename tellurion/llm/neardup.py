@@ -22,8 +22,8 @@ from tellurion.llm._util import cut, table
 
 WORDS, SIMILARITY = 5, 75
 #: Retained values. A pair of similarity 0.75 shares 48 of the 64 of its union on average, deviation 3.5; under
-#: ``SHARED`` it falls about once in ten million pairs.
-KEEP, SHARED = 64, 28
+#: ``SHARED`` it falls about twice in a million pairs that lie right at the bound.
+KEEP, SHARED = 64, 32
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,9 +94,9 @@ def _needed(n) -> F.Column:
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
     """``value, doc_id, n, weight`` of each class's rarest retained values, as many as leave no similar pair apart."""
-    posted = cut(classes.select(F.explode("sketch").alias("value"), "doc_id"))
+    posted = classes.select(F.explode("sketch").alias("value"), "doc_id")
     shared = posted.groupBy("value").agg(F.count("*").alias("df")).where(F.col("df") > 1)
-    met = spread_join(posted, shared, "value")
+    met = posted.join(shared, "value")  # a value comes once a class: it holds at most one of KEEP parts of the rows
     per = met.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"), F.sum("df").alias("weight"))
     per = per.join(classes.select("doc_id", "n"), "doc_id").withColumn("rare", F.size("held") - _needed(F.col("n")) + 1)
     return per.where(F.col("rare") > 0).select("doc_id", "n", "weight", F.explode(F.slice("held", F.lit(1), F.col("rare").cast("int"))["value"]).alias("value"))
@@ -143,10 +143,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(links).withColumnRenamed("node", "doc_id")
     placed = cut(spread_join(lists, found, "doc_id", how="left").withColumn("component", F.coalesce("component", "doc_id")))
     split = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
-    open_lists = cut(placed.join(split, "value", "left_semi").select("value", "doc_id", "n", "component"))
-    x = open_lists.select("value", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = open_lists.select("value", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fit("na", "nb")).select("a", "b").distinct()
+    still = placed.join(split, "value", "left_semi").select("value", "doc_id", "n", "component")
+    per = still.groupBy("doc_id", "n", "component").agg(F.array_sort(F.collect_list("value")).alias("values")).join(classes.select("doc_id", "sketch"), "doc_id")
+    open_lists = cut(per.select("*", F.posexplode("values").alias("at", "value")).withColumn("before", F.slice("values", F.lit(1), F.col("at"))).drop("values", "at"))
+    x, y = (open_lists.select("value", *(F.col(c).alias(s + c) for c in ("doc_id", "n", "component", "before", "sketch"))) for s in "xy")
+    # A pair is met in the first list that both are in, and only if the retained values leave it a chance.
+    across = (F.col("xdoc_id") < F.col("ydoc_id")) & (F.col("xcomponent") != F.col("ycomponent")) & (100 * F.least("xn", "yn") >= SIMILARITY * F.greatest("xn", "yn"))
+    first_met = ~F.arrays_overlap("xbefore", "ybefore")
+    chance = F.size(F.array_intersect("xsketch", "ysketch")) >= _needed(F.greatest("xn", "yn"))
+    rest = x.join(y, "value").where(across & first_met & chance).select(F.col("xdoc_id").alias("a"), F.col("ydoc_id").alias("b"))
     more = _confirmed(cut(rest.join(links, ["a", "b"], "left_anti")), classes, docs)
     named = components(links.unionByName(more)).withColumnRenamed("node", "rep") if not more.isEmpty() else found.withColumnRenamed("doc_id", "rep")
     groups = first.select("key", F.col("x.doc_id").alias("rep"), "copies").join(named, "rep", "left").where((F.col("copies") > 1) | F.col("component").isNotNull())
