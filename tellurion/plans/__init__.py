@@ -1,0 +1 @@
+"""Plans of the terrain and line analytics."""

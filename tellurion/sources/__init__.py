@@ -1,0 +1 @@
+"""Sources of the terrain and line analytics."""
