@@ -128,7 +128,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Words are lower-cased in A-Z only. Two documents are linked where the Jaccard coefficient of their sets
     is at least 0.75; a component is named by its smallest ``doc_id``, which is kept. Null, empty and
     wordless texts have an empty set and are linked with nothing; a text of under five words is one shingle.
-    Rows that repeat a ``doc_id`` are one document; a null ``doc_id`` is left out. Empty tables give no rows;
+    A repeated row gives a row each time, of one document (a ``doc_id`` has one text); a null ``doc_id`` is left
+    out. Empty tables give no rows;
     other columns are not read. Any text length: a document's own set is the most a task holds.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())

@@ -164,8 +164,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Words are runs of anything but ASCII white space, unchanged. A word goes if a window of 13 consecutive
     words over it also starts in a document with a smaller ``doc_id``; judged on the input. What is kept is
-    joined by single spaces. Null and empty texts have no words. Rows that repeat a ``doc_id`` are one
-    document and a null ``doc_id`` is left out; empty tables give no rows; other columns are not read.
+    joined by single spaces. Null and empty texts have no words. A repeated row gives a row each time, of one
+    document (a ``doc_id`` has one text); a null ``doc_id`` is left out; empty tables give no rows; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     whole = docs.join(repeated_spans(docs), "doc_id", "left").select("doc_id", F.col("text").cast("binary"), "spans")
