@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellurion.operators import evidence, grid
+from tellurion.operators import contours, evidence, grid, simplify, statistics
 from tellurion.sources.tables import points, vertices
 
 
@@ -53,7 +53,50 @@ def threshold_accounting(spark, sf_dir):
     return _rounded(evidence.accounting(spans, evidence.span_records(spans), 33), "correct_accept", "false_accept", "wrong_reject", "correct_reject", to=5)
 
 
-QUERIES = {f.__name__: f for f in (support_by_grade, raster_cells, raster_robust, coarse_support, span_records, promotion_by_line, threshold_accounting)}
+def contour_segments(spark, sf_dir):
+    cells = grid.support(_cells(spark, sf_dir).groupBy(*grid.CELL).agg(F.count("*").alias("n"), F.min("z").alias("z")))
+    s = contours.segments(cells, 1.0)
+    return _rounded(s.withColumn("grade", grid.grade(F.col("confidence"))), "x1", "y1", "x2", "y2")
+
+
+def support_rank_correlation(spark, sf_dir):
+    counted = _cells(spark, sf_dir).groupBy(*grid.CELL).agg(F.count("*").alias("n"), F.round(F.max("z") - F.min("z"), 3).alias("spread"))
+    return _rounded(statistics.rank_correlation(counted, "site", "n", "spread"), "rho")
+
+
+def promotion_interval(spark, sf_dir):
+    """A channel-wise share of spans promoted over all lines, with its interval, and the quartiles of lines' shares."""
+    per = promotion_by_line(spark, sf_dir)
+    share = F.try_divide(F.col("promoted"), F.col("spans"))
+    total = per.agg(F.sum("spans").alias("spans"), F.sum("promoted").alias("promoted"), F.percentile(share, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    low, high = statistics.wilson(F.col("promoted"), F.col("spans"))
+    out = total.select("spans", "promoted", low.alias("low"), high.alias("high"), *(F.get("q", F.lit(k)).alias(f"q{k + 1}") for k in range(3)))
+    return _rounded(out, "low", "high", "q1", "q2", "q3")
+
+
+def simplification_audit(spark, sf_dir):
+    """Per line at tolerance 20: edges, spans after simplification between gaps, and promoted spans."""
+    spans = simplify.spans(simplify.simplified(vertices(spark, sf_dir), 20.0))
+    judged = evidence.promotions(evidence.span_records(spans)).withColumn("edges", F.col("src_to") - F.col("src_from"))
+    return judged.groupBy("line_id").agg(F.sum("edges").alias("edges"), F.count("*").alias("spans"), F.count_if("promoted").alias("promoted"), F.max("promotion").alias("max_promotion"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        support_by_grade,
+        raster_cells,
+        raster_robust,
+        coarse_support,
+        span_records,
+        promotion_by_line,
+        threshold_accounting,
+        contour_segments,
+        support_rank_correlation,
+        promotion_interval,
+        simplification_audit,
+    )
+}
 
 _POINTS = """p AS (SELECT l_returnflag AS site, (l_partkey % 1000) / 10.0::DOUBLE AS x, (l_orderkey % 1000) / 10.0::DOUBLE AS y, l_tax FROM lineitem),
 c AS (SELECT site, CAST(least(99, floor(y)) AS INTEGER) AS "row", CAST(least(99, floor(x)) AS INTEGER) AS col,
@@ -90,4 +133,31 @@ SQL = {
         FROM s JOIN d ON s.line_id = d.line_id AND s.span = d.span)
         SELECT line_id, round(coalesce(sum(len) FILTER (passes AND says), 0), 5) AS correct_accept, round(coalesce(sum(len) FILTER (NOT passes AND says), 0), 5) AS false_accept,
         round(coalesce(sum(len) FILTER (passes AND NOT says), 0), 5) AS wrong_reject, round(coalesce(sum(len) FILTER (NOT passes AND NOT says), 0), 5) AS correct_reject FROM f GROUP BY line_id""",
+    "contour_segments": f"WITH {_POINTS}"
+    + """, r AS (SELECT site, "row", col, count(*) AS n, min(z) AS z FROM c GROUP BY ALL), t AS (SELECT site, quantile_cont(n, 0.5) AS target FROM r GROUP BY site),
+        s AS (SELECT site, "row", col, z, CAST(floor(100 * least(1.0::DOUBLE, n / target) * n / (n + 3) + 0.5) AS BIGINT) AS f FROM r JOIN t USING (site)),
+        b AS (SELECT a.site, a."row", a.col, a.z AS z0, b.z AS z1, d.z AS z2, e.z AS z3, least(a.f, b.f, d.f, e.f) AS confidence FROM s a
+          JOIN s b ON b.site = a.site AND b."row" = a."row" AND b.col = a.col + 1 JOIN s d ON d.site = a.site AND d."row" = a."row" + 1 AND d.col = a.col + 1
+          JOIN s e ON e.site = a.site AND e."row" = a."row" + 1 AND e.col = a.col),
+        l AS (SELECT *, unnest(range(CAST(floor(least(z0, z1, z2, z3)) AS BIGINT) + 1, CAST(floor(greatest(z0, z1, z2, z3)) AS BIGINT) + 1)) AS k FROM b),
+        v AS (SELECT *, k * 1.0::DOUBLE AS level FROM l),
+        e AS (SELECT *, list_filter([
+            {'x': col + 0.5::DOUBLE + (level - z0) / (z1 - z0), 'y': "row" + 0.5::DOUBLE, 'hit': (z0 >= level) <> (z1 >= level)},
+            {'x': col + 1.5::DOUBLE, 'y': "row" + 0.5::DOUBLE + (level - z1) / (z2 - z1), 'hit': (z1 >= level) <> (z2 >= level)},
+            {'x': col + 0.5::DOUBLE + (level - z3) / (z2 - z3), 'y': "row" + 1.5::DOUBLE, 'hit': (z3 >= level) <> (z2 >= level)},
+            {'x': col + 0.5::DOUBLE, 'y': "row" + 0.5::DOUBLE + (level - z0) / (z3 - z0), 'hit': (z0 >= level) <> (z3 >= level)}], lambda h: h.hit) AS e,
+          (CASE WHEN z0 + z2 - z1 - z3 = 0 THEN (z0 + z1 + z2 + z3) / 4 ELSE (z0 * z2 - z1 * z3) / (z0 + z2 - z1 - z3) END >= level) = (z0 >= level) AS joined FROM v),
+        o AS (SELECT site, level, "row", col, confidence, unnest(CASE WHEN len(e) = 2 THEN [{'p': e[1], 'q': e[2]}] WHEN joined THEN [{'p': e[1], 'q': e[2]}, {'p': e[3], 'q': e[4]}]
+          ELSE [{'p': e[1], 'q': e[4]}, {'p': e[2], 'q': e[3]}] END) AS g FROM e)
+        SELECT site, level, "row", col, confidence, round(g.p.x, 6) AS x1, round(g.p.y, 6) AS y1, round(g.q.x, 6) AS x2, round(g.q.y, 6) AS y2,
+          CASE WHEN confidence >= 66 THEN 'solid' WHEN confidence >= 33 THEN 'dashed' ELSE 'gap' END AS grade FROM o WHERE g.p.x <> g.q.x OR g.p.y <> g.q.y""",
+    "support_rank_correlation": f"""WITH {_POINTS}, r AS (SELECT site, count(*) AS n, round(max(z) - min(z), 3) AS spread FROM c GROUP BY site, "row", col),
+        k AS (SELECT site, rank() OVER (PARTITION BY site ORDER BY n) + (count(*) OVER (PARTITION BY site, n) - 1) / 2.0 AS a,
+          rank() OVER (PARTITION BY site ORDER BY spread) + (count(*) OVER (PARTITION BY site, spread) - 1) / 2.0 AS b FROM r)
+        SELECT site, count(*) AS n, round(corr(a, b), 6) AS rho FROM k GROUP BY site""",
+    "promotion_interval": f"""WITH {_SPANS}, o AS (SELECT line_id, count(*) AS spans, count(*) FILTER (m_end - m_min > 1e-12) AS promoted FROM d GROUP BY line_id),
+        h AS (SELECT CAST(sum(spans) AS BIGINT) AS n, CAST(sum(promoted) AS BIGINT) AS k, quantile_cont(promoted / spans, [0.25, 0.5, 0.75]) AS q, 1.959963984540054::DOUBLE AS z FROM o)
+        SELECT n AS spans, k AS promoted, round((k / n + z * z / (2 * n) - z * sqrt(k / n * (1 - k / n) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 6) AS low,
+          round((k / n + z * z / (2 * n) + z * sqrt(k / n * (1 - k / n) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 6) AS high,
+          round(q[1], 6) AS q1, round(q[2], 6) AS q2, round(q[3], 6) AS q3 FROM h""",
 }
