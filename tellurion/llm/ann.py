@@ -2,9 +2,11 @@
 
 Vectors are cut into halves, each quantised by its own k-means codebook; a pair of centroids is a cell. For a
 query the two lists of centroids, ordered by inner product with the query's halves, are traversed in order of
-their sum by a heap until the cells visited hold enough entries. Entries of visited cells are reranked by the
-exact inner product. Entries and queries of a cell meet in blocks, so neither a hot cell nor a popular one is
-one task's work.
+their sum by a heap until the cells hold enough vectors of the sample. Their best scores are a floor under the
+query's last neighbour, and a cell is passed over only if its bound (inner product with the centroids plus the
+query's norm times the cell's radius) lies under that floor, so the result is that of brute force. Entries of
+visited cells are ranked by the exact inner product. Entries lie in groups of cells or of parts of a hot cell,
+which queries meet in blocks, so neither a hot cell nor a popular one is one task's work.
 """
 
 from __future__ import annotations
@@ -15,17 +17,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tellurion.llm._util import cut, table
+from tellurion.llm._util import cut, join_small, table
 
 #: Vectors that the codebooks are fitted on, and centroids a half. Every row is indexed.
 SAMPLE, CENTROIDS, ROUNDS = 20_000, 16, 12
-#: Share of the entries that a query visits at least, and the least number.
-SHARE, LEAST = 0.2, 2_000
-#: Entries and queries of one cell that meet in a task.
-ENTRIES, QUERIES = 4_096, 512
+#: Vectors of the sample that a query is compared with for its floor. More only make the floor tighter.
+FLOOR = 2_000
+#: Entries and queries that meet in a task, and the queries scored at once there.
+ENTRIES, QUERIES, AT_ONCE = 4_096, 4_096, 128
 TOP = 20
 
 
@@ -76,25 +79,47 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def slack(width: int, size: np.ndarray) -> np.ndarray:
+    """More than rounding can move an inner product of vectors whose norms have the product ``size``."""
+    return 8 * (width + 8) * np.finfo(float).eps * size
+
+
 def _best(left: pd.DataFrame, right: pd.DataFrame, top: int) -> pd.DataFrame:
     """The ``top`` entries (right) of each query (left) of one block, the query's own row left out."""
     if left.empty or right.empty:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
     right = right.sort_values("vec_id")
-    ids, q, e = right["vec_id"].to_numpy(), np.stack(left["v"]), np.stack(right["v"])
-    score = np.zeros((len(q), len(e)))
-    for j in range(q.shape[1]):  # in one fixed order, so that equal vectors get equal scores
-        score += q[:, j, None] * e[None, :, j]
-    out = []
-    for query, row in zip(left["query_id"].to_numpy(), score, strict=True):
-        best = np.argsort(-row, kind="stable")[: top + 1]
-        best = best[ids[best] != query][:top]
-        out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": row[best]}))
+    queries, ids, q, e = left["query_id"].to_numpy(), right["vec_id"].to_numpy(), np.stack(left["v"]), np.stack(right["v"])
+    room, out = slack(q.shape[1], np.linalg.norm(q, axis=1) * np.linalg.norm(e, axis=1).max()), []
+    for at in range(0, len(q), AT_ONCE):
+        some = slice(at, at + AT_ONCE)
+        rough = q[some] @ e.T
+        rough[queries[some, None] == ids] = -np.inf
+        least = np.partition(rough, -top, axis=1)[:, -top] - room[some] if len(ids) > top else np.full(len(rough), -np.inf)
+        who, which = np.nonzero(~(rough < least[:, None]) & (queries[some, None] != ids))
+        score = np.zeros(len(who))
+        for j in range(q.shape[1]):  # in one fixed order, so that equal vectors get equal scores
+            score += q[at + who, j] * e[which, j]
+        order = np.lexsort((which, -score, who))
+        who, which, score = who[order], which[order], score[order]
+        good = np.arange(len(who)) - np.searchsorted(who, who) < top
+        out.append(pd.DataFrame({"query_id": queries[at + who[good]], "vec_id": ids[which[good]], "score": score[good]}))
     return pd.concat(out)
 
 
+def grouped(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First group and number of groups of each cell: small cells in turn share one of about ``ENTRIES`` entries."""
+    first, parts, at, held = np.zeros(len(counts), np.int64), np.maximum(1, -(-counts // ENTRIES)), 0, 0
+    for c, n in enumerate(counts.tolist()):
+        if held and held + n > ENTRIES:
+            at, held = at + 1, 0
+        first[c] = at
+        at, held = (at + parts[c], 0) if parts[c] > 1 else (at, held + n)
+    return first, parts
+
+
 def search(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
-    """``query_id, rank, vec_id, score``: of each query row of ``vectors(vec_id, embedding)`` its ``top`` nearest found.
+    """``query_id, rank, vec_id, score``: of each query row of ``vectors(vec_id, embedding)`` its ``top`` nearest.
 
     Nearness is the inner product in double precision of the original vectors; ties go to the smaller
     ``vec_id``. Null and zero vectors, and those with a null or non-finite number or another length than most
@@ -104,50 +129,65 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
     """
     spark = vectors.sparkSession
     fine = cut(usable(vectors))
-    sample = fine.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+    sample = fine.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()  # SAMPLE rows
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not len(sample):
         return empty
-    lengths = sample.value_lengths().to_numpy()
+    lengths = pc.list_value_length(sample["v"]).to_numpy()
     width = int(np.bincount(lengths).argmax())
-    x = _matrix(sample.filter(pa.array(lengths == width)))
+    sample = sample.filter(pa.array(lengths == width))
+    x, known = _matrix(sample["v"].combine_chunks()), sample["vec_id"].to_numpy()
     half = max(1, width // 2)
-    books = spark.sparkContext.broadcast((codebook(x[:, :half], CENTROIDS), codebook(x[:, half:], CENTROIDS)))  # CENTROIDS rows each
+    one, two = codebook(x[:, :half], CENTROIDS), codebook(x[:, half:], CENTROIDS)
+    books = spark.sparkContext.broadcast((one, two))  # CENTROIDS rows each
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = books.value
         for b in batches:
             if b.num_rows:
                 m = _matrix(b.column(1))
-                cell = nearest(m[:, :half], one) * len(two) + nearest(m[:, half:], two)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32))], names=["vec_id", "v", "cell"])
-
-    index = cut(fine.where(F.size("v") == width).mapInArrow(place, "vec_id long, v array<double>, cell int"))
-    per = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most CENTROIDS squared
-    one, two = books.value
-    counts = np.zeros((len(one), len(two)), np.int64)
-    counts.flat[list(per)] = list(per.values())
-    enough = max(LEAST, int(SHARE * counts.sum()))
+                i, j = nearest(m[:, :half], one), nearest(m[:, half:], two)
+                far = np.hypot(np.linalg.norm(m[:, :half] - one[i], axis=1), np.linalg.norm(m[:, half:] - two[j], axis=1))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array((i * len(two) + j).astype(np.int32)), pa.array(far)], names=["vec_id", "v", "cell", "far"])
+
+    index = cut(fine.where(F.size("v") == width).mapInArrow(place, "vec_id long, v array<double>, cell int, far double"))
+    counts, radius = np.zeros(len(one) * len(two), np.int64), np.zeros(len(one) * len(two))
+    for r in index.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # at most CENTROIDS squared
+        counts[r["cell"]], radius[r["cell"]] = r["n"], r["far"]
+    first, parts = grouped(counts)
+    cell = nearest(x[:, :half], one) * len(two) + nearest(x[:, half:], two)
+    order = np.argsort(cell, kind="stable")
+    starts = np.searchsorted(cell[order], np.arange(len(counts) + 1))
+    shared = spark.sparkContext.broadcast((x[order], known[order], starts))  # SAMPLE rows
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = books.value
+        x, known, starts = shared.value
+        sampled = np.diff(starts).reshape(len(one), len(two))
+        members = [range(f, f + p) if n else range(0) for f, p, n in zip(first.tolist(), parts.tolist(), counts.tolist(), strict=True)]
+        reach = np.hypot(np.linalg.norm(one, axis=1)[:, None], np.linalg.norm(two, axis=1)[None]).ravel() + radius
+
+        def groups(own: int, q: np.ndarray, r: np.ndarray, s: np.ndarray) -> list[int]:
+            rows = np.concatenate([np.arange(starts[c], starts[c + 1]) for c in traverse(r, s, sampled, FLOOR)])
+            rows = rows[known[rows] != own]
+            floor = np.partition(x[rows] @ q, -top)[-top] if len(rows) >= top else -np.inf
+            norm = np.linalg.norm(q)
+            bound = (r[:, None] + s[None]).ravel() + norm * radius + slack(width, norm * reach)
+            return sorted({g for c in np.nonzero(~(bound < floor))[0].tolist() for g in members[c]})
+
         for b in batches:
             if b.num_rows:
                 m = _matrix(b.column(1))
-                cells = [traverse(r, s, counts, enough) for r, s in zip(m[:, :half] @ one.T, m[:, half:] @ two.T, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int32()))], names=["query_id", "v", "cells"])
-
-    visits = cut(index.where(is_query).select("vec_id", "v").mapInArrow(visit, "query_id long, v array<double>, cells array<int>").select("query_id", "v", F.explode("cells").alias("cell")))
-    asked = visits.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).alias("q_blocks"))
-    blocks = F.broadcast(index.groupBy("cell").agg(F.ceil(F.count("*") / ENTRIES).alias("e_blocks")).join(asked, "cell"))  # at most CENTROIDS squared rows
-
-    def numbered(df: DataFrame, own: str, other: str, key: str) -> DataFrame:
-        met = df.join(blocks, "cell").withColumn(own[0], F.pmod(F.xxhash64(key), F.col(own)))
-        return met.withColumn(other[0], F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).select("cell", "e", "q", key, "v")
-
-    entries, queries = numbered(index, "e_blocks", "q_blocks", "vec_id"), numbered(visits, "q_blocks", "e_blocks", "query_id")
-    keys = ["cell", "e", "q"]
-    found = queries.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(lambda left, right: _best(left, right, top), "query_id long, vec_id long, score double")
+                met = [groups(*row) for row in zip(b.column(0).to_pylist(), m, m[:, :half] @ one.T, m[:, half:] @ two.T, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(met, pa.list_(pa.int64()))], names=["query_id", "v", "met"])
+
+    visits = cut(index.where(is_query).select("vec_id", "v").mapInArrow(visit, "query_id long, v array<double>, met array<long>").select("query_id", "v", F.explode("met").alias("g")))
+    asked = cut(visits.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).alias("blocks")))  # a row a group
+    cells = spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in np.nonzero(counts)[0].tolist()], "cell int, first long, parts long")  # at most CENTROIDS squared
+    entries = index.join(F.broadcast(cells), "cell").select("vec_id", "v", (F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts")).alias("g"))
+    entries = join_small(entries, asked, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("q"), "vec_id", "v")
+    queries = join_small(visits, asked, "g").select("g", F.pmod(F.xxhash64("query_id"), "blocks").alias("q"), "query_id", "v")
+    found = queries.groupBy("g", "q").cogroup(entries.groupBy("g", "q")).applyInPandas(lambda left, right: _best(left, right, top), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

@@ -97,6 +97,24 @@ def test_nearest(spark):
         assert found == [i for i in np.lexsort((np.arange(200), -score)).tolist() if i != q][:20]
 
 
+def test_nearest_is_whole_on_a_larger_table(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(12_000, 32))
+    v[9000:] += 3 * rng.normal(size=(10, 32))[rng.integers(10, size=3000)]  # a part lies in clusters, the rest everywhere
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[150:200] = v[100]
+    got = defaultdict(list)
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    for r in ann.search(table, ann.F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert sorted(got) == list(range(0, 12_000, 100))
+    for q, found in got.items():
+        score = np.zeros(len(v))
+        for j in range(32):
+            score += v[q, j] * v[:, j]
+        assert found == [i for i in np.lexsort((np.arange(len(v)), -score)).tolist() if i != q][:20]
+
+
 def test_packing_is_whole(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
