@@ -26,6 +26,7 @@ WORDS, SIMILARITY = 5, 75
 KEEP, SHARED = 64, 32
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_TOP = np.uint64(1 << 63)
 
 
 class _WordHashes(dict):
@@ -73,12 +74,13 @@ def _mapped(docs: DataFrame, schema: str, row, kinds: list) -> DataFrame:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, key, sketch``: set size, a digest of the full set, and its ``KEEP`` smallest hashes."""
+    """``doc_id, n, key, sketch``: set size, a digest of the full set, and its ``KEEP`` smallest hashes, with the top
+    bit flipped so that they have the same order as signed longs."""
 
     def row(x: np.ndarray) -> tuple:
         from xxhash import xxh3_128_digest
 
-        return len(x), xxh3_128_digest(x.tobytes()), x[:KEEP].view(np.int64)
+        return len(x), xxh3_128_digest(x.tobytes()), (x[:KEEP] ^ _TOP).view(np.int64)
 
     return _mapped(docs, "doc_id long, n long, key binary, sketch array<long>", row, [pa.int64(), pa.binary(), pa.list_(pa.int64())])
 

@@ -50,6 +50,19 @@ def test_near_duplicates(docs):
     assert got == {i: (len(s), root(i), root(i) == i) for i, s in enumerate(sets)}
 
 
+def test_near_duplicates_of_short_texts_held_in_longer_ones(spark):
+    """Pairs of 64 to 160 shingles, one set within the other, at a similarity of 0.75 to 0.8."""
+    rng, rows, want = np.random.default_rng(8), [], {}
+    for i in range(600):
+        size = int(rng.integers(86, 161))
+        part = int(rng.integers(-(-75 * size // 100), 80 * size // 100 + 1))
+        words = [f"p{i}w{k}" for k in range(size + 4)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: part + 4]))]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_substring(docs):
     seen, want = set(), {}
     for i, t in enumerate(_texts()):
