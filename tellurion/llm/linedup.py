@@ -1,9 +1,10 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share a rare line are found through line hashes. Each later document is aligned with the first
-holder of each such line by patience diff: lines unique in both sides anchor the alignment in the order of
-their longest increasing run, and equal neighbours of an anchor extend it. Aligned common blocks go from the
-later document. A line's first holder is never later than another holder, so one copy of all text stays.
+Documents that share a rare line or a run of lines are found through hashes. Each later document is aligned
+with the first holder of each such line or run by patience diff: equal heads and tails are aligned, lines unique
+in both sides anchor the rest in the order of their longest increasing run, and the gaps between anchors are
+aligned likewise; a gap without anchors is cut at its longest common block. Aligned common blocks go from the
+later document. A first holder is never later than another holder, so one copy of all text stays.
 """
 
 from __future__ import annotations
@@ -18,12 +19,16 @@ from pyspark.sql import functions as F
 
 from tellurion.llm._joins import spread_join
 from tellurion.llm._util import cut, table
+from tellurion.llm.neardup import _stirred as stirred
 
 #: A rare line has so many words: with fewer, chance and layout repeat it. How many documents hold it sets no
 #: limit, as each holder is paired with the first one only.
 RARE_WORDS = 6
-#: A common block is deleted from so many words on.
+#: A common block is deleted from so many words on. Runs of lines of so many words in sum, however short each
+#: line, find documents too: a block that is equal in both sides holds the run from its first line on.
 BLOCK_WORDS = 12
+_ODD = 0x9E3779B97F4A7C15
+_BACK = pow(_ODD, -1, 1 << 64)
 
 
 def line_table(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -34,14 +39,30 @@ def line_table(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.array([xxh64_intdigest(b" ".join(x)) | 1 if x else 0 for x in lines], np.uint64).view(np.int64), np.array([len(x) for x in lines], np.int32)
 
 
-def patience_blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Half-open ranges of ``b`` that a patience diff aligns with equal lines of ``a``."""
-    va, ia, ca = np.unique(a, return_index=True, return_counts=True)
-    vb, ib, cb = np.unique(b, return_index=True, return_counts=True)
-    shared, xa, xb = np.intersect1d(va[ca == 1], vb[cb == 1], assume_unique=True, return_indices=True)
-    pa_, pb = ia[ca == 1][xa][shared != 0], ib[cb == 1][xb][shared != 0]
-    order = np.argsort(pb)
-    pa_, pb = pa_[order].tolist(), pb[order].tolist()
+class _Spans:
+    """Hashes of ranges of lines: equal ranges have equal hashes."""
+
+    def __init__(self, lines: np.ndarray):
+        powers, self.back = (np.concatenate([[np.uint64(1)], np.full(len(lines), x, np.uint64)]).cumprod(dtype=np.uint64) for x in (_ODD, _BACK))
+        self.sums = np.concatenate([[np.uint64(0)], (lines.view(np.uint64) * powers[:-1]).cumsum(dtype=np.uint64)])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return stirred((self.sums[ends] - self.sums[starts]) * self.back[starts])
+
+
+def run_keys(lines: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Distinct hashes of the lines of ``RARE_WORDS``, and of the shortest runs of ``BLOCK_WORDS`` in sum from each line with a word on."""
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    starts = np.nonzero(words)[0]
+    ends = np.searchsorted(total, total[starts] + BLOCK_WORDS)
+    starts, ends = starts[ends <= len(lines)], ends[ends <= len(lines)]
+    several = (ends - starts > 1) | (words[starts] < RARE_WORDS)
+    runs = _Spans(lines).of(starts[several], ends[several]).view(np.int64)
+    return np.unique(np.concatenate([lines[words >= RARE_WORDS], runs]))
+
+
+def _increasing(pa_: list[int], pb: list[int]) -> list[tuple[int, int]]:
+    """The longest run of pairs that increases in both sides; ``pb`` is in order."""
     tails, at, back = [], [], [-1] * len(pb)
     for k, x in enumerate(pa_):
         j = bisect_left(tails, x)
@@ -51,32 +72,75 @@ def patience_blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     while k >= 0:
         anchors.append((pa_[k], pb[k]))
         k = back[k]
-    anchors.reverse()
-    blocks, la, lb = [], 0, 0
-    for x, y in anchors:
-        if y < lb:
-            continue
-        s, t = x, y
-        while s > la and t > lb and a[s - 1] == b[t - 1]:
-            s, t = s - 1, t - 1
-        e, f = x + 1, y + 1
-        while e < len(a) and f < len(b) and a[e] == b[f]:  # the next anchor, unique on both sides, is met on both or neither
-            e, f = e + 1, f + 1
-        if blocks and blocks[-1][1] == t:
-            blocks[-1] = (blocks[-1][0], f)
+    return anchors[::-1]
+
+
+def _longest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Starts in ``a`` and ``b`` and length of a longest common block whose first line has a word."""
+    sa, sb, best = _Spans(a), _Spans(b), (0, 0, 0)
+    fa, fb, lo, hi = np.nonzero(a)[0], np.nonzero(b)[0], 1, min(len(a), len(b))
+    while lo <= hi:
+        n = (lo + hi) // 2
+        ia, ib = fa[fa + n <= len(a)], fb[fb + n <= len(b)]
+        _, xa, xb = np.intersect1d(sa.of(ia, ia + n), sb.of(ib, ib + n), return_indices=True)
+        same = next(((int(ia[i]), int(ib[j])) for i, j in zip(xa, xb, strict=True) if np.array_equal(a[ia[i] : ia[i] + n], b[ib[j] : ib[j] + n])), None)
+        if same:
+            best, lo = (*same, n), n + 1
         else:
-            blocks.append((t, f))
-        la, lb = e, f
-    return blocks
+            hi = n - 1
+    return best
+
+
+def _agreeing(same: np.ndarray) -> int:
+    """How many are true before the first that isn't."""
+    return len(same) if same.all() else int(same.argmin())
+
+
+def patience_blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Half-open ranges of ``b`` that a patience diff aligns with equal lines of ``a``."""
+    met, gaps = np.zeros(len(b) + 2, np.int8), [(0, len(a), 0, len(b))]
+    while gaps:
+        la, ha, lb, hb = gaps.pop()
+        n = min(ha - la, hb - lb)
+        n = _agreeing(a[la : la + n] == b[lb : lb + n])
+        met[lb + 1 : lb + n + 1] = 1
+        la, lb = la + n, lb + n
+        n = min(ha - la, hb - lb)
+        n = _agreeing(a[ha - n : ha][::-1] == b[hb - n : hb][::-1])
+        met[hb - n + 1 : hb + 1] = 1
+        ha, hb = ha - n, hb - n
+        if la == ha or lb == hb:
+            continue
+        va, ia, ca = np.unique(a[la:ha], return_index=True, return_counts=True)
+        vb, ib, cb = np.unique(b[lb:hb], return_index=True, return_counts=True)
+        shared, xa, xb = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
+        xa, xb = xa[shared != 0], xb[shared != 0]
+        if not len(xa):
+            continue
+        once = (ca[xa] == 1) & (cb[xb] == 1)
+        pa_, pb = la + ia[xa[once]], lb + ib[xb[once]]
+        order = np.argsort(pb)
+        cuts = [(x, y, 1) for x, y in _increasing(pa_[order].tolist(), pb[order].tolist())]
+        if not cuts:
+            x, y, n = _longest(a[la:ha], b[lb:hb])
+            cuts = [(la + x, lb + y, n)]
+        for x, y, n in cuts:
+            met[y + 1 : y + n + 1] = 1
+            gaps.append((la, x, lb, y))
+            la, lb = x + n, y + n
+        gaps.append((la, ha, lb, hb))
+    step = np.diff(met)
+    return list(zip(np.nonzero(step == 1)[0].tolist(), np.nonzero(step == -1)[0].tolist(), strict=True))
 
 
 def _tables(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [line_table(t.as_py() or b"") for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "lines", "words"])
+            arrays = [pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([run_keys(*r) for r in rows], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=["doc_id", "lines", "words", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, lines array<long>, words array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, lines array<long>, words array<int>, keys array<long>")
 
 
 def _aligned(pairs: DataFrame) -> DataFrame:
@@ -99,11 +163,10 @@ def _aligned(pairs: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, gone``: a document's lines with a word, and the numbers (from 0) of those to delete."""
-    lined = cut(_tables(docs))
-    at = lined.select("doc_id", F.explode(F.arrays_zip("lines", "words")).alias("x")).where(F.col("x.words") >= RARE_WORDS)
-    held = cut(at.select(F.col("x.lines").alias("line"), "doc_id").distinct())
-    firsts = held.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("line", "first")
-    pairs = cut(spread_join(held, firsts, "line").where("first < doc_id").select("doc_id", "first").distinct())
+    tables = cut(_tables(docs))
+    held, lined = cut(tables.select(F.explode("keys").alias("key"), "doc_id")), tables.drop("keys")
+    firsts = held.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
+    pairs = cut(spread_join(held, firsts, "key").where("first < doc_id").select("doc_id", "first").distinct())
     with_first = cut(spread_join(pairs, lined.select(F.col("doc_id").alias("first"), F.col("lines").alias("first_lines")), "first"))
     deleted = _aligned(spread_join(with_first, lined, "doc_id")).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
     count = F.size(F.filter("words", lambda w: w > 0)).cast("long")
@@ -113,8 +176,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` less its repeated blocks, ``n_lines`` and ``n_removed``.
 
-    A block of lines common with an earlier document (by ``doc_id``) is deleted from 12 words on, wherever a
-    line of at least 6 words is common with its first holder; lines are compared with white space folded.
+    A block of lines common with an earlier document (by ``doc_id``) is deleted from 12 words on, as far as it
+    is aligned with the first holder of one of its lines of at least 6 words or of a run of its lines of 12
+    words in sum; lines are compared with white space folded.
     Judged on the input, so the result doesn't depend on order. ``doc_id`` is unique and not null: rows with
     a null one stay as they are, repeated ones are one document for the comparison. Null text stays null,
     empty text empty; a text of any length is one row; empty tables give none. Columns named ``n_lines`` and

@@ -92,6 +92,30 @@ def test_line_dedup(spark):
     assert got[3]["text"] is None and got[4]["text"] == "" and got[5]["text"] == "end"
 
 
+def test_patience_blocks_without_unique_lines():
+    twice = np.array([1, 2, 3, 1, 2, 3])
+    assert linedup.patience_blocks(twice, twice) == [(0, 6)]  # no anchor: heads
+    assert linedup.patience_blocks(np.array([7, *twice, 8]), np.array([9, *twice, 6])) == [(1, 7)]  # no anchor, no head: the longest block
+    assert linedup.patience_blocks(np.array([1, 4, 5, 2, 4, 5, 3]), np.array([1, 9, 4, 5, 8, 2, 3])) == [(0, 1), (2, 4), (5, 7)]  # twice held, once in its gap
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a, b = rng.integers(0, 6, rng.integers(0, 15)), rng.integers(0, 6, rng.integers(0, 15))
+        blocks = linedup.patience_blocks(a, b)
+        assert all(s < e for s, e in blocks) and all(x[1] < y[0] for x, y in zip(blocks, blocks[1:], strict=False))
+        lines = iter(a.tolist())
+        assert all(x in lines for s, e in blocks for x in b[s:e].tolist())  # a common subsequence
+        assert linedup.patience_blocks(a, a) == ([(0, len(a))] if len(a) else [])
+
+
+def test_line_dedup_of_short_lines(spark):
+    verse = [f"short line {i}" for i in range(8)]
+    rows = [(1, "\n".join(["own start", *verse, "own end"])), (2, "\n".join(["other start", *verse[:5], "other end"])), (3, "\n".join(verse[:3]))]
+    double = "\n".join([f"a line with rather more words {i}" for i in range(4)] * 2)
+    rows += [(4, double), (5, double), (6, "\n".join(["before", *double.split("\n"), "after"]))]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("other start\nother end", 5), 3: (rows[2][1], 0), 4: (double, 0), 5: ("", 8), 6: ("before\nafter", 8)}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(200, 8)).astype(np.float32)
