@@ -9,8 +9,11 @@ need no padding; those transitions have one possible ``i`` each and are looked u
 
 from __future__ import annotations
 
+import re
+import struct
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,26 +35,74 @@ WORD_STRIDE = 32
 BLOCK_TOKENS = 1 << 20
 
 
-class WordIds(dict):
-    """UTF-8 word -> its ids as little-endian uint32 bytes. White space never lies inside a token, so a
-    text's ids are those of its words in turn; frequent words are encoded once."""
+def _byte_letters() -> dict[int, str]:
+    """Latin-1 letters as the byte-level alphabet writes their two UTF-8 bytes: bytes without a glyph follow 255 in order."""
+    bare = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+    glyph = {b: chr(256 + bare.index(b)) if b in bare else chr(b) for b in range(256)}
+    return {c: "".join(glyph[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+class _Kept(dict):
+    """A dictionary that fills itself by ``make``. Once it holds ``LIMIT`` keys, those not met again since the last such change of generation are forgotten."""
 
     LIMIT, LONG = 400_000, 64
 
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.LONG:
+            if len(self) >= self.LIMIT:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class WordIds:
+    """Ids of texts as little-endian uint32 bytes; frequent words and pieces are encoded once.
+
+    White space never lies inside a token and the tokenizer cuts a text into pieces first, so a text's ids are
+    those of its words, and a word's those of its pieces, in turn. Texts of ASCII and Latin-1 letters are cut
+    here by the tokenizer's own rule, which leaves only the byte-pair merges to do; the words of other texts go
+    through the whole tokenizer.
+    """
+
+    LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+    PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
+    OTHER = re.compile("[^\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
+    BYTES = _byte_letters()
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_file(path)
+        merge, cut = tokenizer.model.tokenize, self.PIECE.findall
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= self.LONG:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[word] = ids
-        return ids
+        def packed(ids: list[int]) -> bytes:
+            return struct.pack(f"<{len(ids)}I", *ids)
+
+        pieces = _Kept(lambda x: packed([t.id for t in merge(x if x.isascii() else x.translate(self.BYTES))]))
+        self.plain = _Kept(lambda word: b"".join(map(pieces.__getitem__, cut(word))))
+        self.any = _Kept(lambda word: packed(tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids))
+
+    def lines(self, text: bytes) -> list[bytes]:
+        """The ids of each line."""
+        plain = text.decode("utf-8", "replace")
+        lines, find = (text, self.any) if self.OTHER.search(plain) else (plain.lower(), self.plain)
+        return [b"".join(map(find.__getitem__, line.split())) for line in lines.split(b"\n" if lines is text else "\n")]
+
+
+@lru_cache(1)
+def _word_ids(path: str) -> WordIds:
+    """One a Python worker, so that a task finds the words of the tasks before it encoded."""
+    return WordIds(path)
 
 
+@lru_cache(1)
 def _ending_ids(path: str) -> tuple[np.ndarray, np.ndarray]:
     """Boolean tables by id: the token ends a word; the token ends a sentence."""
     from tokenizers import Tokenizer
@@ -120,7 +171,7 @@ def candidates(ids: np.ndarray, lines: np.ndarray, docs: np.ndarray, word: np.nd
 
 class _Packer:
     def __init__(self, path: str, width: int, partition: int):
-        self.words, (self.word_end, self.sentence_end) = WordIds(path), _ending_ids(path)
+        self.words, (self.word_end, self.sentence_end) = _word_ids(path), _ending_ids(path)
         self.width, self.next_id = width, partition << 33
         self.clear()
 
@@ -131,8 +182,7 @@ class _Packer:
         self.size = 0
 
     def add(self, doc_id, text: bytes) -> None:
-        find = self.words.__getitem__
-        parts = [b"".join(map(find, line.split())) for line in text.split(b"\n")]
+        parts = self.words.lines(text)
         ids = np.frombuffer(b"".join(parts), "<u4")
         ids = np.append(ids, np.uint32(EOD))
         ends = np.cumsum([len(x) >> 2 for x in parts])
