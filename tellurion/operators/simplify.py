@@ -1,57 +1,148 @@
-"""Line simplification between gaps, and the spans that its retained vertices make of the edges."""
+"""Line simplification between gaps, and the spans that its retained vertices make of the edges.
+
+Lines are dealt by ``line_id`` and lie in order in their task, which every window over the line then uses as well.
+What Spark's functions cannot say, the recursive choice of vertices, is done by numpy over all stretches of a batch
+at once, chord by chord of one level.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from tellurion.operators.evidence import in_line
-
-
-def retained(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
-    """Which vertices stay: both ends and, of every stretch, the first that lies farthest from its chord's line
-    if that is farther than ``tolerance``. A chord without length measures the distance to its point."""
-    keep = np.zeros(len(x), bool)
-    keep[[0, -1]] = True
-    open_ = [(0, len(x) - 1)]
-    while open_:
-        a, b = open_.pop()
-        if b - a < 2:
-            continue
-        dx, dy = x[b] - x[a], y[b] - y[a]
-        px, py = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
-        long = np.hypot(dx, dy)
-        far = np.abs(px * dy - py * dx) / long if long > 0 else np.hypot(px, py)
-        k = int(far.argmax())
-        if far[k] > tolerance:
-            keep[a + 1 + k] = True
-            open_ += [(a, a + 1 + k), (a + 1 + k, b)]
-    return keep
+from tellurion.operators.evidence import in_line, length
 
+#: Rows of a batch that are handed to numpy, at least; a line's open stretch is carried into the next.
+ROWS = 1 << 16
 
-def simplified(vertices: DataFrame, tolerance: float) -> DataFrame:
-    """Supported vertices with ``run``, their stretch between gaps, and ``keep``.
 
-    Each stretch is simplified by itself, so no segment bridges an unsupported vertex. Windows and groups are
-    all by line: one shuffle, and a task's group is one stretch of one line.
+def retained(x: np.ndarray, y: np.ndarray, fixed: np.ndarray, tolerance: float, clamped: bool = False) -> np.ndarray:
+    """Which vertices stay: those ``fixed``, of which the first and last are one each, and between two neighbours
+    of them, again and again, the first that lies farthest from the chord if that is farther than ``tolerance``.
+
+    Distances are to the chord's line, or ``clamped`` to the chord itself; a chord without length is a point.
     """
+    keep, at = fixed.copy(), np.nonzero(fixed)[0]
+    a, b = at[:-1], at[1:]
+    while len(a := a[wide := b - a >= 2]):
+        b = b[wide]
+        inner = b - a - 1
+        first = np.cumsum(inner) - inner
+        of = np.repeat(np.arange(len(a)), inner)
+        k = np.arange(len(of)) - first[of] + a[of] + 1
+        dx, dy, px, py = (x[b] - x[a])[of], (y[b] - y[a])[of], x[k] - x[a][of], y[k] - y[a][of]
+        square = dx * dx + dy * dy
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if clamped:
+                t = np.where(square > 0, np.clip((px * dx + py * dy) / square, 0, 1), 0)
+                far = np.hypot(px - t * dx, py - t * dy)
+            else:
+                far = np.where(square > 0, np.abs(px * dy - py * dx) / np.sqrt(square), np.hypot(px, py))
+        most = np.maximum.reduceat(far, first)
+        split = np.minimum.reduceat(np.where(far == most[of], k, len(x)), first)
+        more = most > tolerance
+        a, b, split = a[more], b[more], split[more]
+        keep[split] = True
+        a, b = np.concatenate([a, split]), np.concatenate([split, b])
+    return keep
+
+
+def stretches(vertices: DataFrame) -> DataFrame:
+    """Supported vertices with ``run``, their stretch between gaps: vertices of provenance ``U`` and breaks in ``seq``."""
     gaps = F.sum(F.when(F.col("prov") == "U", 1).otherwise(0)).over(in_line())
-    placed = vertices.withColumn("run", gaps).where(F.col("prov") != "U")
+    return vertices.withColumn("run", gaps).where(F.col("prov") != "U")
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        return group.assign(keep=retained(group["x"].to_numpy(float), group["y"].to_numpy(float), tolerance))
 
-    return placed.groupBy("line_id", "run").applyInPandas(one, StructType([*placed.schema.fields, StructField("keep", BooleanType())]))
+def thinned(placed: DataFrame, tolerance: float, methods: dict[str, Column | None], clamped: bool = False) -> DataFrame:
+    """``placed(line_id, run, seq, x, y, ...)`` with a boolean column a method: whether it retains the vertex.
 
+    The ends of every stretch (``line_id, run``) are retained, and the vertices where the method's column is
+    true: so no chord crosses a gap or a forced vertex. Coordinates must not be null. An empty table gives no
+    rows, a vertex alone is retained. A task holds the batch and the stretch that is open at its end.
+    """
+    marked = placed.select(*placed.columns, *((F.lit(False) if m is None else F.coalesce(m, F.lit(False))).alias(f"__{k}") for k, m in enumerate(methods.values())))
+    schema = StructType([*placed.schema.fields, *(StructField(m, BooleanType()) for m in methods)])
+    given, made = placed.columns, list(methods)
+    keys = [given.index(c) for c in ("line_id", "run", "x", "y")]
 
-def spans(kept: DataFrame) -> DataFrame:
-    """The edges within stretches with ``span``, the number of retained vertices up to their start in the line."""
+    def keeps(t: pa.Table) -> pa.Table:
+        line, run, x, y = (t.column(k).to_numpy() for k in keys)
+        new = np.concatenate([[True], (line[1:] != line[:-1]) | (run[1:] != run[:-1])])
+        last = np.append(new[1:], True)
+        found = []
+        for k in range(len(made)):
+            fixed = t.column(len(given) + k).to_numpy().astype(bool) | new | last
+            # The end of one stretch and the start of the next are neighbours, so no chord lies between them.
+            found.append(pa.array(retained(x.astype(float), y.astype(float), fixed, tolerance, clamped)))
+        return pa.Table.from_arrays([*t.columns[: len(given)], *found], names=[*given, *made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if held.num_rows >= ROWS:
+                line, runs = (held.column(k).to_numpy() for k in keys[:2])
+                open_ = np.nonzero((line != line[-1]) | (runs != runs[-1]))[0]
+                if len(open_):
+                    cut = int(open_[-1]) + 1
+                    yield from keeps(held.slice(0, cut).combine_chunks()).to_batches()
+                    held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield from keeps(held.combine_chunks()).to_batches()
+
+    return marked.repartition("line_id").sortWithinPartitions("line_id", "seq").mapInArrow(run, schema)
+
+
+def simplified(vertices: DataFrame, tolerance: float) -> DataFrame:
+    """Supported vertices with ``run``, their stretch between gaps, and ``keep``."""
+    return thinned(stretches(vertices), tolerance, {"keep": None})
+
+
+def edges_within(kept: DataFrame, *methods: str) -> DataFrame:
+    """The edges within stretches, and a column a method: the number of vertices it retains up to the edge's start in
+    the line, which names the span that replaces the edge."""
     in_run = Window.partitionBy("line_id", "run").orderBy("seq")
-    e = kept.withColumn("span", F.count_if("keep").over(in_line()))
+    e = kept.withColumns({m: F.count_if(m).over(in_line()) for m in methods})
     e = e.withColumns({f"{c}2": F.lead(c).over(in_run) for c in ("x", "y", "prov", "m", "i")}).where(F.col("prov2").isNotNull())
-    length = F.sqrt(F.pow(F.col("x2") - F.col("x"), 2) + F.pow(F.col("y2") - F.col("y"), 2))
-    return e.select("line_id", "seq", "span", length.alias("len"), F.when(F.col("prov") == F.col("prov2"), F.col("prov")).otherwise("X").alias("prov"), F.least("m", "m2").alias("m"), F.least("i", "i2").alias("i"))
+    prov = F.when(F.col("prov") == F.col("prov2"), F.col("prov")).otherwise("X")
+    return e.select("line_id", "run", "seq", *methods, length().alias("len"), prov.alias("prov"), F.least("m", "m2").alias("m"), F.least("i", "i2").alias("i"))
+
+
+def spans(kept: DataFrame) -> DataFrame:
+    return edges_within(kept.withColumnRenamed("keep", "span"), "span").drop("run")
+
+
+# -- where lines must be cut ---------------------------------------------------------------------------------
+
+
+def band(value: Column) -> Column:
+    """Support band of an edge's channel: 2 from 66 on, 1 from 33 on, 0 below, - without a value."""
+    return F.when(value.isNull(), "-").when(value >= 66, "2").when(value >= 33, "1").otherwise("0")
+
+
+def binned(value: Column, width: float) -> Column:
+    """A channel's value in bins of ``width``; of width 0, the value itself."""
+    return F.coalesce((value if width == 0 else F.floor(value / width)).cast("string"), F.lit("-"))
+
+
+def edge_class(prov: Column, m: Column, i: Column, kind: str, width: float = 0) -> Column:
+    """Class of an edge: its provenance (``kind`` prov), with the ``band`` or the ``bin`` of both its channels."""
+    if kind == "prov":
+        return prov
+    of = band if kind == "band" else lambda v: binned(v, width)
+    return F.concat_ws("|", prov, of(m), of(i))
+
+
+def with_boundaries(placed: DataFrame, kinds: dict[str, tuple]) -> DataFrame:
+    """``placed`` with a boolean column a kind ``(name, bin width)``: whether the vertex parts two edges of its stretch of another class."""
+    in_run = Window.partitionBy("line_id", "run").orderBy("seq")
+    after = {c: F.lead(c).over(in_run) for c in ("prov", "m", "i")}
+    joined = F.when(F.col("prov") == after["prov"], F.col("prov")).when(after["prov"].isNotNull(), F.lit("X"))
+    e = placed.withColumns({"__p": joined, "__m": F.least("m", after["m"]), "__i": F.least("i", after["i"])})
+    e = e.withColumns({f"__{n}": F.when(F.col("__p").isNotNull(), edge_class(F.col("__p"), F.col("__m"), F.col("__i"), *k)) for n, k in kinds.items()})
+    return e.select(*placed.columns, *(F.coalesce(F.col(f"__{n}") != F.lag(f"__{n}").over(in_run), F.lit(False)).alias(n) for n in kinds))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellurion.operators import contours, evidence, grid, simplify, statistics
+from tellurion.operators import contours, evidence, grid, statistics
+from tellurion.plans import records
 from tellurion.sources.tables import points, vertices
 
 
@@ -40,7 +41,7 @@ def _spans(spark, sf_dir):
 
 
 def span_records(spark, sf_dir):
-    return _rounded(evidence.span_records(_spans(spark, sf_dir)), "len", "m_mean", "m_ge66", "m_ge33", to=5)
+    return _rounded(evidence.span_records(_spans(spark, sf_dir)).drop("prov_end"), "len", "m_mean", "m_ge66", "m_ge33", to=5)
 
 
 def promotion_by_line(spark, sf_dir):
@@ -50,7 +51,7 @@ def promotion_by_line(spark, sf_dir):
 
 def threshold_accounting(spark, sf_dir):
     spans = _spans(spark, sf_dir)
-    return _rounded(evidence.accounting(spans, evidence.span_records(spans), 33), "correct_accept", "false_accept", "wrong_reject", "correct_reject", to=5)
+    return _rounded(evidence.accounting(spans, 33), "correct_accept", "false_accept", "wrong_reject", "correct_reject", to=5)
 
 
 def contour_segments(spark, sf_dir):
@@ -74,14 +75,7 @@ def promotion_interval(spark, sf_dir):
     return _rounded(out, "low", "high", "q1", "q2", "q3")
 
 
-def simplification_audit(spark, sf_dir):
-    """Per line at tolerance 20: edges, spans after simplification between gaps, and promoted spans."""
-    spans = simplify.spans(simplify.simplified(vertices(spark, sf_dir), 20.0))
-    judged = evidence.promotions(evidence.span_records(spans)).withColumn("edges", F.col("src_to") - F.col("src_from"))
-    return judged.groupBy("line_id").agg(F.sum("edges").alias("edges"), F.count("*").alias("spans"), F.count_if("promoted").alias("promoted"), F.max("promotion").alias("max_promotion"))
-
-
-QUERIES = {
+QUERIES = records.QUERIES | {
     f.__name__: f
     for f in (
         support_by_grade,
@@ -94,7 +88,6 @@ QUERIES = {
         contour_segments,
         support_rank_correlation,
         promotion_interval,
-        simplification_audit,
     )
 }
 
@@ -103,10 +96,7 @@ c AS (SELECT site, CAST(least(99, floor(y)) AS INTEGER) AS "row", CAST(least(99,
              0.08::DOUBLE * x + 0.06::DOUBLE * y + 5 * l_tax AS z FROM p)"""
 _SUPPORT = f"""{_POINTS}, r AS (SELECT site, "row", col, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT site, quantile_cont(n, 0.5) AS target FROM r GROUP BY site),
 s AS (SELECT r.*, CAST(floor(100 * least(1.0::DOUBLE, n / target) * n / (n + 3) + 0.5) AS BIGINT) AS confidence FROM r JOIN t USING (site))"""
-_SPANS = """v AS (SELECT user_id AS line_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, epoch_us(ts) / 3.6e9::DOUBLE AS x, value AS y,
-  CASE WHEN event_type IN ('purchase', 'signup') THEN 'M' WHEN event_type = 'view' THEN 'I' WHEN event_type = 'click' THEN 'X' ELSE 'U' END AS prov,
-  CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events),
-w AS (SELECT *, CASE WHEN prov IN ('M', 'X') THEN k END AS m, CASE WHEN prov IN ('I', 'X') THEN k END AS i FROM v),
+_SPANS = records.VERTICES + """,
 n AS (SELECT *, lead(x) OVER q AS x2, lead(y) OVER q AS y2, lead(prov) OVER q AS prov2, lead(m) OVER q AS m2, lead(i) OVER q AS i2 FROM w WINDOW q AS (PARTITION BY line_id ORDER BY seq)),
 e AS (SELECT line_id, seq, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS len, CASE WHEN prov = prov2 THEN prov ELSE 'X' END AS prov, least(m, m2) AS m, least(i, i2) AS i
       FROM n WHERE prov <> 'U' AND prov2 <> 'U'),
@@ -114,9 +104,9 @@ g AS (SELECT *, CASE WHEN seq - lag(seq) OVER (PARTITION BY line_id ORDER BY seq
 s AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY line_id ORDER BY seq) AS BIGINT) AS span FROM g),
 a AS (SELECT line_id, span, min(seq) AS src_from, max(seq) + 1 AS src_to, sum(len) AS len, array_to_string(list_sort(list(DISTINCT prov)), '|') AS prov, min(m) AS m_min, min(i) AS i_min,
   sum(m * len) / sum(len) FILTER (m IS NOT NULL) AS m_mean, coalesce(sum(len) FILTER (m >= 66), 0) / sum(len) FILTER (m IS NOT NULL) AS m_ge66,
-  coalesce(sum(len) FILTER (m >= 33), 0) / sum(len) FILTER (m IS NOT NULL) AS m_ge33, arg_min({'m': m, 'i': i}, seq) AS fst, arg_max({'m': m, 'i': i}, seq) AS lst FROM s GROUP BY line_id, span),
+  coalesce(sum(len) FILTER (m >= 33), 0) / sum(len) FILTER (m IS NOT NULL) AS m_ge33, arg_min({'m': m, 'i': i, 'prov': prov}, seq) AS fst, arg_max({'m': m, 'i': i, 'prov': prov}, seq) AS lst FROM s GROUP BY line_id, span),
 d AS (SELECT * EXCLUDE (fst, lst), least(fst.m, lst.m) AS m_end, least(fst.i, lst.i) AS i_end FROM a)"""
-SQL = {
+SQL = records.SQL | {
     "support_by_grade": f"""WITH {_SUPPORT} SELECT site, CASE WHEN confidence >= 66 THEN 'solid' WHEN confidence >= 33 THEN 'dashed' ELSE 'gap' END AS grade, count(*) AS cells,
         CAST(sum(n) AS BIGINT) AS returns, round(avg(confidence), 6) AS mean_confidence FROM s GROUP BY 1, 2""",
     "raster_cells": f"""WITH {_POINTS} SELECT site, "row", col, count(*) AS n, round(avg(z), 6) AS mean, round(min(z), 6) AS least, round(quantile_cont(z, 0.5), 6) AS median,
@@ -129,8 +119,8 @@ SQL = {
     "span_records": f"WITH {_SPANS} SELECT * REPLACE (round(len, 5) AS len, round(m_mean, 5) AS m_mean, round(m_ge66, 5) AS m_ge66, round(m_ge33, 5) AS m_ge33) FROM d",
     "promotion_by_line": f"""WITH {_SPANS} SELECT line_id, count(*) AS spans, count(*) FILTER (m_end - m_min > 1e-12) AS promoted,
         max(CASE WHEN m_end - m_min > 1e-12 THEN m_end - m_min ELSE 0 END) AS max_promotion FROM d GROUP BY line_id""",
-    "threshold_accounting": f"""WITH {_SPANS}, f AS (SELECT s.line_id, s.len, coalesce(s.m >= 33, false) AND s.prov = 'M' AS passes, coalesce(d.m_end >= 33, false) AND d.prov = 'M' AS says
-        FROM s JOIN d ON s.line_id = d.line_id AND s.span = d.span)
+    "threshold_accounting": f"""WITH {_SPANS}, z AS (SELECT line_id, span, least(fst.m, lst.m) AS m_end, CASE WHEN fst.prov = lst.prov THEN fst.prov ELSE 'X' END AS prov_end FROM a), f AS (SELECT s.line_id, s.len, coalesce(s.m >= 33, false) AND s.prov = 'M' AS passes, coalesce(a.m_end >= 33, false) AND a.prov_end = 'M' AS says
+        FROM s JOIN z a ON s.line_id = a.line_id AND s.span = a.span)
         SELECT line_id, round(coalesce(sum(len) FILTER (passes AND says), 0), 5) AS correct_accept, round(coalesce(sum(len) FILTER (NOT passes AND says), 0), 5) AS false_accept,
         round(coalesce(sum(len) FILTER (passes AND NOT says), 0), 5) AS wrong_reject, round(coalesce(sum(len) FILTER (NOT passes AND NOT says), 0), 5) AS correct_reject FROM f GROUP BY line_id""",
     "contour_segments": f"WITH {_POINTS}"
