@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Corners of a block as (row, col) offsets, counter-clockwise, and its edges as pairs of corners.
 CORNERS = ((0, 0), (0, 1), (1, 1), (1, 0))
 EDGES = ((0, 1), (1, 2), (3, 2), (0, 3))
+#: Slack of a level in intervals, and the twist under which a block has no saddle point.
+SLACK, FLAT = 1e-9, 1e-12
 
 
 def blocks(cells: DataFrame, *values: str) -> DataFrame:
@@ -40,10 +42,13 @@ def segments(cells: DataFrame, interval: float = 1.0) -> DataFrame:
     least of its block's.
     """
     z, conf = [F.col(f"z{k}") for k in range(4)], [F.col(f"confidence{k}") for k in range(4)]
-    levels = F.sequence(F.floor(F.least(*z) / interval).cast("long") + 1, F.floor(F.greatest(*z) / interval).cast("long"))
-    met = blocks(cells, "z", "confidence").where(F.floor(F.greatest(*z) / interval) > F.floor(F.least(*z) / interval))
+    # A level that rounding puts a little above a block's greatest height still meets it.
+    first, last = F.floor(F.least(*z) / interval - SLACK).cast("long") + 1, F.floor(F.greatest(*z) / interval + SLACK).cast("long")
+    levels = F.sequence(first, last)
+    met = blocks(cells, "z", "confidence").where(last >= first)
     met = met.withColumn("level", F.explode(levels)).withColumn("level", F.col("level") * F.lit(interval))
-    saddle = F.coalesce(F.try_divide(z[0] * z[2] - z[1] * z[3], z[0] + z[2] - z[1] - z[3]), (z[0] + z[1] + z[2] + z[3]) / 4)
+    twist = z[0] + z[2] - z[1] - z[3]
+    saddle = F.when(F.abs(twist) >= FLAT, F.try_divide(z[0] * z[2] - z[1] * z[3], twist)).otherwise((z[0] + z[1] + z[2] + z[3]) / 4)
     joined = (saddle >= F.col("level")) == (z[0] >= F.col("level"))
     met = met.withColumn("e", F.filter(F.array(*(crossing(e, k) for k, e in enumerate(EDGES))), lambda e: e["hit"]))
 
