@@ -9,6 +9,24 @@ from pyspark.sql import functions as F
 Z95 = 1.959963984540054
 
 
+#: Quantiles of a group that part its values for running sums.
+PARTS = 256
+
+
+def running(counts: DataFrame, by: str, value: str, weight: str) -> DataFrame:
+    """``counts(by, value, weight)`` with ``upto``, the sum of ``weight`` over the group's values up to this one.
+
+    Values are unique in their group and numbers. A group is parted at approximate quantiles of its values, and only
+    the parts' sums are summed across them, so that no task holds a large group's values.
+    """
+    cuts = counts.groupBy(by).agg(F.percentile_approx(value, F.lit([k / PARTS for k in range(1, PARTS)]), F.lit(10_000)).alias("__cuts"))
+    parted = counts.join(cuts, by).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    sums = parted.groupBy(by, "__part").agg(F.sum(weight).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.sum(weight).over(Window.partitionBy(by, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return parted.join(sums.select(by, "__part", before.alias("__before")), [by, "__part"]).withColumn("upto", within + F.col("__before")).drop("__part", "__before")
+
+
 def rank_correlation(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
     """Spearman's coefficient of ``a`` and ``b`` a group, ties at their average rank: ``by, n, rho``.
 
@@ -18,9 +36,8 @@ def rank_correlation(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(by, a, b).agg(F.count("*").alias("w"))
 
     def ranks(value: str, name: str) -> DataFrame:
-        counts = pairs.groupBy(by, value).agg(F.sum("w").alias("w"))
-        upto = F.sum("w").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-        return counts.select(by, value, (upto - (F.col("w") - 1) / 2.0).alias(name))
+        upto = running(pairs.groupBy(by, value).agg(F.sum("w").alias("w")), by, value, "w")
+        return upto.select(by, value, (F.col("upto") - (F.col("w") - 1) / 2.0).alias(name))
 
     met = pairs.join(ranks(a, "ra"), [by, a]).join(ranks(b, "rb"), [by, b])
     n, mean = F.sum("w"), (F.sum("w") + 1) / 2.0
@@ -37,3 +54,94 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     middle, width = p + F.try_divide(F.lit(zz), 2.0 * n), Z95 * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(F.lit(zz), 4.0 * n * n))
     whole = 1 + F.try_divide(F.lit(zz), n)
     return (middle - width) / whole, (middle + width) / whole
+
+
+# -- quantiles ---------------------------------------------------------------------------------------------------
+
+
+def lower_quantile(values: Column, q: float) -> Column:
+    """Of a sorted array, the value at ``floor(q (n - 1))``."""
+    return F.get(values, F.floor(q * (F.size(values) - 1)).cast("int"))
+
+
+def upper_median(values: Column) -> Column:
+    """Of a sorted array, the middle value, or the upper of the two."""
+    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+
+
+def weighted_median(df: DataFrame, by: str, value: str, weight: str) -> DataFrame:
+    """``by, median``: the least value up to which half of the group's weight lies. Nulls and weights of 0 take no part."""
+    counts = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(by, value).agg(F.sum(weight).alias("w"))
+    total = counts.groupBy(by).agg(F.sum("w").alias("total"))
+    return running(counts, by, value, "w").join(total, by).where(F.col("upto") * 2 >= F.col("total")).groupBy(by).agg(F.min(value).alias("median"))
+
+
+def distribution(by_unit: DataFrame, keys: list[str], rate: str) -> DataFrame:
+    """Units, least, quartiles and greatest of ``rate``, interpolated linearly; null rates take no part."""
+    rated = by_unit.where(F.col(rate).isNotNull())
+    q = F.percentile(rate, F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q")
+    out = rated.groupBy(*keys).agg(F.count("*").alias("units"), q)
+    return out.select(*keys, "units", *(F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("least", "q1", "median", "q3", "greatest"))))
+
+
+# -- seeded draws ------------------------------------------------------------------------------------------------
+
+_MASK = 0xFFFFFFFF
+
+
+def _times(x: Column, y: Column) -> Column:
+    """Lower 32 bits of a product of two numbers of 32 bits, without overflow."""
+    high = F.shiftleft((x * F.shiftright(y, 16)).bitwiseAND(0xFFFF), 16)
+    return (x * y.bitwiseAND(0xFFFF) + high).bitwiseAND(_MASK)
+
+
+def with_draw(df: DataFrame, seed: int, k: Column, name: str) -> DataFrame:
+    """``df`` with the ``k``-th number (from 0) in [0, 1) of the mulberry32 generator with this seed.
+
+    Its state only counts up, so that draws need no order. Each step is a column, so that none is computed twice.
+    """
+    t, c = F.col("__t"), F.col("__c")
+    step = _times(F.lit(0x6D2B79F5).cast("long"), (k + 1).bitwiseAND(_MASK))
+    out = df.withColumn("__t", (F.lit(seed & _MASK) + step).bitwiseAND(_MASK))
+    for shift, mask in ((15, 1), (7, 61)):
+        out = out.withColumn("__c", t.bitwiseXOR(F.shiftright(t, shift))).withColumn("__c", _times(c, t.bitwiseOR(mask)))
+        out = out.withColumn("__t", c if shift == 15 else (t + c).bitwiseAND(_MASK).bitwiseXOR(t))
+    return out.withColumn(name, t.bitwiseXOR(F.shiftright(t, 14)) / float(1 << 32)).drop("__t", "__c")
+
+
+def numbered(df: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
+    """``df`` with ``number``, from 0 on, in order of ``key`` modulo ``buckets`` and then ``key`` (a unique integer).
+
+    Rows are numbered within buckets; only the buckets' counts pass one task.
+    """
+    bucket = F.pmod(F.col(key), F.lit(buckets))
+    placed = df.withColumn("__bucket", bucket)
+    counts = placed.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most ``buckets`` rows
+    own = F.row_number().over(Window.partitionBy("__bucket").orderBy(key)) - 1
+    return placed.join(F.broadcast(counts.select("__bucket", before.alias("__before"))), "__bucket").withColumn("number", (own + F.col("__before")).cast("long")).drop("__bucket", "__before")
+
+
+def bootstrap_ratio(units: DataFrame, key: str, top: str, bottom: str, seed: int, replicates: int) -> DataFrame:
+    """``replicate, ratio``: the ratio of sums over as many units as there are, drawn with replacement.
+
+    Draw ``j`` of replicate ``r`` takes unit ``floor(u n)`` of the generator's number ``r n + j``. How often a unit is
+    drawn is counted before the units' values are joined.
+    """
+    placed = numbered(units.select(key, top, bottom), key)
+    n = placed.agg(F.count("*").alias("of"))
+    draws = placed.select(F.col("number").alias("j")).join(F.broadcast(n)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = with_draw(draws, seed, F.col("replicate") * F.col("of") + F.col("j"), "u").select("replicate", F.floor(F.col("u") * F.col("of")).alias("number"))
+    times = drawn.groupBy("replicate", "number").agg(F.count("*").alias("times"))
+    met = times.join(placed, "number")
+    return met.groupBy("replicate").agg(F.try_divide(F.sum(F.col("times") * F.col(top)), F.sum(F.col("times") * F.col(bottom))).alias("ratio"))
+
+
+def concentration(units: DataFrame, top: str, bottom: str, key: str, k: int = 3) -> DataFrame:
+    """Share of the ``k`` units with most of ``top``, the pooled ratio, without them, and with any one unit left out at least and most."""
+    total = units.agg(F.sum(top).alias("t"), F.sum(bottom).alias("b"))
+    # The first k of all, by a sort with a limit; ties to the smaller key.
+    most = units.orderBy(F.desc(top), key).limit(k).agg(F.sum(top).alias("kt"), F.sum(bottom).alias("kb"))
+    one = F.try_divide(F.col("t") - F.col(top), F.col("b") - F.col(bottom))
+    left = units.join(F.broadcast(total)).agg(F.min(one).alias("least_without_one"), F.max(one).alias("most_without_one"))
+    return total.join(F.broadcast(most)).join(F.broadcast(left)).select(F.try_divide("kt", "t").alias("top_share"), F.try_divide("t", "b").alias("pooled"), F.try_divide(F.col("t") - F.col("kt"), F.col("b") - F.col("kb")).alias("pooled_without_top"), "least_without_one", "most_without_one")
