@@ -17,15 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellurion.llm._joins import spread_join
-from tellurion.llm._util import cut, table
-from tellurion.llm.neardup import _stirred as stirred
+from tellurion.llm._joins import counted_join, spread_join
+from tellurion.llm._util import cut, free, table
+from tellurion.llm._words import stirred
 
-#: A rare line has so many words: with fewer, chance and layout repeat it. How many documents hold it sets no
-#: limit, as each holder is paired with the first one only.
+#: A line that is rare by itself has so many words: with fewer, chance and layout repeat it. How many documents
+#: hold it sets no limit, as each holder is paired with the first one only.
 RARE_WORDS = 6
 #: A common block is deleted from so many words on. Runs of lines of so many words in sum, however short each
-#: line, find documents too: a block that is equal in both sides holds the run from its first line on.
+#: line, find documents too: a block that is equal in both sides holds the run from its first line on, so no block
+#: that may be deleted is missed for the length of its lines.
 BLOCK_WORDS = 12
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
@@ -165,8 +166,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, gone``: a document's lines with a word, and the numbers (from 0) of those to delete."""
     tables = cut(_tables(docs))
     held, lined = cut(tables.select(F.explode("keys").alias("key"), "doc_id")), tables.drop("keys")
-    firsts = held.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
-    pairs = cut(spread_join(held, firsts, "key").where("first < doc_id").select("doc_id", "first").distinct())
+    firsts = cut(held.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last"))
+    pairs = cut(counted_join(held, firsts, "key").where("first < doc_id").select("doc_id", "first").distinct())
+    free(held, firsts)
     with_first = cut(spread_join(pairs, lined.select(F.col("doc_id").alias("first"), F.col("lines").alias("first_lines")), "first"))
     deleted = _aligned(spread_join(with_first, lined, "doc_id")).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
     count = F.size(F.filter("words", lambda w: w > 0)).cast("long")
@@ -184,14 +186,16 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     empty text empty; a text of any length is one row; empty tables give none. Columns named ``n_lines`` and
     ``n_removed`` are replaced, others kept.
     """
-    kept = docs.drop("n_lines", "n_removed")
-    known = kept.select("doc_id", "text").where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    found = repeated_lines(known).withColumnRenamed("doc_id", "of")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    joined = kept.join(found, F.col("doc_id") == F.col("of"), "left")
-    joined = joined.withColumn("text", F.when(F.size("gone") > 0, left).otherwise(F.col("text")))
-    counts = {"n_lines": F.coalesce("n_lines", F.lit(0).cast("long")), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
-    return joined.withColumns(counts).drop("of", "gone")
+    # The columns of docs travel as one, so that none of their names meets one of ours.
+    given = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    kept = docs.select(F.struct(*(docs[c] for c in given)).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("said"))
+    known = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    found = repeated_lines(known)
+    left = F.array_join(F.filter(F.split("said", "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    joined = kept.join(found, F.col("id") == F.col("doc_id"), "left")
+    said = F.when(F.size("gone") > 0, left).otherwise(F.col("said"))
+    columns = (said.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in given)
+    return joined.select(*columns, F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op9_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,15 @@
 """Near-duplicate documents by bottom-k sketches from one hash function.
 
-A document's sketch holds the ``k`` smallest hashes of its word shingles. Inverted lists of retained values
-give overlapping documents: a similar pair shares most values of the sketch of its union, so it must meet in
-the lists of each document's rarest values. The sketch of the union estimates the similarity, and pairs that
-pass are confirmed by the Jaccard coefficient of the full sets. Documents with equal sets are one class
-throughout. In a list, each class is compared with one central class first; only classes that then still lie
-in different components are compared with each other, so a group of copies costs its size and not its square.
+A document's sketch holds the smallest hashes of its word shingles, a fixed share of its set. That share is such
+that a similar pair has at least ``spare`` values in both sketches, so (prefix filtering) it meets in the lists of
+each sketch's rarest values: no similar pair is missed. The sketch of the union bounds the similarity from above
+and filters, and what passes is confirmed by the Jaccard coefficient of the full sets. Documents with equal sets
+are one class throughout.
+
+In a list, all members are compared with pivots, one at first; classes that this leaves apart are compared likewise in
+lists of their full sets, with many times as many pivots in each further round, and a pivot that has met its list
+leaves it. Members of one component are not compared again, and a list ends once its
+members are one component, so a group of copies costs its size and not its square.
 """
 
 from __future__ import annotations
@@ -17,70 +21,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellurion.llm._joins import components, spread_join
-from tellurion.llm._util import cut, table
+from tellurion.llm._joins import components, counted_join, spread_join
+from tellurion.llm._util import cut, free, join_small, table
+from tellurion.llm._words import FOLD, chunks, run_codes, stirred, word_codes
 
 WORDS, SIMILARITY = 5, 75
-#: Retained values. A pair of similarity 0.75 shares 48 of the 64 of its union on average, deviation 3.5; under
-#: ``SHARED`` it falls about twice in a million pairs that lie right at the bound.
-KEEP, SHARED = 64, 32
-_UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Of a set of n, a similar pair shares at least 0.75 n; a sketch holds the n / 4 values beyond that and one value
+#: more for every so many of the set. More make the filter sharper and the sketches larger.
+SPARE = 8
+#: Pivots of a list in the first round over full sets, and in each round as a multiple of those in the one before.
+FIRST_PIVOTS, MORE_PIVOTS = 8, 16
 _TOP = np.uint64(1 << 63)
 
 
-class _WordHashes(dict):
-    LIMIT = 500_000
+def least_common(n: int) -> int:
+    """Fewest values that a set of ``n`` shares with a similar one."""
+    return (SIMILARITY * n + 99) // 100
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
 
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxh64_intdigest(word)
-        return value
+def spare(n: int) -> int:
+    return (n + SPARE - 1) // SPARE
 
 
-def _stirred(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: ``least_common(n)`` and ``spare(least_common(n))`` as SQL.
+_LEAST = f"({SIMILARITY} * n + 99) div 100"
+_MET = f"({_LEAST} + {SPARE - 1}) div {SPARE}"
 
 
-def shingle_hashes(text: bytes, hashes: dict, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams; of fewer words, of the whole sequence."""
-    found = text.translate(_UPPER).split()
-    if not found:
-        return np.empty(0, np.uint64)
-    code = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
-    n = min(words, len(code))
-    out = np.full(len(code) - n + 1, n, np.uint64)
-    for i in range(n):
-        out = _stirred(out * _ODD + code[i : len(code) - n + 1 + i])
-    return np.unique(out)
+def shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
+    """Of each text, the sorted distinct 64-bit hashes of its word n-grams; of fewer words, of the whole sequence."""
+    code, at = word_codes([t.translate(FOLD) for t in texts])
+    runs = run_codes(code, words)
+    return [np.unique(runs[s : e - words + 1]) if e - s >= words else run_codes(code[s:e], e - s)[: min(1, e - s)] for s, e in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
 
 def _mapped(docs: DataFrame, schema: str, row, kinds: list) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
-        for b in batches:
-            rows = [row(shingle_hashes(t.as_py() or b"", hashes)) for t in b.column(1)]
-            arrays = [b.column(0)] + [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for b, texts in chunks(batches):
+            rows = [row(x) for x in shingles(texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, key, sketch``: set size, a digest of the full set, and its ``KEEP`` smallest hashes, with the top
-    bit flipped so that they have the same order as signed longs."""
+    """``doc_id, n, key, sketch``: set size, a digest of the full set, and its smallest hashes, with the top bit
+    flipped so that they have the same order as signed longs."""
 
     def row(x: np.ndarray) -> tuple:
         from xxhash import xxh3_128_digest
 
-        return len(x), xxh3_128_digest(x.tobytes()), (x[:KEEP] ^ _TOP).view(np.int64)
+        return len(x), xxh3_128_digest(x.tobytes()), (x[: len(x) - least_common(len(x)) + spare(len(x))] ^ _TOP).view(np.int64)
 
     return _mapped(docs, "doc_id long, n long, key binary, sketch array<long>", row, [pa.int64(), pa.binary(), pa.list_(pa.int64())])
 
@@ -89,79 +82,147 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return _mapped(docs, "doc_id long, full array<long>", lambda x: (x.view(np.int64),), [pa.list_(pa.int64())])
 
 
-def _needed(n) -> F.Column:
-    """Retained values that a class of ``n`` shingles must share with a similar one."""
-    return F.when(n > KEEP, F.lit(SHARED)).otherwise(F.least(F.lit(SHARED), F.floor((n * SIMILARITY + 99) / 100))).cast("long")
+def inverted_lists(classes: DataFrame, met: str) -> DataFrame:
+    """``value, doc_id, n, k, at, weight`` of each class's rarest retained values, as many as leave no similar pair
+    apart: its set's and sketch's sizes and how many of its retained values are rarer still.
 
+    A pair has at least ``met`` (SQL of ``n``) values in common in its sketches, so it meets among each one's rarest
+    values but for that many less one.
+    """
+    posted = classes.select(F.explode("sketch").alias("value"), "doc_id", F.struct("n", F.size("sketch").cast("long").alias("k")).alias("of"))
+    shared = cut(posted.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > 1).withColumn("df", F.col("n")))
+    held = counted_join(posted, shared, "value").groupBy("doc_id", "of").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"), F.sum("df").alias("weight"))
+    per = held.select("doc_id", "of.n", "of.k", "weight", "held").withColumn("rare", F.size("held") - F.expr(met) + 1).where(F.col("rare") > 0)
+    per = per.select("doc_id", "n", "k", "weight", (F.col("k") - F.size("held")).alias("alone"), F.posexplode(F.slice("held", F.lit(1), F.col("rare").cast("int"))["value"]).alias("at", "value"))
+    lists = cut(per.select("value", "doc_id", "n", "k", (F.col("alone") + F.col("at")).alias("at"), "weight"))
+    free(shared)
+    return lists
 
-def inverted_lists(classes: DataFrame) -> DataFrame:
-    """``value, doc_id, n, weight`` of each class's rarest retained values, as many as leave no similar pair apart."""
-    posted = classes.select(F.explode("sketch").alias("value"), "doc_id")
-    shared = posted.groupBy("value").agg(F.count("*").alias("df")).where(F.col("df") > 1)
-    met = posted.join(shared, "value")  # a value comes once a class: it holds at most one of KEEP parts of the rows
-    per = met.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"), F.sum("df").alias("weight"))
-    per = per.join(classes.select("doc_id", "n"), "doc_id").withColumn("rare", F.size("held") - _needed(F.col("n")) + 1)
-    return per.where(F.col("rare") > 0).select("doc_id", "n", "weight", F.explode(F.slice("held", F.lit(1), F.col("rare").cast("int"))["value"]).alias("value"))
 
+def _fits(common, na, nb):
+    return 100 * common >= SIMILARITY * (na + nb - common)
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that the union sketch lets pass and the full sets confirm."""
-    sketch = classes.select("doc_id", "sketch")
-    with_a = cut(spread_join(pairs, sketch.toDF("a", "sa"), "a"))
-    both = spread_join(with_a, sketch.toDF("b", "sb"), "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, KEEP)
-    hits = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    likely = cut(both.where(hits >= F.least(F.lit(SHARED), F.floor((F.size(union) * SIMILARITY + 99) / 100))).select("a", "b"))
-    nodes = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(full_sets(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi")))
-    with_b = cut(spread_join(likely, sets.toDF("b", "fb"), "b"))
-    full = spread_join(with_b, sets.toDF("a", "fa"), "a")
-    common = F.size(F.array_intersect("fa", "fb"))
-    return cut(full.where(100 * common >= SIMILARITY * (F.size("fa") + F.size("fb") - common)).select("a", "b"))
+
+def _meets_here() -> F.Column:
+    """Whether a similar pair of sizes ``n, na`` can have this value as its rarest common one.
+
+    It has ``(n + na) * 75 / 175`` values in common, of which both sketches lack at most what one of them leaves
+    out; the rarest of the others lies before all of them in both sketches.
+    """
+    common = F.expr(f"({SIMILARITY} * (n + na) + {99 + SIMILARITY}) div {100 + SIMILARITY}") - F.greatest(F.col("n") - F.col("k"), F.col("na") - F.col("ka"))
+    common = F.greatest(common, F.lit(1))
+    return (F.col("at") + common <= F.col("k")) & (F.col("pa") + common <= F.col("ka"))
 
 
-def _fit(x: str, y: str) -> F.Column:
-    return (100 * F.least(x, y) >= SIMILARITY * F.greatest(x, y)) & (F.col("a") != F.col("b"))
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame | None) -> DataFrame:
+    """The pairs ``a, b`` of ``pairs(a, b, na, nb)`` that the sketches let pass and the full sets confirm.
+
+    Up to the smaller of their last values both sketches are complete; beyond, the smaller rest at most is
+    common. A sketch that holds its whole set is complete everywhere.
+    """
+    sketch = classes.select("doc_id", "sketch")
+    both = spread_join(pairs, sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b")
+    last = [F.when(F.size(s) < F.col(n), F.element_at(s, -1)) for s, n in (("sa", "na"), ("sb", "nb"))]
+    both = both.withColumn("upto", F.coalesce(F.least(*last), F.lit((1 << 63) - 1)))
+    rest = F.least(*(F.col(n) - F.size(F.filter(s, lambda x: x <= F.col("upto"))) for s, n in (("sa", "na"), ("sb", "nb"))))
+    likely = cut(both.where(_fits(F.size(F.array_intersect("sa", "sb")) + rest, F.col("na"), F.col("nb"))).select("a", "b"))
+    if docs is None:  # the sketches are the full sets
+        return likely
+    nodes = cut(likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct())
+    sets = cut(full_sets(join_small(docs, nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
+    full = spread_join(likely, sets.toDF("a", "fa"), "a").join(sets.toDF("b", "fb"), "b")
+    linked = cut(full.where(_fits(F.size(F.array_intersect("fa", "fb")), F.size("fa"), F.size("fb"))).select("a", "b"))
+    free(likely, nodes, sets)
+    return linked
+
+
+def _placed(lists: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``lists`` with each class's ``component`` and its ``size``, those of lists whose members are one component left out."""
+    if found is None:
+        placed = lists.withColumns({"component": F.col("doc_id"), "size": F.lit(1).cast("long")})
+    else:
+        sizes = spread_join(found, found.groupBy("component").agg(F.count("*").alias("size")), "component").withColumnRenamed("node", "doc_id")
+        placed = lists.join(sizes, "doc_id", "left").withColumns({"component": F.coalesce("component", "doc_id"), "size": F.coalesce("size", F.lit(1).cast("long"))})
+    placed = cut(placed)
+    apart = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
+    live = cut(placed.join(apart, "value", "left_semi"))
+    free(placed)
+    return live
+
+
+def _pivots(live: DataFrame, pivots: int) -> DataFrame:
+    """``value, a, na, ka, pa, ca``: one pivot a list and salt, of the smallest component the class whose values most hold."""
+    order = F.struct((-F.col("size")).alias("size"), "weight", (-F.col("doc_id")).alias("p"), "n", "k", "at", "component")
+    salted = live.groupBy("value", F.pmod(F.xxhash64("doc_id", F.lit(pivots)), F.lit(pivots)).alias("salt")).agg(F.max(order).alias("x"))
+    return cut(salted.select("value", (-F.col("x.p")).alias("a"), F.col("x.n").alias("na"), F.col("x.k").alias("ka"), F.col("x.at").alias("pa"), F.col("x.component").alias("ca")))
+
+
+def _links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """``node, component`` of every class that is linked with another; None if none is.
+
+    One round over the lists of sketches joins what a pivot joins. Classes that then still meet in a list but lie in
+    different components get lists of their full sets, whose rarest values are far fewer: between them, a pair
+    must share all but 0.14 of each set, and a set's own values come first.
+    """
+    links = found = None
+    lists, pivots = inverted_lists(classes, _MET), 1
+    while True:
+        live = _placed(lists, found)
+        free(lists)
+        if live.isEmpty():
+            free(live, *([classes] if pivots > FIRST_PIVOTS else []))
+            return found
+        if pivots == FIRST_PIVOTS:
+            nodes = cut(live.select("doc_id").distinct())
+            sets = full_sets(join_small(docs, nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+            classes = cut(sets.select("doc_id", F.size("full").cast("long").alias("n"), F.col("full").alias("sketch")))
+            lists = inverted_lists(classes, _LEAST)
+            free(live, nodes)
+            live = _placed(lists, found)
+            free(lists)
+        chosen = _pivots(live, pivots)
+        open_ = (F.col("ca") != F.col("component")) & (100 * F.least("na", "n") >= SIMILARITY * F.greatest("na", "n")) & _meets_here()
+        pairs = cut(spread_join(live, chosen, "value").where(open_).select("a", F.col("doc_id").alias("b"), "na", F.col("n").alias("nb")).distinct())
+        new = _confirmed(pairs, classes, docs if pivots < FIRST_PIVOTS else None)
+        before = [new]
+        if not new.isEmpty():
+            before += [t for t in (links, found) if t is not None]
+            links = cut(new if links is None else links.unionByName(new))
+            found = components(links)
+        # A pivot has met its whole list and leaves it.
+        lists = cut(live.join(chosen.select("value", F.col("a").alias("doc_id")), ["value", "doc_id"], "left_anti").drop("component", "size"))
+        free(live, chosen, pairs, *before)
+        if pivots >= FIRST_PIVOTS:
+            pivots *= MORE_PIVOTS
+        else:
+            pivots = FIRST_PIVOTS
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of ``docs(doc_id, text)``.
 
     Words are lower-cased in A-Z only. Two documents are linked where the Jaccard coefficient of their sets
-    is at least 0.75; a component is named by its smallest ``doc_id``, which is kept. Null, empty and
-    wordless texts have an empty set and are linked with nothing; a text of under five words is one shingle.
-    A repeated row gives a row each time, of one document (a ``doc_id`` has one text); a null ``doc_id`` is left
-    out. Empty tables give no rows;
-    other columns are not read. Any text length: a document's own set is the most a task holds.
+    is at least 0.75; a component is named by its smallest ``doc_id``, which is kept. Words and shingles are
+    compared by 64-bit hashes: among a billion different shingles some collision is likely, but two documents
+    are joined or parted by one only if it decides at the very bound. Null, empty and wordless texts have an
+    empty set and are linked with nothing; a text of under five words is one shingle. A repeated row gives a row
+    each time, of one document (a ``doc_id`` has one text); a null ``doc_id`` is left out. Empty tables give no
+    rows; other columns are not read. Any text length: a document's own set is the most a task holds.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     signed = cut(sketches(docs))
-    first = cut(signed.where(F.col("n") > 0).groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "sketch"), "doc_id").alias("x"), F.count("*").alias("copies")))
-    classes = first.select("x.doc_id", "x.n", "x.sketch")
-    lists = cut(inverted_lists(classes))
-    pivots = lists.groupBy("value").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("p"), "n")).alias("x")).select("value", (-F.col("x.p")).alias("a"), F.col("x.n").alias("na"))
-    met = spread_join(lists, pivots, "value").select("value", "a", "na", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    links = _confirmed(cut(met.where(_fit("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), classes, docs)
-    # What the pivots have not joined: each class's component in each list, and only pairs across components.
-    found = components(links).withColumnRenamed("node", "doc_id")
-    placed = cut(spread_join(lists, found, "doc_id", how="left").withColumn("component", F.coalesce("component", "doc_id")))
-    split = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
-    still = placed.join(split, "value", "left_semi").select("value", "doc_id", "n", "component")
-    per = still.groupBy("doc_id", "n", "component").agg(F.array_sort(F.collect_list("value")).alias("values")).join(classes.select("doc_id", "sketch"), "doc_id")
-    open_lists = cut(per.select("*", F.posexplode("values").alias("at", "value")).withColumn("before", F.slice("values", F.lit(1), F.col("at"))).drop("values", "at"))
-    x, y = (open_lists.select("value", *(F.col(c).alias(s + c) for c in ("doc_id", "n", "component", "before", "sketch"))) for s in "xy")
-    # A pair is met in the first list that both are in, and only if the retained values leave it a chance.
-    across = (F.col("xdoc_id") < F.col("ydoc_id")) & (F.col("xcomponent") != F.col("ycomponent")) & (100 * F.least("xn", "yn") >= SIMILARITY * F.greatest("xn", "yn"))
-    first_met = ~F.arrays_overlap("xbefore", "ybefore")
-    chance = F.size(F.array_intersect("xsketch", "ysketch")) >= _needed(F.greatest("xn", "yn"))
-    rest = x.join(y, "value").where(across & first_met & chance).select(F.col("xdoc_id").alias("a"), F.col("ydoc_id").alias("b"))
-    more = _confirmed(cut(rest.join(links, ["a", "b"], "left_anti")), classes, docs)
-    named = components(links.unionByName(more)).withColumnRenamed("node", "rep") if not more.isEmpty() else found.withColumnRenamed("doc_id", "rep")
-    groups = first.select("key", F.col("x.doc_id").alias("rep"), "copies").join(named, "rep", "left").where((F.col("copies") > 1) | F.col("component").isNotNull())
-    groups = cut(groups.select("key", F.coalesce("component", "rep").alias("component")))
-    out = spread_join(cut(signed.select("doc_id", "n", "key")), groups, "key", how="left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).alias("c")).withColumn("component_id", F.coalesce("c", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    own = cut(signed.select("doc_id", "n", "key"))
+    first = cut(own.where(F.col("n") > 0).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    classes = cut(signed.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "sketch"))
+    free(signed)
+    found = _links(classes, docs)
+    free(classes)
+    groups = first if found is None else first.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    named = F.coalesce("component", "rep") if found is not None else F.col("rep")
+    groups = cut(groups.select("key", named.alias("component")).where("copies > 1" if found is None else "copies > 1 or component is not null"))
+    out = spread_join(own, groups, "key", how="left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component")), "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
