@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Corners of a block as (row, col) offsets, counter-clockwise, and its edges as pairs of corners.
@@ -59,3 +61,42 @@ def segments(cells: DataFrame, interval: float = 1.0) -> DataFrame:
     out = met.select("site", "level", "row", "col", F.least(*conf).alias("confidence"), F.explode(pairs).alias("s"))
     out = out.select("site", "level", "row", "col", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2"), "confidence")
     return out.where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
+
+
+def level_list(interval: float | None = None, low: float | None = None, high: float | None = None, given: list[float] | None = None, most: int = 200) -> tuple[list[float], float | None]:
+    """The levels of a range or those given, and their spacing (null unless uniform).
+
+    Of more than ``most``, every k-th is kept, and the highest in place of the last, so that the whole range stays.
+    """
+    if given is None:
+        first = math.ceil(low / interval) * interval
+        levels = [first + k * interval for k in range(max(0, math.floor((high - first) / interval + 1 + SLACK)))]
+    else:
+        levels = sorted(given)
+    steps = [b - a for a, b in zip(levels, levels[1:], strict=False)]
+    spacing = interval if given is None else (steps[0] if steps and all(abs(s - steps[0]) <= SLACK * max(1.0, abs(steps[0])) for s in steps) else None)
+    if len(levels) <= most:
+        return levels, spacing
+    k = -(-len(levels) // most)
+    thinned = levels[::k]
+    thinned[-1] = levels[-1]
+    return thinned, None if given is not None else k * interval
+
+
+def feature_runs(vertices: DataFrame, grade) -> DataFrame:
+    """Edges of ``vertices(line_id, seq, x, y, confidence)`` with ``grade``, that of the lesser end, and ``run``, the
+    number of the stretch of one grade in the line. A vertex between two stretches ends one and starts the other."""
+    order = Window.partitionBy("line_id").orderBy("seq")
+    after = {f"{c}2": F.lead(c).over(order) for c in ("x", "y", "confidence")}
+    e = vertices.withColumns(after).where(F.col("x2").isNotNull()).withColumn("grade", grade(F.least("confidence", "confidence2")))
+    starts = F.when(F.col("grade") == F.lag("grade").over(order), 0).otherwise(1)
+    e = e.withColumn("starts", starts).withColumn("run", F.sum("starts").over(order))
+    return e.select("line_id", "seq", "run", "grade", "x", "y", "x2", "y2")
+
+
+def anchored_rings(vertices: DataFrame) -> DataFrame:
+    """Closed rings ``line_id, seq, x, y`` turned to start at their least (x, y), which is repeated at the end."""
+    first = vertices.groupBy("line_id").agg(F.min(F.struct("x", "y", "seq")).alias("a"), F.count("*").alias("n"))
+    turned = vertices.join(first, "line_id").withColumn("seq", F.pmod(F.col("seq") - F.col("a.seq"), F.col("n")))
+    again = turned.where("seq = 0").withColumn("seq", F.col("n"))
+    return turned.unionByName(again).drop("a", "n")

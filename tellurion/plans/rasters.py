@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellurion.operators import fill, grid
+from tellurion.operators import fill, grid, predicates, profiles
 from tellurion.sources.tables import points
 
 ROWS = COLS = 100
@@ -83,7 +83,29 @@ def coarse_resample(spark, sf_dir):
     return out
 
 
-QUERIES = {f.__name__: f for f in (binning_rules, raster_accounting, raster_percentile, despiked_floor, support_field, coarse_resample)}
+def support_profiles(spark, sf_dir):
+    """Cells by site, profile and grade, and their mean confidence: of the field's own rule and of two others."""
+    cells = grid.to_cells(points(spark, sf_dir), COLS, ROWS)
+    field = _field(spark, sf_dir)
+    named = {"reference": field, "exponential": profiles.exponential(field), "survey": profiles.survey(field, profiles.standard_errors(cells))}
+    out = None
+    for name, f in named.items():
+        one = f.select("site", F.lit(name).alias("profile"), grid.grade(F.col("confidence")).alias("grade"), "confidence")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out.groupBy("site", "profile", "grade").agg(F.count("*").alias("cells"), F.avg("confidence").alias("mean_confidence")), "mean_confidence")
+
+
+def crop_counts(spark, sf_dir):
+    """Points of the nine crops of 20 a side of every site, and whether they are enough."""
+    p = points(spark, sf_dir)
+    ends = p.groupBy("site").agg(*(f(c).alias(f"{c}{k}") for c in "xy" for k, f in ((0, F.min), (1, F.max))))
+    crops = predicates.crop_origins(ends, 20).select("site", "crop", "ox", "oy")
+    inside = predicates.cropped(p.join(F.broadcast(crops), "site"), F.col("ox"), F.col("oy"), 20)  # nine rows a site
+    out = inside.groupBy("site", "crop", "ox", "oy").agg(F.count("*").alias("points"), F.avg("x").alias("mean_x"), F.avg("z").alias("mean_z"))
+    return rounded(out.withColumn("valid", F.col("points") >= predicates.MIN_RETURNS), "mean_x", "mean_z")
+
+
+QUERIES = {f.__name__: f for f in (support_profiles, crop_counts, binning_rules, raster_accounting, raster_percentile, despiked_floor, support_field, coarse_resample)}
 
 _POINTS = "p AS (SELECT l_returnflag AS site, (l_partkey % 1000) / 10.0::DOUBLE AS x, (l_orderkey % 1000) / 10.0::DOUBLE AS y, l_tax, l_suppkey FROM lineitem)"
 _CELLS = f"""{_POINTS}, c AS (SELECT site, CAST(least(99, floor(y)) AS INTEGER) AS "row", CAST(least(99, floor(x)) AS INTEGER) AS col, 0.08::DOUBLE * x + 0.06::DOUBLE * y + 5 * l_tax AS z FROM p)"""
@@ -134,6 +156,17 @@ def _coarse(k: int) -> str:
 
 
 SQL = {
+    "support_profiles": f"""WITH {_FIELD}, se AS (SELECT site, "row" AS r, col AS c, sqrt((coalesce(var_samp(z), 0) + 0.0025::DOUBLE) / count(*)) AS se FROM c GROUP BY ALL),
+        mid AS (SELECT site, list_sort(list(se))[count(*) // 2 + 1] AS se_mid FROM se GROUP BY site),
+        pr AS (SELECT s.*, m.n, se.se, mid.se_mid FROM s LEFT JOIN m ON m.site = s.site AND m.r = s."row" AND m.c = s.col LEFT JOIN se ON se.site = s.site AND se.r = s."row" AND se.c = s.col JOIN mid ON mid.site = s.site),
+        al AS (SELECT site, 'reference' AS profile, confidence AS f FROM pr UNION ALL
+          SELECT site, 'exponential', floor(CASE WHEN coverage = 'measured' THEN 100 * (1 - exp(-n / 2.0::DOUBLE)) ELSE 50 * exp(-(dist - 1) / 1.5::DOUBLE) END + 0.5) FROM pr UNION ALL
+          SELECT site, 'survey', floor(100 * exp(-(CASE WHEN coverage = 'measured' THEN se * se ELSE se_mid * se_mid + (0.05::DOUBLE * dist) ** 2 END) / 0.02::DOUBLE) + 0.5) FROM pr)
+        SELECT site, profile, CASE WHEN f >= 66 THEN 'solid' WHEN f >= 33 THEN 'dashed' ELSE 'gap' END AS grade, count(*) AS cells, round(avg(f), 6) AS mean_confidence FROM al GROUP BY 1, 2, 3""",
+    "crop_counts": f"""WITH {_POINTS}, e AS (SELECT site, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p GROUP BY site),
+        o AS (SELECT site, CAST(i * 3 + j AS INTEGER) AS crop, CAST(floor(x0 + (j + 1) * 0.25::DOUBLE * (x1 - x0) - 10) AS BIGINT) AS ox, CAST(floor(y0 + (i + 1) * 0.25::DOUBLE * (y1 - y0) - 10) AS BIGINT) AS oy FROM e, range(3) a(i), range(3) b(j))
+        SELECT o.site, crop, ox, oy, count(*) AS points, round(avg(x - ox), 6) AS mean_x, round(avg(0.08::DOUBLE * x + 0.06::DOUBLE * y + 5 * l_tax), 6) AS mean_z, count(*) >= 1000 AS valid
+        FROM o JOIN p ON p.site = o.site AND x >= ox AND x < ox + 20 AND y >= oy AND y < oy + 20 GROUP BY ALL""",
     "binning_rules": f"""WITH {_POINTS}, u AS ({_RULES}), n AS (SELECT rule, site, "row", col, count(*) AS n FROM u GROUP BY ALL), k AS (SELECT DISTINCT site, "row", col FROM n),
         g AS (SELECT k.site, r.rule, coalesce(n.n, 0) AS n, coalesce(f.n, 0) AS plain FROM k CROSS JOIN (SELECT DISTINCT rule FROM n) r LEFT JOIN n ON n.rule = r.rule AND n.site = k.site AND n."row" = k."row" AND n.col = k.col
           LEFT JOIN n f ON f.rule = 'floor' AND f.site = k.site AND f."row" = k."row" AND f.col = k.col)
