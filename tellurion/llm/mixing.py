@@ -22,9 +22,9 @@ BINS = 4096
 TOLERANCE, MAX_STEPS = 1e-7, 60
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``size``, the words of its text (null: 0)."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+def sized() -> Column:
+    """The words of ``text`` (null: 0)."""
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def source_targets(histogram: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
@@ -45,7 +45,7 @@ def source_targets(histogram: DataFrame, weights: tuple[float, ...], most: float
         .withColumn("level", (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(order), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(order), F.lit(0.0))))
         .withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).over(whole)["level"])
     )
-    return per.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), "cap")).alias("target"), (F.col("square") / F.col("source_size")).alias("scale"), "least")
+    return per.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), "cap")).alias("target"), F.try_divide(F.col("square"), F.col("source_size")).alias("scale"), "least")
 
 
 def tilted(most: float) -> Column:
@@ -54,7 +54,7 @@ def tilted(most: float) -> Column:
 
 def solve(histogram: DataFrame, sources: DataFrame, most: float) -> DataFrame:
     """Add each source's multiplier ``lam``; the state stays in a table, only the largest error is fetched."""
-    share = F.col("target") / F.col("source_size")
+    share = F.try_divide(F.col("target"), F.col("source_size"))
     state = cut(
         sources.withColumn("lam", F.lit(0.0))
         .withColumn("low", F.least(F.lit(0.0), F.log(share) * F.col("scale") / F.col("least")))
@@ -76,8 +76,8 @@ def solve(histogram: DataFrame, sources: DataFrame, most: float) -> DataFrame:
             .select("source", "source_size", "target", "scale", "least", "lam", "low", "high", "off")
         )
         if (state.agg(F.max("off")).first()[0] or 0.0) <= TOLERANCE:
-            break
-    return state.select("source", "source_size", "target", "scale", "lam")
+            return state.select("source", "source_size", "target", "scale", "lam")
+    raise RuntimeError(f"no multipliers within {TOLERANCE} of the targets after {MAX_STEPS} steps")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = MOST) -> DataFrame:
@@ -89,7 +89,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = M
     and one copy of nothing; a source without words has target 0; rows that repeat are documents of their
     own; an empty table gives no rows. Columns of these five names in ``docs`` are replaced.
     """
-    docs = sized(docs.drop("source_size", "target", "rate", "copies"))
+    # The columns of docs travel as one, so that none of their names meets one of ours.
+    given = [c for c in docs.columns if c not in ("size", "source_size", "target", "rate", "copies")]
+    docs = docs.select(F.struct(*(docs[c] for c in given)).alias("row"), "doc_id", "source", sized().alias("size"))
     sizes = cut(docs.select("doc_id", "source", "size"))
     histogram = cut(sizes.groupBy("source", "size").agg(F.count("*").alias("n")))
     state = solve(histogram, cut(source_targets(histogram, weights, most)), most).withColumnRenamed("source", "of")
@@ -117,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = M
     turned = cut(turned.select(F.col("source").alias("for"), "x.turned", "x.by"))
     out = join_small(copied(rated(docs)), turned, F.col("source").eqNullSafe(F.col("for")) & (F.col("doc_id") == F.col("turned")), "left")
     out = out.withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0)))
-    return out.drop("of", "at", "for", "limit", "missed", "turned", "by", "lam", "scale", "bin")
+    return out.select(*(F.col("row")[c].alias(c) for c in given), "size", "source_size", "target", "rate", "copies")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
