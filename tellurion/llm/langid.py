@@ -13,13 +13,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tellurion.llm._util import table
 
 UNKNOWN = "und"
-#: Trigrams are hashed into so many buckets; a model holds a row of them a language, at most so many languages.
-BUCKETS, MAX_LANGUAGES = 1 << 16, 256
-SMOOTHING, STEPS, SET_PENALTY, MAX_SET = 0.5, 8, 2.0, 3
+#: Trigrams are hashed into so many buckets; the model holds a row of 256 KB a language.
+BUCKETS = 1 << 16
+#: Above so many languages the model is too large to send to every task, and ``learn`` raises. (ISO 639-1 has 183.)
+MOST_LANGUAGES = 1024
+SMOOTHING, STEPS, SET_PENALTY = 0.5, 8, 2.0
 #: Bytes of text that are scored at once.
 CHUNK = 1 << 20
 _LETTERS = bytes(c if chr(c).islower() or c >= 128 else 32 for c in range(128)) + bytes(range(128, 256))
@@ -38,8 +41,8 @@ def grams(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and their log probabilities by bucket, from ``labelled(lang, text)``.
 
-    What reaches the driver is one count a language and bucket: at most ``MAX_LANGUAGES * BUCKETS`` rows.
-    Of more languages, those with the most text are learned. Rows with a null in either column teach nothing.
+    What reaches the driver is one count a language and bucket. All languages are learned; more than
+    ``MOST_LANGUAGES`` are an error. Rows with a null in either column teach nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,9 +62,9 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
     known = labelled.select("lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    counts = counts.join(F.broadcast(rows.select("lang")), "lang")  # at most MAX_LANGUAGES rows
-    got = counts.toArrow()
+    if labelled.where(F.col("lang").isNotNull()).agg(F.approx_count_distinct("lang")).first()[0] > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+    got = counts.toArrow()  # at most MOST_LANGUAGES * BUCKETS rows
     langs = sorted(set(got["lang"].to_pylist()))
     index = {x: i for i, x in enumerate(langs)}
     model = np.zeros((len(langs), BUCKETS))
@@ -86,13 +89,16 @@ def word_likelihoods(texts: list[bytes], model: np.ndarray) -> tuple[np.ndarray,
     return out, per
 
 
-def infer(ll: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of each text's main language (-1: no word) and its estimated proportion."""
+def infer(ll: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of each text's main language (-1: no word), its estimated proportion, and who is in its set.
+
+    Nested sets, by proportion, grow as long as the penalised likelihood rises.
+    """
     n, langs = len(per), ll.shape[1]
-    main, share = np.full(n, -1), np.zeros(n)
+    main, share, member = np.full(n, -1), np.zeros(n), np.zeros((n, langs), bool)
     has = np.nonzero(per)[0]
     if not len(has) or not langs:
-        return main, share
+        return main, share, member
     top = ll.max(1, keepdims=True)
     like, words = np.exp(ll - top).astype(np.float64) + 1e-30, per[has]
     starts, owner = np.concatenate([[0], np.cumsum(words)[:-1]]), np.repeat(np.arange(len(has)), words)
@@ -108,36 +114,43 @@ def infer(ll: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     full, _ = fit(np.ones((len(has), langs)))
     rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
     chosen, best = full.copy(), np.full(len(has), -np.inf)
-    for k in range(1, min(MAX_SET, langs) + 1):
+    rising = np.ones(len(has), bool)
+    for k in range(1, langs + 1):
         pi, fitted = fit((rank < k).astype(float))
         fitted = fitted - SET_PENALTY * (k - 1) * np.log(words + 1)
-        better = fitted > best
-        best[better], chosen[better] = fitted[better], pi[better]
+        rising &= fitted > best
+        if not rising.any():
+            break
+        best[rising], chosen[rising] = fitted[rising], pi[rising]
+        member[has[rising]] = rank[rising] < k
     main[has] = chosen.argmax(1)
     share[has] = np.clip(full[np.arange(len(has)), main[has]], 0, 1)
-    return main, share
+    return main, share, member
 
 
 def identify(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the main language's proportion; both columns are replaced.
+    """``docs`` with ``lang_pred``, ``score`` (the main language's proportion) and ``langs`` (its set); such columns are replaced.
 
-    Only ``text`` is an input. ``und`` with score 0: null text, no letter, or nothing was learned. Whole texts
+    Only ``text`` is an input. ``und`` with score 0 and no set: null text, no letter, or nothing was learned. Whole texts
     are read, about ``CHUNK`` bytes at once, a longer text alone. Ties go to the first language in order.
+    Repeated rows are identified each; an empty table gives no rows; other columns pass through.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((langs, model))  # at most MAX_LANGUAGES rows of BUCKETS floats
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    shared = docs.sparkSession.sparkContext.broadcast((langs, model))  # at most MOST_LANGUAGES rows of BUCKETS floats
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "langs")]
     marked = docs.select(*keep, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, model = shared.value
         for b in batches:
-            main, share = np.full(b.num_rows, -1), np.zeros(b.num_rows)
+            main, share, sets = np.full(b.num_rows, -1), np.zeros(b.num_rows), [[] for _ in range(b.num_rows)]
             text, letters = b.column(b.schema.get_field_index("text")), b.column(b.num_columns - 1)
             rows, texts, size = [], [], 0
 
             def score() -> None:
                 if rows:
-                    main[rows], share[rows] = infer(*word_likelihoods(texts, model))
+                    main[rows], share[rows], member = infer(*word_likelihoods(texts, model))
+                    for i, x in zip(rows, member, strict=True):
+                        sets[i] = [langs[k] for k in np.nonzero(x)[0]]
 
             for i in np.nonzero(letters.to_numpy(zero_copy_only=False))[0].tolist():
                 rows.append(i)
@@ -148,9 +161,9 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
                     rows, texts, size = [], [], 0
             score()
             names = np.array([*langs, UNKNOWN], object)[main]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(share)], names=[*b.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(share), pa.array(sets, pa.list_(pa.string()))], names=[*b.schema.names[:-1], "lang_pred", "score", "langs"])
 
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("langs", ArrayType(StringType()))
     return marked.mapInArrow(run, schema)
 
 
