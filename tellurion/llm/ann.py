@@ -33,10 +33,11 @@ TOP = 20
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``vec_id, v`` (doubles) of vectors that aren't null or zero and hold only finite numbers."""
+    """``vec_id, v`` (doubles) of vectors that aren't null or zero and hold only finite numbers; of rows that repeat a ``vec_id``, one."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     fine = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return v.where(fine & F.exists("v", lambda x: x != 0))
+    # The least by value, so that reruns agree.
+    return v.where(fine & F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def codebook(x: np.ndarray, k: int) -> np.ndarray:
@@ -124,8 +125,8 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
     Nearness is the inner product in double precision of the original vectors; ties go to the smaller
     ``vec_id``. Null and zero vectors, and those with a null or non-finite number or another length than most
     of the sample, take no part, nor do rows without ``vec_id``. A query never finds its own row; with fewer
-    candidates it gets all of those. Equal vectors are entries of their own; an empty table gives no rows;
-    other columns are not read.
+    candidates it gets all of those. Rows that repeat a ``vec_id`` are one; equal vectors under different ids are
+    entries of their own; an empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     fine = cut(usable(vectors))
@@ -137,7 +138,10 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
     width = int(np.bincount(lengths).argmax())
     sample = sample.filter(pa.array(lengths == width))
     x, known = _matrix(sample["v"].combine_chunks()), sample["vec_id"].to_numpy()
-    half = max(1, width // 2)
+    if width == 1:  # a second half that is nought changes no inner product
+        fine, x = fine.select("vec_id", F.concat("v", F.array(F.lit(0.0))).alias("v")), np.pad(x, ((0, 0), (0, 1)))
+        width = 2
+    half = width // 2
     one, two = codebook(x[:, :half], CENTROIDS), codebook(x[:, half:], CENTROIDS)
     books = spark.sparkContext.broadcast((one, two))  # CENTROIDS rows each
 
