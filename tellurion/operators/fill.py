@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tellurion.operators.grid import HALF_COUNT
 
 #: Cells a side of a tile.
 TILE = 64
-SCHEMA = "site string, row int, col int, n long, z double, coverage string, dist int, slope double"
+SCHEMA = "site string, row int, col int, n long, z double, coverage string, dist int, slope double, directions int, aside boolean"
 
 
 def measured_support(n: Column, target: Column, half: float = HALF_COUNT) -> Column:
@@ -105,14 +105,34 @@ def horn_slope(z: np.ndarray, size: float, low: tuple[bool, bool], high: tuple[b
     return out
 
 
-def support_field(cells: DataFrame, rows: int, cols: int, size: float = 1.0, radius: int = 8, tile: int = TILE, most_dist: int | None = None, most_slope: float | None = None) -> DataFrame:
+#: Eight rays, anticlockwise: rows and columns of a step.
+RAYS = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
+
+
+def directions(have: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of how many of the eight directions a cell has data within ``radius`` steps, and whether these lie to one side:
+    there are some, and an arc of more than 180 degrees has none."""
+    n, m = have.shape
+    wide = np.pad(have, radius)
+    hit = np.zeros((8, n, m), bool)
+    for k, (dr, dc) in enumerate(RAYS):
+        for t in range(1, radius + 1):
+            hit[k] |= wide[radius + dr * t : radius + dr * t + n, radius + dc * t : radius + dc * t + m]
+    # An arc of over 180 degrees without data is four directions in a row without any.
+    empty = ~hit
+    lone = np.any([empty[[(k + j) % 8 for j in range(4)]].all(0) for k in range(8)], axis=0)
+    return hit.sum(0), lone & hit.any(0)
+
+
+def support_field(cells: DataFrame, rows: int, cols: int, size: float = 1.0, radius: int = 8, tile: int = TILE, most_dist: int | None = None, most_slope: float | None = None, guard: int | None = None, penalty: float = 0.5, drop_single: bool = False) -> DataFrame:
     """``site, row, col, n, z, coverage, dist, slope, confidence`` of every measured or interpolated cell of the grid.
 
     ``cells(site, row, col, n, z)`` are measured and unique. Confidence is in 0 to 100; a site's target count is
     its median. Cells beyond ``radius`` of any data, or past the limits of distance or slope, are gaps and give no
-    row. A site without cells gives none.
+    row. A site without cells gives none. With a ``guard`` radius, the support of interpolated cells whose data lie
+    to one side is multiplied by ``penalty``; those with data in one of eight directions only are gaps if ``drop_single``.
     """
-    margin = radius + 1
+    margin = max(radius, guard or 0) + 1
     span = lambda c, upto: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - margin) / tile)), F.least(F.lit((upto - 1) // tile), F.floor((F.col(c) + margin) / tile)))
     sent = cells.select("site", "row", "col", "n", "z").withColumn("tr", F.explode(span("row", rows))).withColumn("tc", F.explode(span("col", cols)))
 
@@ -129,14 +149,16 @@ def support_field(cells: DataFrame, rows: int, cols: int, size: float = 1.0, rad
         filled[~inside] = np.nan
         h, w = min(tile, rows - tr * tile), min(tile, cols - tc * tile)
         core = slice(margin, margin + h), slice(margin, margin + w)
-        near = filled[radius : margin + h + 1, radius : margin + w + 1]
+        near = filled[margin - 1 : margin + h + 1, margin - 1 : margin + w + 1]
         slope = horn_slope(near, size, (tr == 0, tc == 0), ((tr + 1) * tile >= rows, (tc + 1) * tile >= cols))
+        seen, aside = directions(~np.isnan(z), guard) if guard else (np.full(z.shape, 8), np.zeros(z.shape, bool))
         a, b = np.nonzero(~np.isnan(filled[core]))
         pick = lambda x: x[core][a, b]
         count = pick(n)
         return pa.table({
             "site": pa.array([site] * len(a), pa.string()), "row": pa.array((a + tr * tile).astype(np.int32)), "col": pa.array((b + tc * tile).astype(np.int32)), "n": count, "z": pick(filled),
             "coverage": pa.array(np.where(count > 0, "measured", "interpolated").astype(object), pa.string()), "dist": pa.array(pick(dist).astype(np.int32)), "slope": slope[a, b],
+            "directions": pa.array(pick(seen).astype(np.int32)), "aside": pick(aside),
         })
 
     field = sent.groupBy("site", "tr", "tc").applyInArrow(one, SCHEMA)
@@ -145,5 +167,54 @@ def support_field(cells: DataFrame, rows: int, cols: int, size: float = 1.0, rad
     for column, most in (("dist", most_dist), ("slope", most_slope)):
         if most is not None:
             field = field.where(measured | (F.col(column) <= most))
-    confidence = F.when(measured, percent(measured_support(F.col("n"), F.col("target")))).otherwise(percent(interpolated_support(F.col("dist"), F.col("slope"))))
-    return field.join(target, "site").withColumn("confidence", confidence).drop("target")
+    if guard and drop_single:
+        field = field.where(measured | (F.col("directions") > 1))
+    factor = F.when(F.col("aside"), penalty).otherwise(1.0) if guard else None
+    confidence = F.when(measured, percent(measured_support(F.col("n"), F.col("target")))).otherwise(percent(interpolated_support(F.col("dist"), F.col("slope"), guard=factor)))
+    return field.join(target, "site").withColumn("confidence", confidence).drop("target", "directions", "aside")
+
+
+def box_extreme(z: np.ndarray, b: int, pick) -> np.ndarray:
+    """``np.fmin`` or ``np.fmax`` over the square of ``b`` cells to each side; empty cells (NaN) don't count."""
+    for axis in (0, 1):
+        n, wide = z.shape[axis], np.pad(z, [(b, b) if k == axis else (0, 0) for k in (0, 1)], constant_values=np.nan)
+        z = wide.take(range(n), axis)
+        for k in range(1, 2 * b + 1):
+            z = pick(z, wide.take(range(k, k + n), axis))
+    return z
+
+
+def opened(cells: DataFrame, rows: int, cols: int, b: int, tile: int = TILE) -> DataFrame:
+    """``site, row, col, opened`` of the grid's cells: the greatest, over the square around a cell, of the least heights over squares.
+
+    Empty cells within reach of data have a value, too; tiles have a margin of both squares.
+    """
+    margin = 2 * b
+    span = lambda c, upto: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - margin) / tile)), F.least(F.lit((upto - 1) // tile), F.floor((F.col(c) + margin) / tile)))
+    sent = cells.select("site", "row", "col", "z").withColumn("tr", F.explode(span("row", rows))).withColumn("tc", F.explode(span("col", cols)))
+
+    def one(key: tuple, t: pa.Table) -> pa.Table:
+        site, tr, tc = (k.as_py() for k in key)
+        r0, c0 = tr * tile - margin, tc * tile - margin
+        z = np.full((tile + 2 * margin,) * 2, np.nan)
+        z[t["row"].to_numpy() - r0, t["col"].to_numpy() - c0] = t["z"].to_numpy()
+        low = box_extreme(z, b, np.fmin)
+        row, col = np.arange(r0, r0 + len(z)), np.arange(c0, c0 + len(z))
+        low[~(((row >= 0) & (row < rows))[:, None] & ((col >= 0) & (col < cols)))] = np.nan
+        high = box_extreme(low, b, np.fmax)[margin : margin + min(tile, rows - tr * tile), margin : margin + min(tile, cols - tc * tile)]
+        a, c = np.nonzero(~np.isnan(high))
+        return pa.table({"site": pa.array([site] * len(a), pa.string()), "row": pa.array((a + tr * tile).astype(np.int32)), "col": pa.array((c + tc * tile).astype(np.int32)), "opened": high[a, c]})
+
+    return sent.groupBy("site", "tr", "tc").applyInArrow(one, "site string, row int, col int, opened double")
+
+
+def steepest(cells: DataFrame, size: float = 1.0) -> DataFrame:
+    """``cells`` with ``steepest``: the greatest difference to one of the four neighbours that are there, by the cell size (none: 0)."""
+    out = cells
+    for name, along, across in (("__r", "col", "row"), ("__c", "row", "col")):
+        order = Window.partitionBy("site", across).orderBy(along)
+        for k, (step, move) in enumerate(((F.lag, 1), (F.lead, -1))):
+            beside = F.col(along) - step(along).over(order) == move
+            out = out.withColumn(f"{name}{k}", F.when(beside, F.abs(F.col("z") - step("z").over(order))))
+    most = F.greatest("__r0", "__r1", "__c0", "__c1")
+    return out.withColumn("steepest", F.coalesce(most / size, F.lit(0.0))).drop("__r0", "__r1", "__c0", "__c1")

@@ -105,7 +105,21 @@ def crop_counts(spark, sf_dir):
     return rounded(out.withColumn("valid", F.col("points") >= predicates.MIN_RETURNS), "mean_x", "mean_z")
 
 
-QUERIES = {f.__name__: f for f in (support_profiles, crop_counts, binning_rules, raster_accounting, raster_percentile, despiked_floor, support_field, coarse_resample)}
+def guarded_field(spark, sf_dir):
+    """Interpolated cells by site of a field that is guarded against data on one side: all, and their mean confidence."""
+    cells = grid.to_cells(points(spark, sf_dir), COLS, ROWS).where("(row + col) % 7 > 1").groupBy(*grid.CELL).agg(F.count("*").alias("n"), F.avg("z").alias("z"))
+    field = fill.support_field(cells.where("row between 10 and 80 and col < 90"), ROWS, COLS, radius=RADIUS, tile=32, guard=3, drop_single=True)
+    return rounded(field.where("coverage = 'interpolated'").groupBy("site").agg(F.count("*").alias("cells"), F.avg("confidence").alias("mean_confidence"), F.sum("dist").alias("dist")), "mean_confidence")
+
+
+def opened_floor(spark, sf_dir):
+    """The despiked floor, opened by squares of five cells a side, and its steepness where it is measured."""
+    floor = grid.despiked(grid.to_cells(points(spark, sf_dir), COLS, ROWS), 5).select(*grid.CELL, F.col("floor").alias("z"))
+    out = fill.opened(floor, ROWS, COLS, 2, tile=32).join(fill.steepest(floor).select(*grid.CELL, "steepest"), grid.CELL, "left")
+    return rounded(out, "opened", "steepest")
+
+
+QUERIES = {f.__name__: f for f in (guarded_field, opened_floor, support_profiles, crop_counts, binning_rules, raster_accounting, raster_percentile, despiked_floor, support_field, coarse_resample)}
 
 _POINTS = "p AS (SELECT l_returnflag AS site, (l_partkey % 1000) / 10.0::DOUBLE AS x, (l_orderkey % 1000) / 10.0::DOUBLE AS y, l_tax, l_suppkey FROM lineitem)"
 _CELLS = f"""{_POINTS}, c AS (SELECT site, CAST(least(99, floor(y)) AS INTEGER) AS "row", CAST(least(99, floor(x)) AS INTEGER) AS col, 0.08::DOUBLE * x + 0.06::DOUBLE * y + 5 * l_tax AS z FROM p)"""
@@ -155,7 +169,19 @@ def _coarse(k: int) -> str:
           max(coverage) FILTER ("row" % {k} = {k // 2 - 1} AND col % {k} = {k // 2}) AS near FROM s GROUP BY ALL) GROUP BY site"""
 
 
+_GUARDED = _FIELD.replace("avg(z) AS z FROM c GROUP BY ALL)", """avg(z) AS z FROM c WHERE ("row" + col) % 7 > 1 AND "row" BETWEEN 10 AND 80 AND col < 90 GROUP BY ALL)""", 1)
+
 SQL = {
+    "guarded_field": f"""WITH {_GUARDED}, ry AS (SELECT s.site, s."row", s.col, s.dist, s.slope, list_sort(list(DISTINCT CASE WHEN m.r = s."row" THEN CASE WHEN m.c > s.col THEN 0 ELSE 180 END WHEN m.c = s.col THEN CASE WHEN m.r > s."row" THEN 90 ELSE 270 END
+          WHEN m.r > s."row" THEN CASE WHEN m.c > s.col THEN 45 ELSE 135 END ELSE CASE WHEN m.c > s.col THEN 315 ELSE 225 END END) FILTER (m.n IS NOT NULL)) AS hits
+        FROM s LEFT JOIN m ON m.site = s.site AND greatest(abs(m.r - s."row"), abs(m.c - s.col)) BETWEEN 1 AND 3 AND (m.r = s."row" OR m.c = s.col OR abs(m.r - s."row") = abs(m.c - s.col)) WHERE s.coverage = 'interpolated' GROUP BY ALL),
+        gp AS (SELECT *, greatest(360 - hits[-1] + hits[1], coalesce(list_max(list_transform(range(1, len(hits)), lambda k: hits[k + 1] - hits[k])), 0)) > 180 AS aside FROM ry WHERE len(hits) > 1)
+        SELECT site, count(*) AS cells, round(avg(floor(100 * 1.0::DOUBLE / (1 + dist) * (1 - 0.8::DOUBLE * least(1.0::DOUBLE, slope)) * CASE WHEN aside THEN 0.5 ELSE 1 END + 0.5)), 6) AS mean_confidence, CAST(sum(dist) AS BIGINT) AS dist FROM gp GROUP BY site""",
+    "opened_floor": f"""WITH {_CELLS}, z0 AS (SELECT site, "row" AS r, col AS c, list_sort(list(z)) AS zs FROM c GROUP BY ALL), z1 AS (SELECT site, r, c, zs[least(len(zs) - 1, greatest(CAST(ceil(0.05::DOUBLE * len(zs)) AS BIGINT) - 1, CASE WHEN len(zs) >= 3 THEN 1 ELSE 0 END)) + 1] AS z FROM z0),
+        z2 AS (SELECT site, r + dr AS r, c + dc AS c, min(z) AS z FROM z1, range(-2, 3) a(dr), range(-2, 3) b(dc) WHERE r + dr BETWEEN 0 AND 99 AND c + dc BETWEEN 0 AND 99 GROUP BY ALL),
+        z3 AS (SELECT site, r + dr AS r, c + dc AS c, max(z) AS z FROM z2, range(-2, 3) a(dr), range(-2, 3) b(dc) WHERE r + dr BETWEEN 0 AND 99 AND c + dc BETWEEN 0 AND 99 GROUP BY ALL),
+        st AS (SELECT a.site, a.r, a.c, coalesce(max(abs(a.z - b.z)), 0) AS steepest FROM z1 a LEFT JOIN z1 b ON b.site = a.site AND abs(a.r - b.r) + abs(a.c - b.c) = 1 AND b.r BETWEEN a.r - 1 AND a.r + 1 GROUP BY ALL)
+        SELECT z3.site, CAST(z3.r AS INTEGER) AS "row", CAST(z3.c AS INTEGER) AS col, round(z3.z, 6) AS opened, round(st.steepest, 6) AS steepest FROM z3 LEFT JOIN st ON st.site = z3.site AND st.r = z3.r AND st.c = z3.c""",
     "support_profiles": f"""WITH {_FIELD}, se AS (SELECT site, "row" AS r, col AS c, sqrt((coalesce(var_samp(z), 0) + 0.0025::DOUBLE) / count(*)) AS se FROM c GROUP BY ALL),
         mid AS (SELECT site, list_sort(list(se))[count(*) // 2 + 1] AS se_mid FROM se GROUP BY site),
         pr AS (SELECT s.*, m.n, se.se, mid.se_mid FROM s LEFT JOIN m ON m.site = s.site AND m.r = s."row" AND m.c = s.col LEFT JOIN se ON se.site = s.site AND se.r = s."row" AND se.c = s.col JOIN mid ON mid.site = s.site),
