@@ -41,13 +41,15 @@ def segments(cells: DataFrame, interval: float = 1.0) -> DataFrame:
     Levels are the multiples of ``interval``; a block meets only those between its own least and greatest
     height. A height at the level counts as above it. In a saddle the value at the bilinear saddle point
     decides which corners are joined, their mean where there is no such point. A segment's confidence is the
-    least of its block's.
+    least of its block's. Cells with ``coverage`` (measured or interpolated) give segments ``prov`` (M, I, or X of
+    both) and the least confidence of the corners of either kind, ``m`` and ``i``.
     """
+    typed = "coverage" in cells.columns
     z, conf = [F.col(f"z{k}") for k in range(4)], [F.col(f"confidence{k}") for k in range(4)]
     # A level that rounding puts a little above a block's greatest height still meets it.
     first, last = F.floor(F.least(*z) / interval - SLACK).cast("long") + 1, F.floor(F.greatest(*z) / interval + SLACK).cast("long")
     levels = F.sequence(first, last)
-    met = blocks(cells, "z", "confidence").where(last >= first)
+    met = blocks(cells, "z", "confidence", *(["coverage"] if typed else [])).where(last >= first)
     met = met.withColumn("level", F.explode(levels)).withColumn("level", F.col("level") * F.lit(interval))
     twist = z[0] + z[2] - z[1] - z[3]
     saddle = F.when(F.abs(twist) >= FLAT, F.try_divide(z[0] * z[2] - z[1] * z[3], twist)).otherwise((z[0] + z[1] + z[2] + z[3]) / 4)
@@ -58,8 +60,11 @@ def segments(cells: DataFrame, interval: float = 1.0) -> DataFrame:
         return F.struct(F.get("e", F.lit(i)).alias("p"), F.get("e", F.lit(j)).alias("q"))
 
     pairs = F.when(F.size("e") == 2, F.array(pair(0, 1))).when(joined, F.array(pair(0, 1), pair(2, 3))).otherwise(F.array(pair(0, 3), pair(1, 2)))
-    out = met.select("site", "level", "row", "col", F.least(*conf).alias("confidence"), F.explode(pairs).alias("s"))
-    out = out.select("site", "level", "row", "col", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2"), "confidence")
+    kind = lambda name: F.least(*(F.when(F.col(f"coverage{k}") == name, conf[k]) for k in range(4)))
+    both = [kind("measured").alias("m"), kind("interpolated").alias("i")] if typed else []
+    out = met.select("site", "level", "row", "col", F.least(*conf).alias("confidence"), *both, F.explode(pairs).alias("s"))
+    extra = [F.when(F.col("i").isNull(), "M").when(F.col("m").isNull(), "I").otherwise("X").alias("prov"), "m", "i"] if typed else []
+    out = out.select("site", "level", "row", "col", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2"), "confidence", *extra)
     return out.where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
 
 

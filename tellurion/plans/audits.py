@@ -69,7 +69,17 @@ def support_totals(spark, sf_dir):
     return out.select("site", "grade", "cells", "points", F.col("level").cast("int").alias("level"))
 
 
-QUERIES = {f.__name__: f for f in (promotion_distribution, promotion_bootstrap, promotion_concentration, spread_median, heldout_error, support_totals)}
+def promotion_prevalence(spark, sf_dir):
+    """Share of lines with a promoted span and its interval, and how large the promotions are."""
+    spans = evidence.promotions(evidence.span_records(evidence.runs(evidence.edges(vertices(spark, sf_dir)))))
+    per = spans.groupBy("line_id").agg(F.count_if("promoted").alias("promoted")).agg(F.count("*").alias("lines"), F.count_if(F.col("promoted") > 0).alias("with_promotion"))
+    sizes = spans.where("promoted").agg(F.count("*").alias("promoted"), F.percentile("promotion", F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75, 0.95)))).alias("q"))
+    low, high = statistics.wilson(F.col("with_promotion"), F.col("lines"))
+    out = per.join(F.broadcast(sizes)).select("lines", "with_promotion", low.alias("low"), high.alias("high"), "promoted", *(F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("q1", "median", "q3", "p95"))))
+    return rounded(out, "low", "high", "q1", "median", "q3", "p95")
+
+
+QUERIES = {f.__name__: f for f in (promotion_prevalence, promotion_distribution, promotion_bootstrap, promotion_concentration, spread_median, heldout_error, support_totals)}
 
 _LINES = f"""{records._EDGES}, a AS (SELECT line_id, span, least(arg_min({{'v': m}}, seq).v, arg_max({{'v': m}}, seq).v) - min(m) AS more FROM s GROUP BY line_id, span),
 o AS (SELECT line_id, count(*) AS spans, count(*) FILTER (more > 1e-12) AS promoted FROM a GROUP BY line_id)"""
@@ -78,6 +88,9 @@ s AS (SELECT r.*, floor(100 * least(1.0::DOUBLE, n / target) * n / (n + 3) + 0.5
 g AS (SELECT site, n, CASE WHEN f >= 66 THEN 'solid' WHEN f >= 33 THEN 'dashed' ELSE 'gap' END AS grade FROM s)"""
 
 SQL = {
+    "promotion_prevalence": f"""WITH {_LINES}, h AS (SELECT count(*) AS n, count(*) FILTER (promoted > 0) AS k, 1.959963984540054::DOUBLE AS z FROM o), q AS (SELECT count(*) AS promoted, quantile_cont(more, [0.25, 0.5, 0.75, 0.95]) AS q FROM a WHERE more > 1e-12)
+        SELECT n AS lines, k AS with_promotion, round((k / n + z * z / (2 * n) - z * sqrt(k / n * (1 - k / n) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 6) AS low,
+        round((k / n + z * z / (2 * n) + z * sqrt(k / n * (1 - k / n) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 6) AS high, promoted, round(q[1], 6) AS q1, round(q[2], 6) AS median, round(q[3], 6) AS q3, round(q[4], 6) AS p95 FROM h, q""",
     "promotion_distribution": f"""WITH {_LINES} SELECT spans >= 9 AS many, count(*) AS units, round(min(promoted / spans), 6) AS least, round(quantile_cont(promoted / spans, 0.25), 6) AS q1, round(quantile_cont(promoted / spans, 0.5), 6) AS median,
         round(quantile_cont(promoted / spans, 0.75), 6) AS q3, round(max(promoted / spans), 6) AS greatest FROM o WHERE spans >= 3 GROUP BY 1""",
     "promotion_bootstrap": f"""WITH {_LINES}, b0 AS (SELECT *, row_number() OVER (ORDER BY line_id % 1024, line_id) - 1 AS number, count(*) OVER () AS total FROM o),
