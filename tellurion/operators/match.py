@@ -61,18 +61,17 @@ def matched(source: DataFrame, simplified: DataFrame) -> DataFrame:
     only the others are searched one by one.
     """
     source, simplified = (t.select("line_id", "seq", "x", "y") for t in (source, simplified))
-    lines = source.groupBy("line_id", "x", "y").agg(F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high"))
-    lines = lines.groupBy("line_id").agg((F.max("n") > 1).alias("twice"), F.min("low").alias("low"), F.max("high").alias("high"))
-    plain = source.join(lines, "line_id").where(~F.col("twice"))
-    order = Window.partitionBy("line_id").orderBy("out")
-    met = simplified.withColumnRenamed("seq", "out").join(plain, ["line_id", "x", "y"], "left").withColumn("before", F.lag("seq").over(order))
-    fits = met.groupBy("line_id").agg(F.bool_and(F.col("seq").isNotNull() & F.coalesce(F.col("before") < F.col("seq"), F.lit(True)) & F.col("line_id").isNotNull()).alias("fits"), F.min("seq").alias("first"), F.max("seq").alias("last"))
-    kept = met.where("seq is not null").select("line_id", "seq", F.lit(True).alias("kept")).distinct()
-    judged = plain.join(fits, "line_id", "left").withColumn("fits", F.coalesce(F.col("fits") & (F.col("first") == F.col("low")) & (F.col("last") == F.col("high")), F.lit(False)))
-    good = judged.where("fits").join(kept, ["line_id", "seq"], "left").select("line_id", F.lit("matched").alias("state"), "seq", F.coalesce("kept", F.lit(False)).alias("keep"))
-    nothing = [F.lit("unmatched").alias("state"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("boolean").alias("keep")]
-    bad = judged.where(~F.col("fits")).select("line_id").distinct().select("line_id", *nothing)
-    alone = simplified.select("line_id").distinct().join(lines, "line_id", "left_anti").select("line_id", *nothing)
-    twice = lines.where("twice").select("line_id")
-    searched = _by_search(source.join(twice, "line_id", "left_semi"), simplified.join(twice, "line_id", "left_semi"))
-    return good.unionByName(bad).unionByName(alone).unionByName(searched)
+    point, line, order = Window.partitionBy("line_id", "x", "y"), Window.partitionBy("line_id"), Window.partitionBy("line_id").orderBy("seq")
+    marked = source.withColumn("same", F.count("*").over(point)).withColumn("twice", F.max("same").over(line) > 1).drop("same")
+    out = simplified.select("line_id", "x", "y", F.col("seq").alias("out"), F.count("*").over(point).alias("same"))
+    twice = marked.where("twice").select("line_id").distinct()
+    # Of the other lines, a vertex of the result that has no source, or comes twice, or goes back, is no match.
+    met = marked.where(~F.col("twice")).join(out.join(twice, "line_id", "left_anti"), ["line_id", "x", "y"], "full")
+    before = F.max("out").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    at_end = F.lag("seq").over(order).isNull() | F.lead("seq").over(order).isNull()
+    right = F.col("seq").isNotNull() & F.when(F.col("out").isNull(), ~at_end).otherwise((F.col("same") == 1) & F.coalesce(before < F.col("out"), F.lit(True)))
+    judged = met.withColumn("right", right).withColumn("fits", F.bool_and("right").over(line))
+    good = judged.where("fits").select("line_id", F.lit("matched").alias("state"), "seq", F.col("out").isNotNull().alias("keep"))
+    bad = judged.where(~F.col("fits")).select("line_id").distinct().select("line_id", F.lit("unmatched").alias("state"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("boolean").alias("keep"))
+    searched = _by_search(marked.where("twice").drop("twice"), simplified.join(twice, "line_id", "left_semi"))
+    return good.unionByName(bad).unionByName(searched)

@@ -131,7 +131,9 @@ def bootstrap_ratio(units: DataFrame, key: str, top: str, bottom: str, seed: int
     placed = numbered(units.select(key, top, bottom), key)
     n = placed.agg(F.count("*").alias("of"))
     draws = placed.select(F.col("number").alias("j")).join(F.broadcast(n)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = with_draw(draws, seed, F.col("replicate") * F.col("of") + F.col("j"), "u").select("replicate", F.floor(F.col("u") * F.col("of")).alias("number"))
+    drawn = with_draw(draws, seed, F.col("replicate") * F.col("of") + F.col("j"), "u")
+    # Never null, so that the join adds no test of it, which would go down through all the steps of a draw.
+    drawn = drawn.select("replicate", F.coalesce(F.floor(F.col("u") * F.col("of")), F.lit(0)).alias("number"))
     times = drawn.groupBy("replicate", "number").agg(F.count("*").alias("times"))
     met = times.join(placed, "number")
     return met.groupBy("replicate").agg(F.try_divide(F.sum(F.col("times") * F.col(top)), F.sum(F.col("times") * F.col(bottom))).alias("ratio"))
