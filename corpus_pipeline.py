@@ -2,6 +2,12 @@
 
 ``STAGES`` lists ``(name, function)``; each function takes ``(spark, docs, sf_dir)``, works on all that its
 predecessor kept and returns a DataFrame, which is written as Parquet and reread as the next one's ``docs``.
+
+``documents`` needs ``doc_id, text, lang, source``; other columns pass through up to packing, whatever their names. Null
+and letterless texts go in the first stage. A null ``doc_id`` passes the first two and the near duplicates as it is
+and is mixed and packed like any other; rows that repeat are documents of their own but for near duplicates, where
+those of one ``doc_id`` are one document. A null source is a source. Texts of any length pass whole. An empty table
+gives no windows.
 """
 
 from __future__ import annotations
@@ -15,16 +21,24 @@ from tellurion.llm import langid, linedup, mixing, neardup, packing
 from tellurion.llm._util import shared_folder, table
 
 
+def _apart(docs: DataFrame, *made: str) -> tuple[DataFrame, list]:
+    """``docs`` with its columns of these names renamed, and all its columns under their own names again."""
+    names = {c: f"__docs_{c}" for c in docs.columns if c in made}
+    return docs.withColumnsRenamed(names), [F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects null text and text without a letter, nothing else; where nothing is learned, all. How well a language fits decides nothing here."""
-    return langid.language_of(docs).where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+    given, back = _apart(docs, "lang_pred", "score", "langs", "held_out")
+    return langid.language_of(given).where(F.col("lang_pred") != langid.UNKNOWN).select(back)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes repeated blocks of lines; a document of which no word is left goes."""
-    out = linedup.drop_repeated_lines(docs)
+    given, back = _apart(docs, "n_lines", "n_removed")
+    out = linedup.drop_repeated_lines(given)
     out = out.where((F.col("n_removed") < F.col("n_lines")) | (F.col("n_removed") == 0))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(back)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +49,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.mix(docs).where(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
+    given, back = _apart(docs, "size", "source_size", "target", "rate", "copies", "copy")
+    return mixing.mix(given).where(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(back)
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +62,7 @@ def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("near_dedup", near_copies), ("mixing", mixture), ("packing", windows)]
 
-#: Language inference, patience diff and packing have no SQL form; the test of run() holds only that the ids are a subset and that some are left.
+#: Language inference, patience diff and packing have no SQL form; tests/llm holds every stage against a plain restatement.
 ORACLE_SQL = None
 
 
