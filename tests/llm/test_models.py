@@ -40,29 +40,80 @@ def test_base_counts(spark, documents):
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (_crc(i) % 7 == 2, len(w), sum(x in seen for x in w), total)
         assert r["base_score"] == pytest.approx(sum(math.log10(seen[x] + 1) for x in w) - len(w) * norm, rel=1e-9)
-    # Held-out bytes are better foreseen than by their frequency. (The add-one unigrams are not beaten at this size: README.)
+    # Held-out bytes are better foreseen than by their frequency.
     bytes_ = Counter(b for i, t in rows if _crc(i) % 7 != 2 for b in (t or "").translate(LOWER).encode())
     held = [(i, (t or "").translate(LOWER).encode()) for i, t in rows if _crc(i) % 7 == 2]
     alone = sum(math.log10((bytes_[b] + 1) / (sum(bytes_.values()) + 256)) for b in b"".join(t for _, t in held))
     assert sum(got[i]["score"] for i, _ in held) > 0.75 * alone
 
 
-def test_scores_are_probabilities(spark):
-    """After any context the probabilities of all next bytes and of the end add up to one."""
-    training = spark.createDataFrame([(bytearray(b"abracadabra alakazam"),), (bytearray(b"the cat sat on the mat"),)], "text binary")
-    model = scoring.learn(training)
-    for before in (b"", b"a", b"abrac", b"zzzzzz", b"the c"):
-        own = float(np.asarray(model.score([before]))[0])
-        symbols = scoring.stream([before], model.codes)
-        end = float(model.predicted(symbols)[len(before)])
-        prefix = own - end
-        mass = 10**end
-        for byte in range(256):
-            more = before + bytes([byte])
-            closing = float(model.predicted(scoring.stream([more], model.codes))[len(more)])
-            mass += 10 ** (float(model.score([more])[0]) - closing - prefix)
-        # Symbols without a byte of their own keep some of the mass: never more than one is given out.
-        assert 0.5 < mass < 1 + 1e-4
+def _ctw(texts, alphabet, least):
+    """log10 probability of a symbol after a context, by plain recursion over suffixes, one decision at a time."""
+    seen = Counter()  # (context, nearest byte last; symbol)
+    for t in texts:
+        t = bytes([255]) * scoring.DEPTH + t + bytes([255])
+        for i in range(scoring.DEPTH, len(t)):
+            for d in range(scoring.DEPTH + 1):
+                seen[t[i - d : i], int(alphabet.code[t[i]])] += 1
+    total = Counter()
+    for (c, _), n in seen.items():
+        total[c] += n
+    nodes = {c for c, n in total.items() if len(c) <= 2 or n >= least}
+    children = {c: [x for x in nodes if len(x) == len(c) + 1 and x[1:] == c] for c in nodes}
+
+    def bits(c, k):
+        return tuple(sum(n * m[s, k] for s in range(alphabet.size) if (n := seen[c, s])) for m in (alphabet.zero, alphabet.one))
+
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) if a + b else 0.0
+
+    def weighted(c, k):
+        own = kt(*bits(c, k))
+        if len(c) == scoring.DEPTH:
+            return own
+        inner = [bits(x, k) for x in children[c]]
+        below = sum(weighted(x, k) for x in children[c]) + kt(*(max(0, bits(c, k)[j] - sum(x[j] for x in inner)) for j in (0, 1)))
+        return math.log((math.exp(own) + math.exp(below)) / 2)
+
+    def one(context, k):
+        p, left, above, d = 0.0, 1.0, 0.5, 0
+        while True:
+            c = context[len(context) - d :]
+            a, b = bits(c, k)
+            above = (b + 0.5) / (a + b + 1) if a + b else above
+            if d == scoring.DEPTH or context[len(context) - d - 1 :] not in nodes:
+                return p + left * above
+            share = math.exp(kt(a, b) - math.log(2) - weighted(c, k)) if a + b else 1.0
+            p, left, d = p + left * share * above, left * (1 - share), d + 1
+
+    def symbol(context, s):
+        return sum(math.log10(one(context, k) if alphabet.one[s, k] else 1 - one(context, k)) for k in range(alphabet.size - 1) if alphabet.one[s, k] or alphabet.zero[s, k])
+
+    return symbol
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_weighting_matches_recursion(spark, least):
+    texts = [b"abracadabra", b"abacab", b"", b"cadabra"]
+    alphabet, model, upper = scoring.learn(spark.createDataFrame([(bytearray(t),) for t in texts], "text binary"), least)
+    got = model.collect()
+    keys = np.concatenate([upper[0], *(np.frombuffer(r["keys"], np.uint64) for r in got)])
+    rows = np.concatenate([upper[1], *(np.frombuffer(r["rows"], np.float16).reshape(-1, alphabet.size) for r in got)])
+    assert np.allclose((10.0 ** rows.astype(float)).sum(1), 1, atol=5e-3)
+    want = _ctw(texts, alphabet, least)
+    lookup = scoring.Lookup(keys, rows)
+    for t in (b"abracad", b"zzz", b"dab", b""):
+        cells, _ = scoring.cells_of([t], alphabet.code)
+        padded = bytes([255]) * scoring.DEPTH + t + bytes([255])
+        brute = [want(padded[i : i + scoring.DEPTH], int(alphabet.code[padded[i + scoring.DEPTH]])) for i in range(len(t) + 1)]
+        assert np.allclose(scoring.predicted(lookup, cells), brute, rtol=2e-3, atol=2e-3)
+
+
+def test_many_parts_score_as_one(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"the {w} sat on a {w} mat") for i, w in enumerate(["cat", "dog", "\u00e9t\u00e9", "cow", "owl", "ant", "bee", "elk", "fox", "hen"])], "doc_id long, text string")
+    whole = {r["doc_id"]: r["score"] for r in scoring.score(docs).collect()}
+    monkeypatch.setattr(scoring, "PART", 2000)
+    assert {r["doc_id"]: pytest.approx(r["score"]) for r in scoring.score(docs).collect()} == whole
 
 
 def test_scoring_edges(spark):
@@ -88,7 +139,7 @@ def test_language_held_out(spark, documents):
 def test_proportions_match_brute_force():
     rng = np.random.default_rng(5)
     ll, per = rng.normal(size=(30, 3)).astype(np.float32) * 3, np.array([12, 0, 18])
-    main, share = langid.infer(ll, per)
+    main, share, _ = langid.infer(ll, per)
     at = 0
     for k, n in enumerate(per):
         if not n:
