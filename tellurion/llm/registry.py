@@ -1,6 +1,6 @@
 """Queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from tellurion.llm import ann, chat, exactdup, langid, linedup, mixing, neardup, packing, quality, scoring, substring
+from tellurion.llm import ann, chat, exactdup, langid, linedup, mixing, neardup, packing, quality, resampling, scoring, substring
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,7 +13,8 @@ QUERIES = {
     "op8_langid": langid.op8_langid,
     "op9_linedup": linedup.op9_linedup,
     "op10_quality": quality.op10_quality,
+    "op12_resampling": resampling.op12_resampling,
     "op13_exactdedup": exactdup.op13_exactdedup,
 }
 
-SQL = {"op4_perspectives": chat.OP4_SQL, "op13_exactdedup": exactdup.OP13_SQL}
+SQL = {"op4_perspectives": chat.OP4_SQL, "op12_resampling": resampling.OP12_SQL, "op13_exactdedup": exactdup.OP13_SQL}
