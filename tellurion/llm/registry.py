@@ -1,6 +1,6 @@
 """Queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from tellurion.llm import ann, chat, exactdup, langid, linedup, mixing, neardup, packing, quality, resampling, scoring, substring
+from tellurion.llm import ann, chat, exactdup, langid, linedup, mixing, neardup, packing, periodic, quality, resampling, scoring, substring
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_langid": langid.op8_langid,
     "op9_linedup": linedup.op9_linedup,
     "op10_quality": quality.op10_quality,
+    "op11_periodic": periodic.op11_periodic,
     "op12_resampling": resampling.op12_resampling,
     "op13_exactdedup": exactdup.op13_exactdedup,
 }
