@@ -67,8 +67,9 @@ class WordIds:
 
     White space never lies inside a token and the tokenizer cuts a text into pieces first, so a text's ids are
     those of its words, and a word's those of its pieces, in turn. Texts of ASCII and Latin-1 letters are cut
-    here by the tokenizer's own rule, which leaves only the byte-pair merges to do; the words of other texts go
-    through the whole tokenizer.
+    here by the tokenizer's own rule, which leaves only the byte-pair merges to do; the words of other texts, and of
+    those in which a token added to the vocabulary is spelt out, go through the whole tokenizer. Should a tokenizer
+    have added tokens with white space in them, texts that hold one go through it whole.
     """
 
     LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
@@ -88,11 +89,16 @@ class WordIds:
         pieces = _Kept(lambda x: packed([t.id for t in merge(x if x.isascii() else x.translate(self.BYTES))]))
         self.plain = _Kept(lambda word: b"".join(map(pieces.__getitem__, cut(word))))
         self.any = _Kept(lambda word: packed(tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids))
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        self.wide = re.compile("|".join(re.escape(x) for x in added if x.split() != [x]) or "(?!)")
 
     def lines(self, text: bytes) -> list[bytes]:
         """The ids of each line."""
         plain = text.decode("utf-8", "replace")
-        lines, find = (text, self.any) if self.OTHER.search(plain) else (plain.lower(), self.plain)
+        if self.wide.search(plain):
+            return [self.any.make(text)]
+        lines, find = (text, self.any) if self.OTHER.search(plain) or self.added.search(plain) else (plain.lower(), self.plain)
         return [b"".join(map(find.__getitem__, line.split())) for line in lines.split(b"\n" if lines is text else "\n")]
 
 
