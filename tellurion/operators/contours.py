@@ -35,7 +35,7 @@ def crossing(edge: tuple[int, int], k: int) -> Column:
     return F.struct(F.lit(k).alias("edge"), x.alias("x"), y.alias("y"), ((za >= level) != (zb >= level)).alias("hit"))
 
 
-def segments(cells: DataFrame, interval: float = 1.0) -> DataFrame:
+def segments(cells: DataFrame, interval: float = 1.0, parts: bool = False) -> DataFrame:
     """``site, level, row, col, x1, y1, x2, y2, confidence`` of ``cells(site, row, col, z, confidence)``.
 
     Levels are the multiples of ``interval``; a block meets only those between its own least and greatest
@@ -43,6 +43,7 @@ def segments(cells: DataFrame, interval: float = 1.0) -> DataFrame:
     decides which corners are joined, their mean where there is no such point. A segment's confidence is the
     least of its block's. Cells with ``coverage`` (measured or interpolated) give segments ``prov`` (M, I, or X of
     both) and the least confidence of the corners of either kind, ``m`` and ``i``.
+    With ``parts``, column ``part`` numbers the segments of a block and level.
     """
     typed = "coverage" in cells.columns
     z, conf = [F.col(f"z{k}") for k in range(4)], [F.col(f"confidence{k}") for k in range(4)]
@@ -62,9 +63,9 @@ def segments(cells: DataFrame, interval: float = 1.0) -> DataFrame:
     pairs = F.when(F.size("e") == 2, F.array(pair(0, 1))).when(joined, F.array(pair(0, 1), pair(2, 3))).otherwise(F.array(pair(0, 3), pair(1, 2)))
     kind = lambda name: F.least(*(F.when(F.col(f"coverage{k}") == name, conf[k]) for k in range(4)))
     both = [kind("measured").alias("m"), kind("interpolated").alias("i")] if typed else []
-    out = met.select("site", "level", "row", "col", F.least(*conf).alias("confidence"), *both, F.explode(pairs).alias("s"))
+    out = met.select("site", "level", "row", "col", F.least(*conf).alias("confidence"), *both, F.posexplode(pairs).alias("part", "s"))
     extra = [F.when(F.col("i").isNull(), "M").when(F.col("m").isNull(), "I").otherwise("X").alias("prov"), "m", "i"] if typed else []
-    out = out.select("site", "level", "row", "col", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2"), "confidence", *extra)
+    out = out.select("site", "level", "row", "col", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2"), "confidence", *extra, *(["part"] if parts else []))
     return out.where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
 
 

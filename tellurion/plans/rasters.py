@@ -53,18 +53,18 @@ def despiked_floor(spark, sf_dir):
     return rounded(grid.despiked(grid.to_cells(points(spark, sf_dir), COLS, ROWS), 5), "floor")
 
 
-def _field(spark, sf_dir) -> DataFrame:
+def field_cells(spark, sf_dir) -> DataFrame:
     cells = grid.to_cells(points(spark, sf_dir), COLS, ROWS).groupBy(*grid.CELL).agg(F.count("*").alias("n"), F.avg("z").alias("z"))
     return fill.support_field(cells, ROWS, COLS, radius=RADIUS, tile=32)
 
 
 def support_field(spark, sf_dir):
-    return rounded(_field(spark, sf_dir).drop("n"), "z", "slope")
+    return rounded(field_cells(spark, sf_dir).drop("n"), "z", "slope")
 
 
 def coarse_resample(spark, sf_dir):
     """What near, average and least of coarse blocks claim beyond the least of the cells that carry the band, by site and factor."""
-    field, out = _field(spark, sf_dir), None
+    field, out = field_cells(spark, sf_dir), None
     for factor in (2, 4):
         b = grid.resampled(field, factor)
         bands = ("m", "i")
@@ -86,7 +86,7 @@ def coarse_resample(spark, sf_dir):
 def support_profiles(spark, sf_dir):
     """Cells by site, profile and grade, and their mean confidence: of the field's own rule and of two others."""
     cells = grid.to_cells(points(spark, sf_dir), COLS, ROWS)
-    field = _field(spark, sf_dir)
+    field = field_cells(spark, sf_dir)
     named = {"reference": field, "exponential": profiles.exponential(field), "survey": profiles.survey(field, profiles.standard_errors(cells))}
     out = None
     for name, f in named.items():
@@ -121,7 +121,7 @@ def opened_floor(spark, sf_dir):
 
 def typed_segments(spark, sf_dir):
     """Contour segments of the support field by site, provenance and grade: how many, their length, and the least supports of either kind."""
-    found = contours.segments(rounded(_field(spark, sf_dir), "z"), 1.0).withColumns({"grade": grid.grade(F.col("confidence")), "length": F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))})
+    found = contours.segments(rounded(field_cells(spark, sf_dir), "z"), 1.0).withColumns({"grade": grid.grade(F.col("confidence")), "length": F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))})
     out = found.groupBy("site", "prov", "grade").agg(F.count("*").alias("segments"), F.sum("length").alias("length"), F.sum("m").alias("m"), F.sum("i").alias("i"), F.count_if((F.col("prov") == "M") & (F.col("grade") == "dashed")).alias("measured_dashed"))
     return rounded(out, "length", to=4)
 
@@ -178,15 +178,18 @@ def _coarse(k: int) -> str:
 
 _GUARDED = _FIELD.replace("avg(z) AS z FROM c GROUP BY ALL)", """avg(z) AS z FROM c WHERE ("row" + col) % 7 > 1 AND "row" BETWEEN 10 AND 80 AND col < 90 GROUP BY ALL)""", 1)
 
-SQL = {
-    "typed_segments": f"""WITH {_FIELD}, s6 AS (SELECT * REPLACE (round(z, 6) AS z) FROM s), b AS (SELECT a.site, a."row", a.col, a.z AS z0, b.z AS z1, d.z AS z2, e.z AS z3, least(a.confidence, b.confidence, d.confidence, e.confidence) AS confidence,
+#: Segments of the field: blocks, levels, crossings of edges, pairs of these.
+_TYPED = f"""{_FIELD}, s6 AS (SELECT * REPLACE (round(z, 6) AS z) FROM s), b AS (SELECT a.site, a."row", a.col, a.z AS z0, b.z AS z1, d.z AS z2, e.z AS z3, least(a.confidence, b.confidence, d.confidence, e.confidence) AS confidence,
           list_min(list_transform(list_filter([a, b, d, e], lambda q: q.coverage = 'measured'), lambda q: q.confidence)) AS m, list_min(list_transform(list_filter([a, b, d, e], lambda q: q.coverage = 'interpolated'), lambda q: q.confidence)) AS i FROM s6 a
           JOIN s6 b ON b.site = a.site AND b."row" = a."row" AND b.col = a.col + 1 JOIN s6 d ON d.site = a.site AND d."row" = a."row" + 1 AND d.col = a.col + 1 JOIN s6 e ON e.site = a.site AND e."row" = a."row" + 1 AND e.col = a.col),
         lv AS (SELECT *, unnest(range(CAST(floor(least(z0, z1, z2, z3) - 1e-9) AS BIGINT) + 1, CAST(floor(greatest(z0, z1, z2, z3) + 1e-9) AS BIGINT) + 1)) * 1.0::DOUBLE AS level FROM b),
         cr AS (SELECT *, list_filter([{{'x': col + 0.5::DOUBLE + least(1, greatest(0, (level - z0) / (z1 - z0))), 'y': "row" + 0.5::DOUBLE, 'hit': (z0 >= level) <> (z1 >= level)}}, {{'x': col + 1.5::DOUBLE, 'y': "row" + 0.5::DOUBLE + least(1, greatest(0, (level - z1) / (z2 - z1))), 'hit': (z1 >= level) <> (z2 >= level)}},
             {{'x': col + 0.5::DOUBLE + least(1, greatest(0, (level - z3) / (z2 - z3))), 'y': "row" + 1.5::DOUBLE, 'hit': (z3 >= level) <> (z2 >= level)}}, {{'x': col + 0.5::DOUBLE, 'y': "row" + 0.5::DOUBLE + least(1, greatest(0, (level - z0) / (z3 - z0))), 'hit': (z0 >= level) <> (z3 >= level)}}], lambda h: h.hit) AS e,
           (CASE WHEN abs(z0 + z2 - z1 - z3) < 1e-12 THEN (z0 + z1 + z2 + z3) / 4 ELSE (z0 * z2 - z1 * z3) / (z0 + z2 - z1 - z3) END >= level) = (z0 >= level) AS joined FROM lv),
-        sg AS (SELECT *, unnest(CASE WHEN len(e) = 2 THEN [{{'p': e[1], 'q': e[2]}}] WHEN len(e) < 2 THEN [] WHEN joined THEN [{{'p': e[1], 'q': e[2]}}, {{'p': e[3], 'q': e[4]}}] ELSE [{{'p': e[1], 'q': e[4]}}, {{'p': e[2], 'q': e[3]}}] END) AS o FROM cr),
+        sg AS (SELECT *, unnest(CASE WHEN len(e) = 2 THEN [{{'p': e[1], 'q': e[2], 'k': 0}}] WHEN len(e) < 2 THEN [] WHEN joined THEN [{{'p': e[1], 'q': e[2], 'k': 0}}, {{'p': e[3], 'q': e[4], 'k': 1}}] ELSE [{{'p': e[1], 'q': e[4], 'k': 0}}, {{'p': e[2], 'q': e[3], 'k': 1}}] END) AS o FROM cr)"""
+
+SQL = {
+    "typed_segments": f"""WITH {_TYPED},
         tg AS (SELECT site, m, i, sqrt((o.p.x - o.q.x) ** 2 + (o.p.y - o.q.y) ** 2) AS len, CASE WHEN i IS NULL THEN 'M' WHEN m IS NULL THEN 'I' ELSE 'X' END AS prov, CASE WHEN confidence >= 66 THEN 'solid' WHEN confidence >= 33 THEN 'dashed' ELSE 'gap' END AS grade
           FROM sg WHERE o.p.x <> o.q.x OR o.p.y <> o.q.y)
         SELECT site, prov, grade, count(*) AS segments, round(sum(len), 4) AS length, CAST(sum(m) AS BIGINT) AS m, CAST(sum(i) AS BIGINT) AS i, count(*) FILTER (prov = 'M' AND grade = 'dashed') AS measured_dashed FROM tg GROUP BY site, prov, grade""",
