@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tellurion.operators import grid, ground, nearest
-from tellurion.plans.rasters import _CELLS, COLS, ROWS, rounded
+from tellurion.operators import geodesic, grid, ground, nearest, profiles
+from tellurion.plans.rasters import _CELLS, _FIELD, COLS, RADIUS, ROWS, field_cells, rounded
 from tellurion.sources.tables import points
 
 WIDEST, PERCENT = 3, 5
@@ -44,7 +44,18 @@ def distance_to_data(spark, sf_dir):
     return both[0].unionByName(both[1]).groupBy("site", "how", "dist").agg(F.count("*").alias("cells"), F.sum("source").alias("sources"))
 
 
-QUERIES = {f.__name__: f for f in (inpainted_floor, ground_points, trusted_surface, distance_to_data)}
+def geodesic_heights(spark, sf_dir):
+    """Mean heights of the cells, empty ones filled by distance over the ground."""
+    cells = grid.to_cells(points(spark, sf_dir), COLS, ROWS).groupBy(*grid.CELL).agg(F.avg("z").alias("z"))
+    return rounded(geodesic.geodesic_fill(cells, ROWS, COLS, radius=RADIUS, tile=32), "z")
+
+
+def kriging_support(spark, sf_dir):
+    """Support of the field's cells by the variance that their neighbours leave."""
+    return profiles.kriging(field_cells(spark, sf_dir), ROWS, COLS, tile=32).select("site", "row", "col", "coverage", "confidence")
+
+
+QUERIES = {f.__name__: f for f in (geodesic_heights, kriging_support, inpainted_floor, ground_points, trusted_surface, distance_to_data)}
 
 _FLOOR = f"""{_CELLS}, fz AS (SELECT site, "row" AS r, col AS c, list_sort(list(z)) AS zs FROM c GROUP BY ALL),
   d0 AS (SELECT site, r, c, zs[least(len(zs) - 1, greatest(CAST(ceil({PERCENT / 100}::DOUBLE * len(zs)) AS BIGINT) - 1, CASE WHEN len(zs) >= 3 THEN 1 ELSE 0 END)) + 1] AS z FROM fz)"""
@@ -68,10 +79,37 @@ def _progressive() -> str:
     return out
 
 
+#: Ways from every empty cell over the filled ground, shortened until none gets shorter; they end at measured cells.
+_WAYS = f"""{_FIELD}, gf AS MATERIALIZED (SELECT site, CAST(r * 100 + c AS INTEGER) AS cell, r, c, z, n IS NOT NULL AS have FROM f),
+  gn AS MATERIALIZED (SELECT a.site, a.cell, b.cell AS to_, b.r, b.c, sqrt(((dr <> 0)::INTEGER + (dc <> 0)::INTEGER)::DOUBLE + (b.z - a.z) ** 2) AS step FROM gf a, (VALUES (-1), (0), (1)) x(dr), (VALUES (-1), (0), (1)) y(dc), gf b
+    WHERE NOT a.have AND (dr <> 0 OR dc <> 0) AND b.site = a.site AND b.cell = a.cell + dr * 100 + dc AND b.c = a.c + dc),
+  gw(site, start, cell, cost) USING KEY (site, start, cell) AS (SELECT site, cell, cell, 0.0::DOUBLE FROM gf WHERE NOT have
+    UNION SELECT q.site, q.start, q.cell, q.cost FROM (SELECT w.site, w.start, n.to_ AS cell, min(w.cost + n.step) AS cost FROM gw w JOIN gn n ON n.site = w.site AND n.cell = w.cell
+        WHERE abs(n.r - w.start // 100) <= {RADIUS} AND abs(n.c - w.start % 100) <= {RADIUS} GROUP BY ALL) q LEFT JOIN recurring.gw o ON o.site = q.site AND o.start = q.start AND o.cell = q.cell WHERE o.cost IS NULL OR q.cost < o.cost),
+  gk AS (SELECT w.site, w.start, w.cost, d.z, row_number() OVER (PARTITION BY w.site, w.start ORDER BY w.cost, w.cell) AS k FROM gw w JOIN gf d ON d.site = w.site AND d.cell = w.cell AND d.have),
+  gb AS (SELECT site, start, sum(z / cost ** 2) / sum(1 / cost ** 2) AS z FROM gk WHERE k <= 12 GROUP BY ALL)"""
+
+
+def _eliminated() -> str:
+    """The matrix of covariances with its vector below and beside, eliminated row by row; its corner is the share, less."""
+    out, last = "", "k0"
+    for p in range(1, profiles.USED + 1):
+        out += f""", k{p} AS (SELECT * REPLACE (CASE WHEN k < {p} THEN m ELSE list_transform(m, lambda o, i: CASE WHEN i > {p} THEN list_transform(o, lambda v, j: v - o[{p}] / m[{p}][{p}] * m[{p}][j]) ELSE o END) END AS m) FROM {last})"""
+        last = f"k{p}"
+    return out
+
+
+_KRIGING = f"""{_FIELD}, nb AS (SELECT s.site, s."row" AS r, s.col AS c, s.coverage, coalesce(list({{'r': m.r, 'c': m.c, 'n': m.n, 'h': sqrt((m.r - s."row") ** 2 + (m.c - s.col) ** 2)}} ORDER BY (m.r - s."row") ** 2 + (m.c - s.col) ** 2, m.r, m.c) FILTER (m.n IS NOT NULL), [])[1:{profiles.USED}] AS nb
+    FROM s LEFT JOIN m ON m.site = s.site AND abs(m.r - s."row") <= {profiles.REACH} AND abs(m.c - s.col) <= {profiles.REACH} GROUP BY ALL),
+  k0 AS (SELECT site, r, c, coverage, len(nb) AS k, list_append(list_transform(nb, lambda p, i: list_append(list_transform(nb, lambda q, j: exp(-sqrt((p.r - q.r) ** 2 + (p.c - q.c) ** 2) / 3.0::DOUBLE) + CASE WHEN i = j THEN 0.5::DOUBLE / p.n ELSE 0 END), exp(-p.h / 3.0::DOUBLE))),
+    list_append(list_transform(nb, lambda q: exp(-q.h / 3.0::DOUBLE)), 0.0::DOUBLE)) AS m FROM nb){_eliminated()}"""
+
 _OUT = 'SELECT site, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, round(z, 6) AS z, had_data FROM w0'
 _DISTANCE = """SELECT site, '{how}' AS how, CAST(key // 1000000 AS BIGINT) AS dist, count(*) AS cells, CAST(sum(key % 1000000) AS BIGINT) AS sources FROM
   (SELECT go.site, go.r, go.c, min(CAST({by} AS BIGINT) * 1000000 + d.r * 100 + d.c) AS key FROM go JOIN d0 d ON d.site = go.site GROUP BY go.site, go.r, go.c) GROUP BY ALL"""
 SQL = {
+    "geodesic_heights": f"""WITH RECURSIVE {_WAYS} SELECT gf.site, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, round(coalesce(gb.z, gf.z), 6) AS z, have AS measured FROM gf LEFT JOIN gb ON gb.site = gf.site AND gb.start = gf.cell""",
+    "kriging_support": f"""WITH {_KRIGING} SELECT site, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, coverage, CAST(floor(100 * least(1, greatest(0, -m[k + 1][k + 1])) + 0.5) AS BIGINT) AS confidence FROM k{profiles.USED}""",
     "inpainted_floor": f"WITH {_FLOOR}, {_filled('d0')} {_OUT}",
     "ground_points": f"""WITH {_FLOOR}, {_filled('d0')}{_progressive()},
   st AS (SELECT a.site, a.r, a.c, any_value(a.z) AS z, coalesce(max(abs(a.z - b.z)), 0) AS slope FROM w{WIDEST} a LEFT JOIN w{WIDEST} b ON b.site = a.site AND abs(a.r - b.r) + abs(a.c - b.c) = 1 AND b.r BETWEEN a.r - 1 AND a.r + 1 GROUP BY a.site, a.r, a.c),
