@@ -32,7 +32,7 @@ QUERIES = {f.__name__: f for f in (stitched_lines, line_evidence)}
 #: Ends paired at every point; a walk from each segment either way gives its line's least, and from that one the places.
 _LINES = f"""{_TYPED},
   gs AS MATERIALIZED (SELECT site, level, (CAST("row" AS BIGINT) << 33) + (CAST(col AS BIGINT) << 1) + o.k AS seg, o.p.x AS x1, o.p.y AS y1, o.q.x AS x2, o.q.y AS y2, confidence, m, i,
-        floor(o.p.x / 0.001::DOUBLE + 0.5) AS ax, floor(o.p.y / 0.001::DOUBLE + 0.5) AS ay, floor(o.q.x / 0.001::DOUBLE + 0.5) AS bx, floor(o.q.y / 0.001::DOUBLE + 0.5) AS by_ FROM sg),
+        floor(o.p.x / 0.001::DOUBLE + 0.5) AS ax, floor(o.p.y / 0.001::DOUBLE + 0.5) AS ay, floor(o.q.x / 0.001::DOUBLE + 0.5) AS bx, floor(o.q.y / 0.001::DOUBLE + 0.5) AS by_ FROM sg WHERE o.p.x <> o.q.x OR o.p.y <> o.q.y),
   gw AS (SELECT * FROM gs WHERE ax <> bx OR ay <> by_),
   pe AS (SELECT *, row_number() OVER (PARTITION BY site, level, kx, ky ORDER BY seg, e) - 1 AS rn FROM (SELECT site, level, seg, 0 AS e, ax AS kx, ay AS ky FROM gw UNION ALL SELECT site, level, seg, 1, bx, by_ FROM gw)),
   jn AS MATERIALIZED (SELECT a.site, a.level, a.seg, a.e, b.seg AS seg2, b.e AS e2 FROM pe a JOIN pe b ON b.site = a.site AND b.level = a.level AND b.kx = a.kx AND b.ky = a.ky AND b.rn = xor(a.rn, 1)),

@@ -171,15 +171,15 @@ def _met(c: str, own: str) -> str:
     return f"{state} AS {c}_state, CASE WHEN {state} = 'value' THEN min({c}) FILTER ({on}) END AS {c}_value, CASE WHEN {state} = 'value' AND {scoped} > 0 THEN array_to_string({common}, '|') END AS {c}_scope"
 
 
-def _thinned(name: str, forced: str) -> str:
+def _thinned(name: str, forced: str, tolerance: float = TOLERANCE, f: str = "f", o: str = "o") -> str:
     """Chords of the recursion by halves, and the vertices it retains."""
-    return f"""{name}_c(line_id, a, b) AS (SELECT line_id, a, b FROM (SELECT line_id, seq AS a, lead(seq) OVER (PARTITION BY line_id, run ORDER BY seq) AS b FROM f WHERE {forced}) WHERE b IS NOT NULL
+    return f"""{name}_c(line_id, a, b) AS (SELECT line_id, a, b FROM (SELECT line_id, seq AS a, lead(seq) OVER (PARTITION BY line_id, run ORDER BY seq) AS b FROM {f} WHERE {forced}) WHERE b IS NOT NULL
   UNION ALL SELECT line_id, unnest([a, k]), unnest([k, b]) FROM (SELECT line_id, a, b, m.d AS d, -m.s AS k FROM (
     SELECT h.line_id, h.a, h.b, max({{'d': CASE WHEN q.x = p.x AND q.y = p.y THEN sqrt((f.x - p.x) ** 2 + (f.y - p.y) ** 2)
         ELSE abs((f.x - p.x) * (q.y - p.y) - (f.y - p.y) * (q.x - p.x)) / sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) END, 's': -f.seq}}) AS m
-    FROM {name}_c h JOIN f p ON p.line_id = h.line_id AND p.seq = h.a JOIN f q ON q.line_id = h.line_id AND q.seq = h.b JOIN f ON f.line_id = h.line_id AND f.seq > h.a AND f.seq < h.b GROUP BY ALL)) WHERE d > {TOLERANCE}),
+    FROM {name}_c h JOIN {f} p ON p.line_id = h.line_id AND p.seq = h.a JOIN {f} q ON q.line_id = h.line_id AND q.seq = h.b JOIN {f} f ON f.line_id = h.line_id AND f.seq > h.a AND f.seq < h.b GROUP BY ALL)) WHERE d > {tolerance}),
 {name}_k AS (SELECT DISTINCT line_id, unnest([a, b]) AS seq FROM {name}_c),
-{name}_s AS (SELECT o.*, count(k.seq) OVER (PARTITION BY o.line_id ORDER BY o.seq) AS span FROM o LEFT JOIN {name}_k k ON k.line_id = o.line_id AND k.seq = o.seq),
+{name}_s AS (SELECT o.*, count(k.seq) OVER (PARTITION BY o.line_id ORDER BY o.seq) AS span FROM {o} o LEFT JOIN {name}_k k ON k.line_id = o.line_id AND k.seq = o.seq),
 {name}_e AS (SELECT * FROM {name}_s WHERE len IS NOT NULL)"""
 
 
