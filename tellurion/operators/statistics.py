@@ -27,13 +27,13 @@ def running(counts: DataFrame, by: str, value: str, weight: str) -> DataFrame:
     return parted.join(sums.select(by, "__part", before.alias("__before")), [by, "__part"]).withColumn("upto", within + F.col("__before")).drop("__part", "__before")
 
 
-def rank_correlation(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
-    """Spearman's coefficient of ``a`` and ``b`` a group, ties at their average rank: ``by, n, rho``.
+def rank_correlation(df: DataFrame, by: str, a: str, b: str, weight: str | None = None) -> DataFrame:
+    """Spearman's coefficient of ``a`` and ``b`` a group, ties at their average rank: ``by, n, rho``. A row counts ``weight`` (whole) times.
 
     Rows are counted by pair of values first, so that windows see distinct values and never a group's rows.
     Rows with a null take no part; ``rho`` is null under three rows or where a column doesn't vary.
     """
-    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(by, a, b).agg(F.count("*").alias("w"))
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(by, a, b).agg((F.sum(weight) if weight else F.count("*")).alias("w"))
 
     def ranks(value: str, name: str) -> DataFrame:
         upto = running(pairs.groupBy(by, value).agg(F.sum("w").alias("w")), by, value, "w")
