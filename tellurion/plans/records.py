@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tellurion.operators import evidence, match, meet, simplify
@@ -125,13 +125,14 @@ def query_retention(spark, sf_dir):
 def recovered_records(spark, sf_dir):
     """Records of the spans of simplified lines of which only the coordinates are known, matched back to their sources.
 
-    A line is a stretch between gaps here; its number is made of both.
+    A line is a stretch between gaps here; both numbers name it. Spans are numbered in it.
     """
-    placed = simplify.stretches(vertices(spark, sf_dir)).withColumn("of", F.col("line_id")).withColumn("line_id", F.col("line_id") * 1000 + F.col("run"))
-    thin = simplify.thinned(placed.withColumn("run", F.lit(0)), TOLERANCE, {"keep": None}).where("keep").select("line_id", F.col("seq"), "x", "y")
-    found = match.matched(placed, thin).where("state = 'matched'").select("line_id", "seq", "keep")
-    edges = simplify.edges_within(placed.withColumn("run", F.lit(0)).join(found, ["line_id", "seq"]), "keep").withColumnRenamed("keep", "span")
-    out = evidence.wrapped(evidence.profiles(edges, ["line_id", "span"]))
+    placed = simplify.stretches(vertices(spark, sf_dir))
+    key = ["line_id", "run"]
+    thin = simplify.thinned(placed, TOLERANCE, {"keep": None}).where("keep").select(*key, "seq", "x", "y")
+    found = match.matched(placed, thin, tuple(key)).where("state = 'matched'").select(*key, "seq", "keep")
+    edges = simplify.edges_within(placed.join(found, [*key, "seq"]), "keep").withColumn("span", F.col("keep") - F.min("keep").over(Window.partitionBy(*key)) + 1)
+    out = evidence.wrapped(evidence.profiles(edges, [*key, "span"]))
     return rounded(out, "len", *(f"{c}_ge{t}" for c in "mi" for t in (66, 33)))
 
 
@@ -207,8 +208,8 @@ SQL = {
         SELECT line_id, arc, array_to_string(list_filter([CASE WHEN bool_or(prov IN ('M', 'X')) THEN 'measured' END, CASE WHEN bool_or(prov IN ('I', 'X')) THEN 'interpolated' END], lambda p: p IS NOT NULL), '|') AS provenance,
         {_met('m', 'M')}, {_met('i', 'I')}, array_to_string(list_sort(list(DISTINCT 'tile' || (seq % 5))), '|') AS lineage FROM r GROUP BY line_id, arc""",
     "wrapped_records": f"WITH {_EDGES}, z AS (SELECT * REPLACE (CASE WHEN seq % 17 <> 0 THEN m END AS m, CASE WHEN seq % 17 <> 0 THEN i END AS i) FROM s) {_wrapped('line_id, span', 'z')}",
-    "recovered_records": f"""WITH RECURSIVE {_PLACED}, {_thinned('dp', 'is_end')}, y AS (SELECT *, line_id * 1000 + run AS own, span - min(span) OVER (PARTITION BY line_id, run) + 1 AS part FROM dp_e),
-        z AS (SELECT CAST(own AS BIGINT) AS line_id, CAST(part AS BIGINT) AS span, len, prov, m, i FROM y) {_wrapped('line_id, span', 'z')}""",
+    "recovered_records": f"""WITH RECURSIVE {_PLACED}, {_thinned('dp', 'is_end')}, y AS (SELECT *, span - min(span) OVER (PARTITION BY line_id, run) + 1 AS part FROM dp_e),
+        z AS (SELECT line_id, CAST(run AS BIGINT) AS run, CAST(part AS BIGINT) AS span, len, prov, m, i FROM y) {_wrapped('line_id, run, span', 'z')}""",
     "profile_merge": f"WITH {_EDGES} {_wrapped('line_id', 's')}",
     "profile_accounting": f"WITH {_EDGES}, p AS ("
     + " UNION ALL ".join(

@@ -85,3 +85,15 @@ def test_matched_lines(spark):
     assert {n: "".join("x" if k else "-" for _, k in v) for n, v in got.items() if v[0][0] == "matched"} == {"ok": "xx-x", "whole": "xxxxx", "ring": "xxxx", "ring2": "xx-x"}
     assert {n for n, v in got.items() if v == [("unmatched", None)]} == {"order", "end", "foreign", "missing", "alone", "again"}
     assert got["ambiguous"] == [("ambiguous", None)]
+
+
+def test_lone_vertices_and_rounding(spark):
+    """A ring isn't matched by its first vertex alone; coordinates agree to nine decimals; lines are named by two columns."""
+    assert match.recovered([(0, 0)], [(0, 0), (1, 1), (0, 0)]) == ("unmatched", []) and match.recovered([(0, 0)], [(0, 0)]) == ("matched", [0])
+    source = [(1, r, k, float(k) + 1 / 3, float(k % 3)) for r in (0, 1) for k in range(4)] + [(2, 0, k, x, 0.0) for k, x in enumerate((0.0, 1.0, 0.0))]
+    out = [(1, 0, 0, 1 / 3 + 1e-11, 0.0), (1, 0, 1, 3 + 1 / 3, 0.0), (1, 1, 0, 1 / 3 + 1e-7, 0.0), (1, 1, 1, 3 + 1 / 3, 0.0), (2, 0, 0, 0.0, 0.0)]
+    a, b = (spark.createDataFrame(t, "line_id long, run int, seq long, x double, y double") for t in (source, out))
+    got = {}
+    for r in match.matched(a, b, ("line_id", "run")).collect():
+        got.setdefault((r["line_id"], r["run"], r["state"]), []).append((r["seq"], r["keep"]))
+    assert {k: sorted(v, key=str) for k, v in got.items()} == {(1, 0, "matched"): [(0, True), (1, False), (2, False), (3, True)], (1, 1, "unmatched"): [(None, None)], (2, 0, "unmatched"): [(None, None)]}
