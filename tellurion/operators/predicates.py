@@ -43,6 +43,25 @@ def mask_class(height: Column, error: Column, edited: Column, edited_code: float
     return F.when((edited == 0) | ~finite(height), "void").when((edited == 1) & valid, "measured").otherwise("edited")
 
 
+def producer_evidence(cells: DataFrame) -> DataFrame:
+    """``cells(site, row, col, z, error, edited)`` with ``coverage`` and ``confidence``; voids are left out.
+
+    A measured cell's support is less its height error, so that a smaller error is stronger; edited cells have no error
+    estimate and take one constant, 0.
+    """
+    kind = mask_class(F.col("z"), F.col("error"), F.col("edited"))
+    known = cells.withColumn("__kind", kind).where("__kind <> 'void'")
+    measured = F.col("__kind") == "measured"
+    return known.withColumns({"coverage": F.when(measured, "measured").otherwise("interpolated"), "confidence": F.when(measured, -F.col("error")).otherwise(0.0)}).drop("__kind")
+
+
+def in_metres(points: DataFrame, references: DataFrame) -> DataFrame:
+    """``points(site, z, ...)`` of sites whose vertical unit can be told, ``z`` in metres, with ``unit``; ``references(site, reference)`` are known heights."""
+    middle = points.where(finite(F.col("z"))).groupBy("site").agg(F.percentile_approx("z", 0.5, 100_000).alias("__mid"))
+    unit = middle.join(references, "site").select("site", vertical_unit(F.col("__mid"), F.col("reference")).alias("unit")).where("unit is not null")
+    return points.join(F.broadcast(unit), "site").withColumn("z", F.when(F.col("unit") == "foot", F.col("z") * FOOT).otherwise(F.col("z")))
+
+
 def vertical_unit(median: Column, reference: Column) -> Column:
     """``metre`` or ``foot``, whichever brings the median nearer to the reference height by the margin; else null."""
     dm, df = F.abs(median - reference), F.abs(median * FOOT - reference)
