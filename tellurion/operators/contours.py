@@ -35,10 +35,10 @@ def crossing(edge: tuple[int, int], k: int) -> Column:
     return F.struct(F.lit(k).alias("edge"), x.alias("x"), y.alias("y"), ((za >= level) != (zb >= level)).alias("hit"))
 
 
-def segments(cells: DataFrame, interval: float = 1.0, parts: bool = False) -> DataFrame:
+def segments(cells: DataFrame, interval: float = 1.0, parts: bool = False, given: list[float] | None = None) -> DataFrame:
     """``site, level, row, col, x1, y1, x2, y2, confidence`` of ``cells(site, row, col, z, confidence)``.
 
-    Levels are the multiples of ``interval``; a block meets only those between its own least and greatest
+    Levels are the multiples of ``interval``, or those ``given`` (as by ``level_list``); a block meets only those between its own least and greatest
     height. A height at the level counts as above it. In a saddle the value at the bilinear saddle point
     decides which corners are joined, their mean where there is no such point. A segment's confidence is the
     least of its block's. Cells with ``coverage`` (measured or interpolated) give segments ``prov`` (M, I, or X of
@@ -50,8 +50,12 @@ def segments(cells: DataFrame, interval: float = 1.0, parts: bool = False) -> Da
     # A level that rounding puts a little above a block's greatest height still meets it.
     first, last = F.floor(F.least(*z) / interval - SLACK).cast("long") + 1, F.floor(F.greatest(*z) / interval + SLACK).cast("long")
     levels = F.sequence(first, last)
-    met = blocks(cells, "z", "confidence", *(["coverage"] if typed else [])).where(last >= first)
-    met = met.withColumn("level", F.explode(levels)).withColumn("level", F.col("level") * F.lit(interval))
+    met = blocks(cells, "z", "confidence", *(["coverage"] if typed else []))
+    if given is None:
+        met = met.where(last >= first).withColumn("level", F.explode(levels)).withColumn("level", F.col("level") * F.lit(interval))
+    else:
+        listed = F.array(*(F.lit(float(x)) for x in given)) if given else F.array().cast("array<double>")
+        met = met.withColumn("level", F.explode(F.filter(listed, lambda x: (x > F.least(*z)) & (x <= F.greatest(*z)))))
     twist = z[0] + z[2] - z[1] - z[3]
     saddle = F.when(F.abs(twist) >= FLAT, F.try_divide(z[0] * z[2] - z[1] * z[3], twist)).otherwise((z[0] + z[1] + z[2] + z[3]) / 4)
     joined = (saddle >= F.col("level")) == (z[0] >= F.col("level"))
@@ -69,6 +73,27 @@ def segments(cells: DataFrame, interval: float = 1.0, parts: bool = False) -> Da
     return out.where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
 
 
+def uniform(levels: list[float]) -> float | None:
+    """The spacing of the levels if it is the same throughout."""
+    steps = [b - a for a, b in zip(levels, levels[1:], strict=False)]
+    return steps[0] if steps and all(abs(s - steps[0]) <= SLACK * max(1.0, abs(steps[0])) for s in steps) else None
+
+
+def no_contours(cells: DataFrame, levels: list[float]) -> DataFrame:
+    """``site, reason`` of sites whose surface ``cells(site, row, col, z)`` no level crosses: too few covered cells (in fewer than two rows or
+    columns, too), no levels, a flat surface, a range between two levels, or no block of cells that a level crosses."""
+    heights = cells.where(F.col("z").isNotNull() & ~F.isnan("z") & (F.abs("z") < float("inf")))
+    ends = heights.groupBy("site").agg(F.min("z").alias("low"), F.max("z").alias("high"), (F.max("row") > F.min("row")).alias("tall"), (F.max("col") > F.min("col")).alias("wide"))
+    listed = F.array(*(F.lit(float(x)) for x in levels)) if levels else F.array().cast("array<double>")
+    z = [F.col(f"z{k}") for k in range(4)]
+    crossed = blocks(heights, "z").where(F.exists(listed, lambda x: (x > F.least(*z)) & (x <= F.greatest(*z)))).select("site").distinct().withColumn("crossed", F.lit(True))
+    sites = cells.select("site").distinct().join(ends, "site", "left").join(crossed, "site", "left").where("crossed is null")
+    few = F.col("low").isNull() | ~F.col("tall") | ~F.col("wide")
+    between = ~F.exists(listed, lambda x: (x > F.col("low")) & (x < F.col("high")))
+    reason = F.when(few, "too few covered cells").when(F.size(listed) == 0, "no levels").when(F.col("low") == F.col("high"), "flat surface").when(between, "range between levels").otherwise("no cell crosses a level")
+    return sites.select("site", reason.alias("reason"))
+
+
 def level_list(interval: float | None = None, low: float | None = None, high: float | None = None, given: list[float] | None = None, most: int = 200) -> tuple[list[float], float | None]:
     """The levels of a range or those given, and their spacing (null unless uniform).
 
@@ -79,14 +104,13 @@ def level_list(interval: float | None = None, low: float | None = None, high: fl
         levels = [first + k * interval for k in range(max(0, math.floor((high - first) / interval + 1 + SLACK)))]
     else:
         levels = sorted(given)
-    steps = [b - a for a, b in zip(levels, levels[1:], strict=False)]
-    spacing = interval if given is None else (steps[0] if steps and all(abs(s - steps[0]) <= SLACK * max(1.0, abs(steps[0])) for s in steps) else None)
+    spacing = interval if given is None else uniform(levels)
     if len(levels) <= most:
         return levels, spacing
     k = -(-len(levels) // most)
     thinned = levels[::k]
     thinned[-1] = levels[-1]
-    return thinned, None if given is not None else k * interval
+    return thinned, k * interval if given is None else uniform(thinned)
 
 
 def feature_runs(vertices: DataFrame, grade) -> DataFrame:

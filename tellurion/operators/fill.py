@@ -64,7 +64,12 @@ def inverse_distance(z: np.ndarray, radius: int, nearest: int = 12, power: float
 
 
 def horn_slope(z: np.ndarray, size: float, low: tuple[bool, bool], high: tuple[bool, bool]) -> np.ndarray:
-    """Horn's slope (rise over run) of the inner cells of ``z``, which has a margin of one cell.
+    """Horn's slope (rise over run) of the inner cells of ``z``, which has a margin of one cell."""
+    return np.hypot(*horn_gradient(z, (size, size), low, high))
+
+
+def horn_gradient(z: np.ndarray, size: tuple[float, float], low: tuple[bool, bool], high: tuple[bool, bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Horn's gradient, to the east and to the north, of the inner cells of ``z``, which has a margin of one cell. ``size`` is a cell's width and height.
 
     A missing neighbour counts as the centre. Where the margin lies outside the grid (``low``: first rows, first
     columns; ``high``: last ones), it is extrapolated at right angles to the edge and clamped along it; the cell in
@@ -86,22 +91,24 @@ def horn_slope(z: np.ndarray, size: float, low: tuple[bool, bool], high: tuple[b
                 z[at, 0] = z[at, 1]
             if high[1]:
                 z[at, -1] = z[at, -2]
-    def slope(z: np.ndarray) -> np.ndarray:
+
+    def gradient(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, m = z.shape
         centre = z[1:-1, 1:-1]
         window = {(r, c): np.where(np.isnan(x := z[1 + r : n - 1 + r, 1 + c : m - 1 + c]), centre, x) for r in (-1, 0, 1) for c in (-1, 0, 1)}
         across = sum(k * (window[r, 1] - window[r, -1]) for r, k in ((-1, 1), (0, 2), (1, 1)))
         along = sum(k * (window[1, c] - window[-1, c]) for c, k in ((-1, 1), (0, 2), (1, 1)))
-        return np.hypot(across / (8 * size), along / (8 * size))
+        return across / (8 * size[0]), along / (8 * size[1])
 
-    out = slope(z)
+    out = gradient(z)
     for r, row_edge in ((0, low[0]), (n - 3, high[0])):
         for c, col_edge in ((0, low[1]), (m - 3, high[1])):
             if row_edge and col_edge:
                 corner = z[r : r + 3, c : c + 3].copy()
                 side, kept = (0, 1) if c == 0 else (2, 1)
                 corner[:, side] = corner[:, kept]
-                out[r, c] = slope(corner)[0, 0]
+                for whole, own in zip(out, gradient(corner), strict=True):
+                    whole[r, c] = own[0, 0]
     return out
 
 

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tellurion.operators.fill import horn_gradient
 from tellurion.operators.grid import despiked, finite
 from tellurion.operators.nearest import CELL, inpainted
 from tellurion.operators.tiles import Tile, over_tiles
@@ -85,6 +86,30 @@ def steepness(heights: DataFrame, rows: int, cols: int, size: float = 1.0, tile:
     return over_tiles(heights.select(*CELL, "z"), rows, cols, tile, 1, one, "z double, slope double")
 
 
+def derivatives(heights: DataFrame, rows: int, cols: int, size: tuple[float, float] = (1.0, 1.0), high: float = 1.0, tile: int = TILE) -> DataFrame:
+    """``site, row, col, slope, aspect, synthesised`` of the cells of ``heights(site, row, col, z)``.
+
+    Slope (rise over run) and aspect (the direction downhill, anticlockwise from the east in radians; 0 where it is flat) by Horn's window, on cells
+    ``size`` wide and high with a unit of height ``high`` times theirs. ``synthesised`` marks cells whose window leaves the grid or
+    has an empty neighbour, so that some of it is no height of the grid.
+    """
+
+    def one(t: Tile) -> pa.Table:
+        z = t.values("z")
+        # Cut to the grid, so that the margin is the cells just beyond it.
+        n, m = (k.stop + 1 for k in t.own)
+        dx, dy = horn_gradient(z[:n, :m], size, (t.tr == 0, t.tc == 0), ((t.tr + 1) * tile >= rows, (t.tc + 1) * tile >= cols))
+        missing = np.isnan(z)
+        halo = np.any([missing[r : n - 2 + r, c : m - 2 + c] for r in range(3) for c in range(3)], axis=0)
+        filled = {"slope": np.hypot(dx, dy) * high, "aspect": np.where((dx == 0) & (dy == 0), 0.0, np.arctan2(-dy, -dx)), "synthesised": halo}
+        columns = {k: np.zeros(z.shape, v.dtype) for k, v in filled.items()}
+        for k, v in filled.items():
+            columns[k][1 : n - 1, 1 : m - 1] = v
+        return t.rows(~missing, **columns)
+
+    return over_tiles(heights.select(*CELL, "z"), rows, cols, tile, 1, one, "slope double, aspect double, synthesised boolean")
+
+
 def ground_surface(placed: DataFrame, rows: int, cols: int, widest: int, slope: float = SLOPE, base: float = BASE, cap: float = CAP, percent: float = FLOOR, size: float = 1.0, tile: int = TILE) -> DataFrame:
     """``site, row, col, z, slope`` of the ground under ``placed(site, row, col, z)`` points."""
     floor = despiked(placed, percent).select(*CELL, F.col("floor").alias("z"))

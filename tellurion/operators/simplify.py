@@ -7,7 +7,8 @@ at once, chord by chord of one level.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,18 +53,48 @@ def retained(x: np.ndarray, y: np.ndarray, fixed: np.ndarray, tolerance: float,
     return keep
 
 
+def by_area(x: np.ndarray, y: np.ndarray, fixed: np.ndarray, tolerance: float, clamped: bool = False) -> np.ndarray:
+    """Which vertices stay if again and again the one goes whose triangle with its neighbours is smallest, up to an area of ``tolerance``.
+
+    Of equal triangles the first goes; vertices that are ``fixed``, the first and last among them, stay. A heap holds triangles as they
+    were when a neighbour went; those that have had another one since are passed over.
+    """
+    n = len(x)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    keep, free, px, py = [True] * n, (~fixed).tolist(), x.tolist(), y.tolist()
+
+    def area(a: int, k: int, b: int) -> float:
+        return abs((px[a] - px[k]) * (py[b] - py[k]) - (px[b] - px[k]) * (py[a] - py[k])) / 2
+
+    heap = [(size, k, k - 1, k + 1) for k in range(1, n - 1) if free[k] and (size := area(k - 1, k, k + 1)) <= tolerance]
+    heapq.heapify(heap)
+    while heap:
+        _, k, a, b = heapq.heappop(heap)
+        if not keep[k] or before[k] != a or after[k] != b:
+            continue
+        keep[k] = False
+        after[a], before[b] = b, a
+        for j in (a, b):
+            if free[j]:
+                size = area(before[j], j, after[j])
+                if size <= tolerance:
+                    heapq.heappush(heap, (size, j, before[j], after[j]))
+    return np.array(keep)
+
+
 def stretches(vertices: DataFrame) -> DataFrame:
     """Supported vertices with ``run``, their stretch between gaps: vertices of provenance ``U`` and breaks in ``seq``."""
     gaps = F.sum(F.when(F.col("prov") == "U", 1).otherwise(0)).over(in_line())
     return vertices.withColumn("run", gaps).where(F.col("prov") != "U")
 
 
-def thinned(placed: DataFrame, tolerance: float, methods: dict[str, Column | None], clamped: bool = False) -> DataFrame:
+def thinned(placed: DataFrame, tolerance: float, methods: dict[str, Column | None], clamped: bool = False, choose: Callable = retained) -> DataFrame:
     """``placed(line_id, run, seq, x, y, ...)`` with a boolean column a method: whether it retains the vertex.
 
     The ends of every stretch (``line_id, run``) are retained, and the vertices where the method's column is
     true: so no chord crosses a gap or a forced vertex. Coordinates must not be null. An empty table gives no
-    rows, a vertex alone is retained. A task holds the batch and the stretch that is open at its end.
+    rows, a vertex alone is retained. ``choose(x, y, fixed, tolerance, clamped)`` is any way to choose vertices (``retained``,
+    ``by_area``). A task holds the batch and the stretch that is open at its end.
     """
     marked = placed.select(*placed.columns, *((F.lit(False) if m is None else F.coalesce(m, F.lit(False))).alias(f"__{k}") for k, m in enumerate(methods.values())))
     schema = StructType([*placed.schema.fields, *(StructField(m, BooleanType()) for m in methods)])
@@ -78,7 +109,7 @@ def thinned(placed: DataFrame, tolerance: float, methods: dict[str, Column | Non
         for k in range(len(made)):
             fixed = t.column(len(given) + k).to_numpy().astype(bool) | new | last
             # The end of one stretch and the start of the next are neighbours, so no chord lies between them.
-            found.append(pa.array(retained(x.astype(float), y.astype(float), fixed, tolerance, clamped)))
+            found.append(pa.array(choose(x.astype(float), y.astype(float), fixed, tolerance, clamped)))
         return pa.Table.from_arrays([*t.columns[: len(given)], *found], names=[*given, *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

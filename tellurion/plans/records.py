@@ -10,6 +10,8 @@ from tellurion.sources.tables import vertices
 
 #: Tolerance of simplification, and arcs of so many vertices.
 TOLERANCE, ARC = 20.0, 8
+#: Area up to which a vertex's triangle may be taken away.
+AREA = 400.0
 #: Name, retained vertices and rule of the methods compared.
 METHODS = (("DP", "dp", "endpoint"), ("BOUNDARY", "boundary", "endpoint"), ("SPLIT-T", "split", "endpoint"), ("SPLIT-T-EC", "split", "complete"), ("DP-MEAN", "dp", "length_mean"), ("EC-DP", "dp", "complete"))
 
@@ -136,7 +138,13 @@ def recovered_records(spark, sf_dir):
     return rounded(out, "len", *(f"{c}_ge{t}" for c in "mi" for t in (66, 33)))
 
 
-QUERIES = {f.__name__: f for f in (recovered_records, evidence_meet, wrapped_records, profile_merge, profile_accounting, scalar_bound, simplification_audit, method_comparison, query_retention)}
+def area_simplified(spark, sf_dir):
+    """Stretches of lines simplified by the area of triangles: their vertices, those retained, and the sum of these one's numbers."""
+    kept = simplify.thinned(simplify.stretches(vertices(spark, sf_dir)), AREA, {"keep": None}, choose=simplify.by_area)
+    return kept.groupBy("line_id", "run").agg(F.count("*").alias("vertices"), F.count_if("keep").alias("retained"), F.sum(F.when(F.col("keep"), F.col("seq"))).alias("numbers"))
+
+
+QUERIES = {f.__name__: f for f in (area_simplified, recovered_records, evidence_meet, wrapped_records, profile_merge, profile_accounting, scalar_bound, simplification_audit, method_comparison, query_retention)}
 
 VERTICES = """v AS (SELECT user_id AS line_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, epoch_us(ts) / 3.6e9::DOUBLE AS x, value AS y,
   CASE WHEN event_type IN ('purchase', 'signup') THEN 'M' WHEN event_type = 'view' THEN 'I' WHEN event_type = 'click' THEN 'X' ELSE 'U' END AS prov,
@@ -208,6 +216,10 @@ SQL = {
         SELECT line_id, arc, array_to_string(list_filter([CASE WHEN bool_or(prov IN ('M', 'X')) THEN 'measured' END, CASE WHEN bool_or(prov IN ('I', 'X')) THEN 'interpolated' END], lambda p: p IS NOT NULL), '|') AS provenance,
         {_met('m', 'M')}, {_met('i', 'I')}, array_to_string(list_sort(list(DISTINCT 'tile' || (seq % 5))), '|') AS lineage FROM r GROUP BY line_id, arc""",
     "wrapped_records": f"WITH {_EDGES}, z AS (SELECT * REPLACE (CASE WHEN seq % 17 <> 0 THEN m END AS m, CASE WHEN seq % 17 <> 0 THEN i END AS i) FROM s) {_wrapped('line_id, span', 'z')}",
+    "area_simplified": f"""WITH RECURSIVE {_PLACED}, va AS (SELECT line_id, run, list({{'x': x, 'y': y, 's': seq}} ORDER BY seq) AS p, count(*) AS n FROM f GROUP BY line_id, run
+          UNION ALL SELECT line_id, run, list_concat(p[:list_position(a, list_min(a))], p[list_position(a, list_min(a)) + 2:]), n
+          FROM (SELECT *, list_transform(range(2, len(p)), lambda k: abs((p[k - 1].x - p[k].x) * (p[k + 1].y - p[k].y) - (p[k + 1].x - p[k].x) * (p[k - 1].y - p[k].y)) / 2) AS a FROM va) WHERE len(p) > 2 AND list_min(a) <= {AREA})
+        SELECT line_id, CAST(run AS BIGINT) AS run, n AS vertices, CAST(len(p) AS BIGINT) AS retained, CAST(list_sum(list_transform(p, lambda q: q.s)) AS BIGINT) AS numbers FROM (SELECT *, row_number() OVER (PARTITION BY line_id, run ORDER BY len(p)) AS k FROM va) WHERE k = 1""",
     "recovered_records": f"""WITH RECURSIVE {_PLACED}, {_thinned('dp', 'is_end')}, y AS (SELECT *, span - min(span) OVER (PARTITION BY line_id, run) + 1 AS part FROM dp_e),
         z AS (SELECT line_id, CAST(run AS BIGINT) AS run, CAST(part AS BIGINT) AS span, len, prov, m, i FROM y) {_wrapped('line_id, run, span', 'z')}""",
     "profile_merge": f"WITH {_EDGES} {_wrapped('line_id', 's')}",

@@ -55,7 +55,12 @@ def kriging_support(spark, sf_dir):
     return profiles.kriging(field_cells(spark, sf_dir), ROWS, COLS, tile=32).select("site", "row", "col", "coverage", "confidence")
 
 
-QUERIES = {f.__name__: f for f in (geodesic_heights, kriging_support, inpainted_floor, ground_points, trusted_surface, distance_to_data)}
+def slope_aspect(spark, sf_dir):
+    """Slope and aspect of the field's cells, on cells half as wide as high, and which of them rest on cells that aren't there."""
+    return rounded(ground.derivatives(field_cells(spark, sf_dir).where("dist < 2"), ROWS, COLS, (0.5, 1.0), 2.0, tile=32), "slope", "aspect", to=5)
+
+
+QUERIES = {f.__name__: f for f in (slope_aspect, geodesic_heights, kriging_support, inpainted_floor, ground_points, trusted_surface, distance_to_data)}
 
 _FLOOR = f"""{_CELLS}, fz AS (SELECT site, "row" AS r, col AS c, list_sort(list(z)) AS zs FROM c GROUP BY ALL),
   d0 AS (SELECT site, r, c, zs[least(len(zs) - 1, greatest(CAST(ceil({PERCENT / 100}::DOUBLE * len(zs)) AS BIGINT) - 1, CASE WHEN len(zs) >= 3 THEN 1 ELSE 0 END)) + 1] AS z FROM fz)"""
@@ -107,7 +112,13 @@ _KRIGING = f"""{_FIELD}, nb AS (SELECT s.site, s."row" AS r, s.col AS c, s.cover
 _OUT = 'SELECT site, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, round(z, 6) AS z, had_data FROM w0'
 _DISTANCE = """SELECT site, '{how}' AS how, CAST(key // 1000000 AS BIGINT) AS dist, count(*) AS cells, CAST(sum(key % 1000000) AS BIGINT) AS sources FROM
   (SELECT go.site, go.r, go.c, min(CAST({by} AS BIGINT) * 1000000 + d.r * 100 + d.c) AS key FROM go JOIN d0 d ON d.site = go.site GROUP BY go.site, go.r, go.c) GROUP BY ALL"""
+#: The field less its cells far from data; neighbours are looked up there.
+_NEAR = _FIELD.replace("e AS (SELECT f.site, f.r", "fd AS (SELECT * FROM f WHERE dist < 2), e AS (SELECT f.site, f.r", 1)
+_NEAR = _NEAR.replace("y(dc)),", "y(dc) WHERE f.dist < 2),", 1).replace("LEFT JOIN f a ON", "LEFT JOIN fd a ON", 1).replace("LEFT JOIN f b ON", "LEFT JOIN fd b ON", 1)
 SQL = {
+    "slope_aspect": f"""WITH {_NEAR}, gr AS (SELECT site, r, c, sum(v * dc * CASE WHEN dr = 0 THEN 2 ELSE 1 END) / 4.0::DOUBLE AS dx, sum(v * dr * CASE WHEN dc = 0 THEN 2 ELSE 1 END) / 8.0::DOUBLE AS dy, r IN (0, 99) OR c IN (0, 99) AS edge FROM v GROUP BY site, r, c),
+        hl AS (SELECT a.site, a.r, a.c, count(*) AS near FROM fd a JOIN fd b ON b.site = a.site AND abs(b.r - a.r) <= 1 AND abs(b.c - a.c) <= 1 GROUP BY ALL)
+        SELECT gr.site, CAST(gr.r AS INTEGER) AS "row", CAST(gr.c AS INTEGER) AS col, round(2 * sqrt(dx ** 2 + dy ** 2), 5) AS slope, round(CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE atan2(-dy, -dx) END, 5) AS aspect, edge OR near < 9 AS synthesised FROM gr JOIN hl ON hl.site = gr.site AND hl.r = gr.r AND hl.c = gr.c""",
     "geodesic_heights": f"""WITH RECURSIVE {_WAYS} SELECT gf.site, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, round(coalesce(gb.z, gf.z), 6) AS z, have AS measured FROM gf LEFT JOIN gb ON gb.site = gf.site AND gb.start = gf.cell""",
     "kriging_support": f"""WITH {_KRIGING} SELECT site, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, coverage, CAST(floor(100 * least(1, greatest(0, -m[k + 1][k + 1])) + 0.5) AS BIGINT) AS confidence FROM k{profiles.USED}""",
     "inpainted_floor": f"WITH {_FLOOR}, {_filled('d0')} {_OUT}",
