@@ -82,19 +82,118 @@ def by_area(x: np.ndarray, y: np.ndarray, fixed: np.ndarray, tolerance: float, c
     return np.array(keep)
 
 
+#: Conditions on the spans of ``fewest``: none; the record of the two end edges claims no more than that of all; all edges alike.
+CONDITIONS = ("any", "safe", "exact")
+
+
+def _edges_of(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of the edges between neighbours: their provenance, and both channels' values (infinite without)."""
+    prov = columns["prov"]
+    joined = np.where(prov[1:] == prov[:-1], prov[1:], "X")
+    values = []
+    for c in ("m", "i"):
+        v = np.where(np.isnan(x := columns[c].astype(float)), np.inf, x)
+        values.append(np.minimum(v[1:], v[:-1]))
+    return joined, values
+
+
+def fewest(x: np.ndarray, y: np.ndarray, fixed: np.ndarray, tolerance: float, clamped: bool = False, columns: dict[str, np.ndarray] | None = None, condition: str = "any") -> np.ndarray:
+    """The fewest vertices between those ``fixed`` such that each span has all its vertices within ``tolerance`` of the line
+    through its ends and meets the ``condition``: a shortest path over spans, of several the one with the first predecessors.
+
+    A span that fails does so by some vertex; that one is tried first on the spans after it, so that few are measured whole.
+    ``columns`` has the vertices' ``prov, m, i`` where there is a condition.
+    """
+    keep, at = fixed.copy(), np.nonzero(fixed)[0]
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b - a < 2:
+            continue
+        px, py, n = x[a : b + 1], y[a : b + 1], b - a + 1
+        allowed = _allowed({k: v[a : b + 1] for k, v in columns.items()}, condition) if condition != "any" else None
+        best, back = np.full(n, n + 1), np.zeros(n, np.int64)
+        best[0] = 1
+        for i in range(n - 1):
+            if best[i] > n:
+                continue
+            to = np.arange(i + 1, n)
+            if allowed is not None:
+                to = to[allowed(i, to)]
+            to = to[best[to] > best[i] + 1]
+            dx, dy = px - px[i], py - py[i]
+            length = np.hypot(dx, dy)
+
+            def off(k, j, dx=dx, dy=dy, length=length, px=px, py=py):
+                long = length[j]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    return np.where(long > 0, np.abs(dx[k] * dy[j] - dy[k] * dx[j]) / long, length[k])
+
+            fits = []
+            while len(to):
+                j = int(to[0])
+                far = off(np.arange(i + 1, j), j)
+                if j == i + 1 or far.max() <= tolerance:
+                    fits.append(j)
+                    to = to[1:]
+                else:
+                    k = i + 1 + int(far.argmax())
+                    to = to[(to <= k) | (off(k, to) <= tolerance)]
+            best[fits], back[fits] = best[i] + 1, i
+        k = n - 1
+        while k:
+            keep[a + k] = True
+            k = int(back[k])
+    return keep
+
+
+def _allowed(columns: dict[str, np.ndarray], condition: str) -> Callable:
+    """A test of spans from one vertex to several others by their edges alone."""
+    prov, values = _edges_of(columns)
+    if condition == "exact":
+        alike = (prov[1:] == prov[:-1]) & (values[0][1:] == values[0][:-1]) & (values[1][1:] == values[1][:-1])
+        run = np.concatenate([[0], np.cumsum(~alike)])
+        return lambda i, to: run[to - 1] == run[i]
+    # Least values of 2**k edges, and how many edges of either kind come before.
+    tables = []
+    for v in values:
+        levels = [v]
+        while 2 << (len(levels) - 1) <= len(v):
+            half = 1 << (len(levels) - 1)
+            levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
+        tables.append(levels)
+    kinds = [np.concatenate([[0], np.cumsum((prov == own) | (prov == "X"))]) for own in ("M", "I")]
+    other = np.concatenate([[0], np.cumsum(~np.isin(prov, ("M", "I", "X")))])
+
+    def safe(i: int, to: np.ndarray) -> np.ndarray:
+        ok, size = other[to] == other[i], to - i
+        level = np.frexp(size)[1] - 1
+        for v, levels in zip(values, tables, strict=True):
+            least = np.empty(len(to))
+            for k in np.unique(level).tolist():
+                on = level == k
+                least[on] = np.minimum(levels[k][i], levels[k][to[on] - (1 << k)])
+            ends = np.minimum(v[i], v[to - 1])
+            ok &= np.isinf(ends) | (ends <= least + 1e-12)
+        for own, upto in zip(("M", "I"), kinds, strict=True):
+            carried = (prov[i] in (own, "X")) | (prov[to - 1] == own) | (prov[to - 1] == "X")
+            ok &= carried | (upto[to] == upto[i])
+        return ok
+
+    return safe
+
+
 def stretches(vertices: DataFrame) -> DataFrame:
     """Supported vertices with ``run``, their stretch between gaps: vertices of provenance ``U`` and breaks in ``seq``."""
     gaps = F.sum(F.when(F.col("prov") == "U", 1).otherwise(0)).over(in_line())
     return vertices.withColumn("run", gaps).where(F.col("prov") != "U")
 
 
-def thinned(placed: DataFrame, tolerance: float, methods: dict[str, Column | None], clamped: bool = False, choose: Callable = retained) -> DataFrame:
+def thinned(placed: DataFrame, tolerance: float, methods: dict[str, Column | None], clamped: bool = False, choose: Callable = retained, columns: tuple[str, ...] = ()) -> DataFrame:
     """``placed(line_id, run, seq, x, y, ...)`` with a boolean column a method: whether it retains the vertex.
 
     The ends of every stretch (``line_id, run``) are retained, and the vertices where the method's column is
     true: so no chord crosses a gap or a forced vertex. Coordinates must not be null. An empty table gives no
     rows, a vertex alone is retained. ``choose(x, y, fixed, tolerance, clamped)`` is any way to choose vertices (``retained``,
-    ``by_area``). A task holds the batch and the stretch that is open at its end.
+    ``by_area``, ``fewest``), which also gets those of ``columns``. A task holds the batch and the stretch that is open at its end.
     """
     marked = placed.select(*placed.columns, *((F.lit(False) if m is None else F.coalesce(m, F.lit(False))).alias(f"__{k}") for k, m in enumerate(methods.values())))
     schema = StructType([*placed.schema.fields, *(StructField(m, BooleanType()) for m in methods)])
@@ -105,11 +204,12 @@ def thinned(placed: DataFrame, tolerance: float, methods: dict[str, Column | Non
         line, run, x, y = (t.column(k).to_numpy() for k in keys)
         new = np.concatenate([[True], (line[1:] != line[:-1]) | (run[1:] != run[:-1])])
         last = np.append(new[1:], True)
+        more = {"columns": {c: t.column(given.index(c)).to_numpy() for c in columns}} if columns else {}
         found = []
         for k in range(len(made)):
             fixed = t.column(len(given) + k).to_numpy().astype(bool) | new | last
             # The end of one stretch and the start of the next are neighbours, so no chord lies between them.
-            found.append(pa.array(choose(x.astype(float), y.astype(float), fixed, tolerance, clamped)))
+            found.append(pa.array(choose(x.astype(float), y.astype(float), fixed, tolerance, clamped, **more)))
         return pa.Table.from_arrays([*t.columns[: len(given)], *found], names=[*given, *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

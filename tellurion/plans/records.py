@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,7 +146,17 @@ def area_simplified(spark, sf_dir):
     return kept.groupBy("line_id", "run").agg(F.count("*").alias("vertices"), F.count_if("keep").alias("retained"), F.sum(F.when(F.col("keep"), F.col("seq"))).alias("numbers"))
 
 
-QUERIES = {f.__name__: f for f in (area_simplified, recovered_records, evidence_meet, wrapped_records, profile_merge, profile_accounting, scalar_bound, simplification_audit, method_comparison, query_retention)}
+def fewest_vertices(spark, sf_dir):
+    """Vertices of stretches: all, those retained by chords, and the fewest that the tolerance allows under each condition."""
+    placed, counts = simplify.stretches(vertices(spark, sf_dir)), None
+    for name, options in {"dp": {}, **{c: {"choose": partial(simplify.fewest, condition=c), "columns": ("prov", "m", "i")} for c in simplify.CONDITIONS}}.items():
+        kept = simplify.thinned(placed, TOLERANCE, {"keep": None}, **options)
+        one = kept.groupBy("line_id", "run").agg(F.count("*").alias("vertices"), F.count_if("keep").alias(name))
+        counts = one if counts is None else counts.join(one.drop("vertices"), ["line_id", "run"])
+    return counts.where("vertices > 1")
+
+
+QUERIES = {f.__name__: f for f in (fewest_vertices, area_simplified, recovered_records, evidence_meet, wrapped_records, profile_merge, profile_accounting, scalar_bound, simplification_audit, method_comparison, query_retention)}
 
 VERTICES = """v AS (SELECT user_id AS line_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, epoch_us(ts) / 3.6e9::DOUBLE AS x, value AS y,
   CASE WHEN event_type IN ('purchase', 'signup') THEN 'M' WHEN event_type = 'view' THEN 'I' WHEN event_type = 'click' THEN 'X' ELSE 'U' END AS prov,
@@ -216,6 +228,18 @@ SQL = {
         SELECT line_id, arc, array_to_string(list_filter([CASE WHEN bool_or(prov IN ('M', 'X')) THEN 'measured' END, CASE WHEN bool_or(prov IN ('I', 'X')) THEN 'interpolated' END], lambda p: p IS NOT NULL), '|') AS provenance,
         {_met('m', 'M')}, {_met('i', 'I')}, array_to_string(list_sort(list(DISTINCT 'tile' || (seq % 5))), '|') AS lineage FROM r GROUP BY line_id, arc""",
     "wrapped_records": f"WITH {_EDGES}, z AS (SELECT * REPLACE (CASE WHEN seq % 17 <> 0 THEN m END AS m, CASE WHEN seq % 17 <> 0 THEN i END AS i) FROM s) {_wrapped('line_id, span', 'z')}",
+    "fewest_vertices": f"""WITH RECURSIVE {_PLACED}, {_thinned('dp', 'is_end')}, fv AS (SELECT *, row_number() OVER (PARTITION BY line_id, run ORDER BY seq) - 1 AS k, count(*) OVER (PARTITION BY line_id, run) AS n FROM f),
+        pr AS (SELECT a.line_id, a.run, a.k AS i, b.k AS j, a.n, a.prov AS p1, (SELECT struct_pack(m := e.m, i := e.i, prov := e.prov) FROM fv e WHERE e.line_id = b.line_id AND e.run = b.run AND e.k = b.k - 1) AS last, a.m AS m1, a.i AS i1, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM fv a JOIN fv b ON b.line_id = a.line_id AND b.run = a.run AND b.k > a.k),
+        sp AS (SELECT pr.line_id, pr.run, pr.i, pr.j, any_value(pr.n) AS n, any_value(p1) AS p1, any_value(last) AS last, any_value(m1) AS m1, any_value(i1) AS i1, min(e.m) FILTER (e.k < pr.j) AS m_least, min(e.i) FILTER (e.k < pr.j) AS i_least, list_distinct(list(e.prov) FILTER (e.k < pr.j)) AS provs,
+            count(DISTINCT (e.prov, coalesce(e.m, -1), coalesce(e.i, -1))) FILTER (e.k < pr.j) AS kinds,
+            coalesce(max(CASE WHEN ax = bx AND ay = by_ THEN sqrt((e.x - ax) ** 2 + (e.y - ay) ** 2) ELSE abs((e.x - ax) * (by_ - ay) - (e.y - ay) * (bx - ax)) / sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) END) FILTER (e.k > pr.i AND e.k < pr.j), 0) AS far
+            FROM pr JOIN fv e ON e.line_id = pr.line_id AND e.run = pr.run AND e.k >= pr.i AND e.k <= pr.j GROUP BY ALL),
+        ok AS (SELECT line_id, run, i, j, n, c FROM sp, (VALUES ('any'), ('safe'), ('exact')) v(c) WHERE far <= {TOLERANCE} AND CASE c WHEN 'any' THEN true WHEN 'exact' THEN kinds = 1
+            ELSE coalesce(least(m1, last.m) <= m_least + 1e-12, true) AND coalesce(least(i1, last.i) <= i_least + 1e-12, true) AND (p1 IN ('M', 'X') OR last.prov IN ('M', 'X') OR NOT list_has_any(provs, ['M', 'X'])) AND (p1 IN ('I', 'X') OR last.prov IN ('I', 'X') OR NOT list_has_any(provs, ['I', 'X'])) END),
+        pt AS (SELECT DISTINCT line_id, run, c, n, 0::BIGINT AS k, 1 AS used FROM ok UNION SELECT pt.line_id, pt.run, pt.c, pt.n, ok.j, used + 1 FROM pt JOIN ok ON ok.line_id = pt.line_id AND ok.run = pt.run AND ok.c = pt.c AND ok.i = pt.k),
+        bs AS (SELECT line_id, run, c, min(used) AS used FROM pt WHERE k = n - 1 GROUP BY ALL)
+        SELECT b.line_id, CAST(b.run AS BIGINT) AS run, any_value(f0.n) AS vertices, any_value(f0.dp) AS dp, CAST(max(used) FILTER (c = 'any') AS BIGINT) AS "any", CAST(max(used) FILTER (c = 'safe') AS BIGINT) AS safe, CAST(max(used) FILTER (c = 'exact') AS BIGINT) AS exact FROM bs b
+        JOIN (SELECT f.line_id, f.run, count(*) AS n, count(*) FILTER (is_end OR k.seq IS NOT NULL) AS dp FROM f LEFT JOIN dp_k k ON k.line_id = f.line_id AND k.seq = f.seq GROUP BY ALL) f0 ON f0.line_id = b.line_id AND f0.run = b.run GROUP BY b.line_id, b.run""",
     "area_simplified": f"""WITH RECURSIVE {_PLACED}, va AS (SELECT line_id, run, list({{'x': x, 'y': y, 's': seq}} ORDER BY seq) AS p, count(*) AS n FROM f GROUP BY line_id, run
           UNION ALL SELECT line_id, run, list_concat(p[:list_position(a, list_min(a))], p[list_position(a, list_min(a)) + 2:]), n
           FROM (SELECT *, list_transform(range(2, len(p)), lambda k: abs((p[k - 1].x - p[k].x) * (p[k + 1].y - p[k].y) - (p[k + 1].x - p[k].x) * (p[k - 1].y - p[k].y)) / 2) AS a FROM va) WHERE len(p) > 2 AND list_min(a) <= {AREA})

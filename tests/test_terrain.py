@@ -73,3 +73,45 @@ def test_simplified_by_area(spark):
     fixed = np.zeros(5, bool)
     fixed[[0, 2, 4]] = True
     assert simplify.by_area(np.arange(5.0), np.zeros(5), fixed, 1.0).tolist() == [True, False, True, False, True]
+
+
+def _fewest(x, y, prov, m, tolerance, condition):
+    """Every span tried, from every vertex."""
+    n = len(x)
+    edge = [(prov[k] if prov[k] == prov[k + 1] else "X", *(min((v for v in (c[k], c[k + 1]) if not math.isnan(v)), default=None) for c in m)) for k in range(n - 1)]
+    best = [1] + [n + 1] * (n - 1)
+    for i in range(n - 1):
+        for j in range(i + 1, n):
+            e, ends = edge[i:j], (edge[i], edge[j - 1])
+            long = math.hypot(x[j] - x[i], y[j] - y[i])
+            far = [abs((x[k] - x[i]) * (y[j] - y[i]) - (y[k] - y[i]) * (x[j] - x[i])) / long if long else math.hypot(x[k] - x[i], y[k] - y[i]) for k in range(i + 1, j)]
+            ok = max(far, default=0) <= tolerance
+            if condition == "exact":
+                ok &= len(set(e)) == 1
+            elif condition == "safe":
+                for c in (1, 2):
+                    said = [v[c] for v in ends if v[c] is not None]
+                    ok &= not said or min(said) <= min(v[c] for v in e if v[c] is not None) + 1e-12
+                kinds = lambda es: {k for v in es for k in ("MI" if v[0] == "X" else v[0])}
+                ok &= kinds(e) <= kinds(ends)
+            if ok:
+                best[j] = min(best[j], best[i] + 1)
+    return best[-1]
+
+
+@pytest.mark.parametrize("condition", simplify.CONDITIONS)
+def test_fewest_vertices(condition):
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 8, 25, 60):
+        x, y = np.cumsum(rng.normal(0.5, 1, n)).round(1), np.cumsum(rng.normal(0, 0.6, n)).round(1)
+        if n > 20:
+            x[10], y[10] = x[3], y[3]
+        prov = np.repeat(rng.choice(list("MIX"), n), 3)[:n].astype(object)
+        m = [np.where(rng.random(n) < 0.2, np.nan, np.repeat(rng.integers(0, 4, n), 4)[:n] * 25.0) for _ in range(2)]
+        ends = np.zeros(n, bool)
+        ends[[0, -1]] = True
+        for tolerance in (0.0, 0.4, 2.0):
+            keep = simplify.fewest(x, y, ends, tolerance, columns={"prov": prov, "m": m[0], "i": m[1]}, condition=condition)
+            assert keep.sum() == _fewest(x, y, prov, m, tolerance, condition)
+            if condition == "any":
+                assert keep.sum() <= simplify.retained(x, y, ends, tolerance).sum()
