@@ -2,16 +2,18 @@
 
 Vectors are cut into halves, each quantised by its own k-means codebook; a pair of centroids is a cell. For a
 query the two lists of centroids, ordered by inner product with the query's halves, are traversed in order of
-their sum by a heap until the cells hold enough vectors of the sample. Their best scores are a floor under the
-query's last neighbour, and a cell is passed over only if its bound (inner product with the centroids plus the
-query's norm times the cell's radius) lies under that floor, so the result is that of brute force. Entries of
-visited cells are ranked by the exact inner product. Entries lie in groups of cells or of parts of a hot cell,
-which queries meet in blocks, so neither a hot cell nor a popular one is one task's work.
+their sum by a heap, until the cells hold a share of all entries. That share is measured: it is what the sample's
+own queries need for ``RECALL`` of their neighbours there. Entries of the cells that a query visits are ranked by the
+exact inner product. In the exact mode a cell is visited unless its bound (inner product with the centroids plus the
+query's norm times the cell's radius) lies under a floor that cells of the sample give, so the result is that of brute
+force. Entries lie in groups of neighbouring cells or of parts of a hot cell, which queries that visit one meet in
+blocks, so neither a hot cell nor a popular one is one task's work.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 from tellurion.llm._util import cut, join_small, table
 
 #: Vectors that the codebooks are fitted on, and centroids a half. Every row is indexed.
-SAMPLE, CENTROIDS, ROUNDS = 20_000, 16, 12
+SAMPLE, CENTROIDS, ROUNDS = 20_000, 32, 12
+#: Share of the true neighbours that the traversal is to find, and the rows of the sample that tell how far it has to go.
+RECALL, ASKED = 0.97, 512
 #: Vectors of the sample that a query is compared with for its floor. More only make the floor tighter.
 FLOOR = 2_000
 #: Entries and queries that meet in a task, and the queries scored at once there.
@@ -85,19 +89,46 @@ def slack(width: int, size: np.ndarray) -> np.ndarray:
     return 8 * (width + 8) * np.finfo(float).eps * size
 
 
+def measured_share(x: np.ndarray, cell: np.ndarray, sums: np.ndarray, top: int) -> float:
+    """The share of entries in cells by descending ``sums`` (a row for each of the first rows of ``x``) that holds ``RECALL`` of those rows' ``top`` nearest.
+
+    In a table of more rows than the sample, neighbours are nearer and need less.
+    """
+    n, need = len(x), []
+    counts = np.bincount(cell, minlength=sums.shape[1])
+    score = x[: len(sums)] @ x.T
+    score[np.arange(len(sums)), np.arange(len(sums))] = -np.inf
+    for near, row in zip(score, sums, strict=True):
+        order = np.argsort(-row, kind="stable")
+        upto = np.empty(len(order))
+        upto[order] = np.cumsum(counts[order])
+        best = np.argsort(-near, kind="stable")[: min(top, n - 1)]
+        need.append(upto[cell[best]] / n)
+    return float(np.quantile(np.concatenate(need), RECALL, method="higher")) if n > 1 else 1.0
+
+
 def _best(left: pd.DataFrame, right: pd.DataFrame, top: int) -> pd.DataFrame:
-    """The ``top`` entries (right) of each query (left) of one block, the query's own row left out."""
+    """The ``top`` entries (right) of each query (left) of one block in the cells that it visits, the query's own row left out.
+
+    Queries are taken together by their cell, so that those that visit much the same cells are; cells that none of them visits aren't scored.
+    """
     if left.empty or right.empty:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-    right = right.sort_values("vec_id")
-    queries, ids, q, e = left["query_id"].to_numpy(), right["vec_id"].to_numpy(), np.stack(left["v"]), np.stack(right["v"])
-    room, out = slack(q.shape[1], np.linalg.norm(q, axis=1) * np.linalg.norm(e, axis=1).max()), []
+    left, right = left.sort_values(["cell", "query_id"]), right.sort_values("vec_id")
+    queries, q, every, cells = left["query_id"].to_numpy(), np.stack(left["v"]), np.stack(right["v"]), right["cell"].to_numpy()
+    visits = np.unpackbits(np.stack([np.frombuffer(v, np.uint8) for v in left["visits"]]), axis=1).astype(bool)
+    room, out = slack(q.shape[1], np.linalg.norm(q, axis=1) * np.linalg.norm(every, axis=1).max()), []
     for at in range(0, len(q), AT_ONCE):
         some = slice(at, at + AT_ONCE)
+        met = np.nonzero(visits[some].any(0)[cells])[0]
+        if not len(met):
+            continue
+        ids, e = right["vec_id"].to_numpy()[met], every[met]
         rough = q[some] @ e.T
-        rough[queries[some, None] == ids] = -np.inf
+        passed = ~visits[some][:, cells[met]] | (queries[some, None] == ids)
+        rough[passed] = -np.inf
         least = np.partition(rough, -top, axis=1)[:, -top] - room[some] if len(ids) > top else np.full(len(rough), -np.inf)
-        who, which = np.nonzero(~(rough < least[:, None]) & (queries[some, None] != ids))
+        who, which = np.nonzero(~(rough < least[:, None]) & ~passed)
         score = np.zeros(len(who))
         for j in range(q.shape[1]):  # in one fixed order, so that equal vectors get equal scores
             score += q[at + who, j] * e[which, j]
@@ -105,7 +136,7 @@ def _best(left: pd.DataFrame, right: pd.DataFrame, top: int) -> pd.DataFrame:
         who, which, score = who[order], which[order], score[order]
         good = np.arange(len(who)) - np.searchsorted(who, who) < top
         out.append(pd.DataFrame({"query_id": queries[at + who[good]], "vec_id": ids[which[good]], "score": score[good]}))
-    return pd.concat(out)
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
 
 def grouped(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,9 +150,11 @@ def grouped(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, parts
 
 
-def search(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, top: int = TOP, exact: bool = True) -> DataFrame:
     """``query_id, rank, vec_id, score``: of each query row of ``vectors(vec_id, embedding)`` its ``top`` nearest.
 
+    ``exact`` finds all of them, otherwise about ``RECALL`` of them in the cells that the traversal comes to.
+
     Nearness is the inner product in double precision of the original vectors; ties go to the smaller
     ``vec_id``. Null and zero vectors, and those with a null or non-finite number or another length than most
     of the sample, take no part, nor do rows without ``vec_id``. A query never finds its own row; with fewer
@@ -163,6 +196,9 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
     order = np.argsort(cell, kind="stable")
     starts = np.searchsorted(cell[order], np.arange(len(counts) + 1))
     shared = spark.sparkContext.broadcast((x[order], known[order], starts))  # SAMPLE rows
+    some = x[:ASKED]
+    sums = ((some[:, :half] @ one.T)[:, :, None] + (some[:, half:] @ two.T)[:, None]).reshape(len(some), -1)
+    enough = 0 if exact else math.ceil(measured_share(x, cell, sums, top) * counts.sum())
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = books.value
@@ -171,30 +207,37 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
         members = [range(f, f + p) if n else range(0) for f, p, n in zip(first.tolist(), parts.tolist(), counts.tolist(), strict=True)]
         reach = np.hypot(np.linalg.norm(one, axis=1)[:, None], np.linalg.norm(two, axis=1)[None]).ravel() + radius
 
-        def groups(own: int, q: np.ndarray, r: np.ndarray, s: np.ndarray) -> list[int]:
+        def cells(own: int, q: np.ndarray, r: np.ndarray, s: np.ndarray) -> np.ndarray:
+            if enough:
+                return np.array(traverse(r, s, counts.reshape(len(one), len(two)), enough))
             rows = np.concatenate([np.arange(starts[c], starts[c + 1]) for c in traverse(r, s, sampled, FLOOR)])
             rows = rows[known[rows] != own]
             floor = np.partition(x[rows] @ q, -top)[-top] if len(rows) >= top else -np.inf
             norm = np.linalg.norm(q)
             bound = (r[:, None] + s[None]).ravel() + norm * radius + slack(width, norm * reach)
-            return sorted({g for c in np.nonzero(~(bound < floor))[0].tolist() for g in members[c]})
+            return np.nonzero(~(bound < floor))[0]
 
         for b in batches:
             if b.num_rows:
                 m = _matrix(b.column(1))
-                met = [groups(*row) for row in zip(b.column(0).to_pylist(), m, m[:, :half] @ one.T, m[:, half:] @ two.T, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(met, pa.list_(pa.int64()))], names=["query_id", "v", "met"])
-
-    visits = cut(index.where(is_query).select("vec_id", "v").mapInArrow(visit, "query_id long, v array<double>, met array<long>").select("query_id", "v", F.explode("met").alias("g")))
+                met, marks = [], []
+                for row in zip(b.column(0).to_pylist(), m, m[:, :half] @ one.T, m[:, half:] @ two.T, strict=True):
+                    mark = np.zeros(len(counts), bool)
+                    mark[cells(*row)] = True
+                    met.append(sorted({g for c in np.nonzero(mark)[0].tolist() for g in members[c]}))
+                    marks.append(np.packbits(mark).tobytes())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marks, pa.binary()), pa.array(met, pa.list_(pa.int64()))], names=["query_id", "v", "cell", "visits", "met"])
+
+    visits = cut(index.where(is_query).select("vec_id", "v", "cell").mapInArrow(visit, "query_id long, v array<double>, cell int, visits binary, met array<long>").select("query_id", "v", "cell", "visits", F.explode("met").alias("g")))
     asked = cut(visits.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).alias("blocks")))  # a row a group
     cells = spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in np.nonzero(counts)[0].tolist()], "cell int, first long, parts long")  # at most CENTROIDS squared
-    entries = index.join(F.broadcast(cells), "cell").select("vec_id", "v", (F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts")).alias("g"))
-    entries = join_small(entries, asked, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("q"), "vec_id", "v")
-    queries = join_small(visits, asked, "g").select("g", F.pmod(F.xxhash64("query_id"), "blocks").alias("q"), "query_id", "v")
+    entries = index.join(F.broadcast(cells), "cell").select("vec_id", "v", "cell", (F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts")).alias("g"))
+    entries = join_small(entries, asked, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("q"), "vec_id", "v", "cell")
+    queries = join_small(visits, asked, "g").select("g", F.pmod(F.xxhash64("query_id"), "blocks").alias("q"), "query_id", "v", "cell", "visits")
     found = queries.groupBy("g", "q").cogroup(entries.groupBy("g", "q")).applyInPandas(lambda left, right: _best(left, right, top), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, exact=False)
