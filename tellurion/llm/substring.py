@@ -25,8 +25,9 @@ from tellurion.llm._words import chunks, range_codes, run_codes, word_codes
 WINDOW = 13
 #: Words of an anchor. A window's anchor is the least hash of its anchors' places; equal windows agree on it.
 ANCHOR = 4
-#: Words of a shard's passages, about, and words that are streamed past one copy of its automaton.
-SHARD, STREAM = 1 << 16, 1 << 18
+#: Words of a shard's passages, about, and words that are streamed past one copy of its automaton. A first holder's
+#: passages are dealt by parts of so many words, so that a long one is spread over shards, too.
+SHARD, STREAM, PART = 1 << 16, 1 << 18, 1 << 12
 
 
 def window_anchors(code: np.ndarray) -> np.ndarray:
@@ -142,12 +143,13 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
 
 def _firsts(held: DataFrame) -> DataFrame:
-    """``value, first, n``: the first holder of each value that several documents hold, and its rows."""
-    return held.groupBy("value").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    """``value, first, n``: the first holder of each value that several documents hold, and its rows; and ``at``, a place there, if rows have a ``start``."""
+    place = [F.min_by("start", "doc_id").alias("at")] if "start" in held.columns else []
+    return held.groupBy("value").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"), *place).where("first < last").drop("last")
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """``doc_id, start, end, first``: words that several documents hold in windows, and a first holder of them.
+    """``doc_id, start, end, first, at``: words that several documents hold in windows, a first holder of them and where they are there.
 
     Equal stretches go first. What no earlier document holds as a stretch is looked up window by window.
     """
@@ -157,12 +159,12 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     free(marks, meant)
     blocks = cut(_blocks(docs.join(shared, "doc_id")))
     firsts = cut(_firsts(blocks))
-    placed = cut(counted_join(blocks, firsts, "value", "left").select("doc_id", "start", "end", "first", F.when(F.coalesce(F.col("first") == F.col("doc_id"), F.lit(True)), F.col("windows")).alias("windows")))
+    placed = cut(counted_join(blocks, firsts, "value", "left").select("doc_id", "start", "end", "first", "at", F.when(F.coalesce(F.col("first") == F.col("doc_id"), F.lit(True)), F.col("windows")).alias("windows")))
     free(shared, blocks, firsts)
-    held = cut(placed.where("windows is not null").select("doc_id", "start", F.posexplode("windows").alias("at", "value")).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "value"))
+    held = cut(placed.where("windows is not null").select("doc_id", "start", F.posexplode("windows").alias("step", "value")).select("doc_id", (F.col("start") + F.col("step")).alias("start"), "value"))
     firsts = cut(_firsts(held))
-    single = counted_join(held, firsts, "value").select("doc_id", "start", (F.col("start") + WINDOW).alias("end"), "first")
-    out = cut(placed.where("first is not null").select("doc_id", "start", "end", "first").unionByName(single))
+    single = counted_join(held, firsts, "value").select("doc_id", "start", (F.col("start") + WINDOW).alias("end"), "first", "at")
+    out = cut(placed.where("first is not null").select("doc_id", "start", "end", "first", "at").unionByName(single))
     free(placed, held, firsts)
     return out
 
@@ -170,7 +172,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 def _passages(docs: DataFrame, ranges: DataFrame, shards: int) -> DataFrame:
     """``shard, given, doc_id, start, words``: passages that first holders give (true), and stretches to match."""
     # Shard and role in one number, so that a document's ranges come in order of them.
-    place = 2 * F.pmod(F.xxhash64("first"), F.lit(shards)) + (F.col("first") == F.col("doc_id")).cast("long")
+    place = 2 * F.pmod(F.xxhash64("first", F.floor(F.col("at") / PART)), F.lit(shards)) + (F.col("first") == F.col("doc_id")).cast("long")
     at = F.shiftleft(place, 32) + F.col("start")
     per = ranges.groupBy("doc_id").agg(F.collect_list(at).alias("at"), F.collect_list("end").alias("end"))
     names = ["shard", "given", "doc_id", "start", "words"]
