@@ -43,7 +43,7 @@ _LINES = f"""{_TYPED},
   pl AS (SELECT w.site, w.level, w.seg0 AS line, w.seg, CASE WHEN w.d0 = 0 THEN w.d ELSE 1 - w.d END AS back, CASE WHEN w.d0 = 0 THEN w.k ELSE -w.k END AS k, coalesce(rg.ring, false) AS ring
     FROM wk w JOIN fl ON fl.site = w.site AND fl.level = w.level AND fl.seg = w.seg0 AND fl.line = w.seg0 LEFT JOIN rg ON rg.site = w.site AND rg.level = w.level AND rg.line = w.seg0 WHERE w.d0 = 0 OR (w.k > 0 AND rg.ring IS NULL)),
   ln AS (SELECT pl.site, pl.level, pl.line, pl.k - min(pl.k) OVER q AS place, pl.ring AND count(*) OVER q >= 3 AS closed, count(*) OVER q AS n, CASE WHEN back = 0 THEN x1 ELSE x2 END AS x1, CASE WHEN back = 0 THEN y1 ELSE y2 END AS y1,
-        CASE WHEN back = 0 THEN x2 ELSE x1 END AS x2, CASE WHEN back = 0 THEN y2 ELSE y1 END AS y2, confidence, m, i FROM pl JOIN gw ON gw.site = pl.site AND gw.level = pl.level AND gw.seg = pl.seg WINDOW q AS (PARTITION BY pl.site, pl.level, pl.line))"""
+        CASE WHEN back = 0 THEN x2 ELSE x1 END AS x2, CASE WHEN back = 0 THEN y2 ELSE y1 END AS y2, confidence, m, i, pl.seg FROM pl JOIN gw ON gw.site = pl.site AND gw.level = pl.level AND gw.seg = pl.seg WINDOW q AS (PARTITION BY pl.site, pl.level, pl.line))"""
 
 SQL = {
     "stitched_lines": f"""WITH RECURSIVE {_LINES}, ev AS (SELECT site, level, line, closed, place AS seq, x1 AS x, y1 AS y, confidence, true AS starts FROM ln UNION ALL SELECT site, level, line, closed, CASE WHEN closed THEN (place + 1) % n ELSE place + 1 END, x2, y2, confidence, false FROM ln)
