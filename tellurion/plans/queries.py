@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellurion.operators import contours, evidence, grid, statistics
-from tellurion.plans import attribution, audits, bootstraps, claims, lines, rasters, records, terrain
+from tellurion.plans import attribution, audits, bootstraps, claims, exchange, lines, rasters, records, terrain
 from tellurion.sources.tables import points, vertices
 
 
@@ -75,7 +75,7 @@ def promotion_interval(spark, sf_dir):
     return _rounded(out, "low", "high", "q1", "q2", "q3")
 
 
-QUERIES = attribution.QUERIES | bootstraps.QUERIES | claims.QUERIES | lines.QUERIES | terrain.QUERIES | records.QUERIES | rasters.QUERIES | audits.QUERIES | {
+QUERIES = attribution.QUERIES | bootstraps.QUERIES | claims.QUERIES | exchange.QUERIES | lines.QUERIES | terrain.QUERIES | records.QUERIES | rasters.QUERIES | audits.QUERIES | {
     f.__name__: f
     for f in (
         support_by_grade,
@@ -106,7 +106,7 @@ a AS (SELECT line_id, span, min(seq) AS src_from, max(seq) + 1 AS src_to, sum(le
   sum(m * len) / sum(len) FILTER (m IS NOT NULL) AS m_mean, coalesce(sum(len) FILTER (m >= 66), 0) / sum(len) FILTER (m IS NOT NULL) AS m_ge66,
   coalesce(sum(len) FILTER (m >= 33), 0) / sum(len) FILTER (m IS NOT NULL) AS m_ge33, arg_min({'m': m, 'i': i, 'prov': prov}, seq) AS fst, arg_max({'m': m, 'i': i, 'prov': prov}, seq) AS lst FROM s GROUP BY line_id, span),
 d AS (SELECT * EXCLUDE (fst, lst), least(fst.m, lst.m) AS m_end, least(fst.i, lst.i) AS i_end FROM a)"""
-SQL = attribution.SQL | bootstraps.SQL | claims.SQL | lines.SQL | terrain.SQL | records.SQL | rasters.SQL | audits.SQL | {
+SQL = attribution.SQL | bootstraps.SQL | claims.SQL | exchange.SQL | lines.SQL | terrain.SQL | records.SQL | rasters.SQL | audits.SQL | {
     "support_by_grade": f"""WITH {_SUPPORT} SELECT site, CASE WHEN confidence >= 66 THEN 'solid' WHEN confidence >= 33 THEN 'dashed' ELSE 'gap' END AS grade, count(*) AS cells,
         CAST(sum(n) AS BIGINT) AS returns, round(avg(confidence), 6) AS mean_confidence FROM s GROUP BY 1, 2""",
     "raster_cells": f"""WITH {_POINTS} SELECT site, "row", col, count(*) AS n, round(avg(z), 6) AS mean, round(min(z), 6) AS least, round(quantile_cont(z, 0.5), 6) AS median,
