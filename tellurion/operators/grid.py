@@ -40,8 +40,14 @@ BINNING = {
 }
 
 
-def binned(points: DataFrame, cols: int = 100, rows: int = 100, size: float = 1.0, north_up: bool = False, step: float | None = None, boundary: bool = False, centres: bool = False) -> DataFrame:
+def binned(points: DataFrame, cols: int = 100, rows: int = 100, size: float = 1.0, **rule) -> DataFrame:
     """Points inside the grid by one rule of ``BINNING``, with ``row`` and ``col``. The plain rule is half open."""
+    at = bin_of(cols, rows, size, **rule)
+    return points.withColumn("__at", at).where(F.col("__at").isNotNull()).withColumns({"row": F.col("__at.row"), "col": F.col("__at.col")}).drop("__at")
+
+
+def bin_of(cols: int, rows: int, size: float = 1.0, north_up: bool = False, step: float | None = None, boundary: bool = False, centres: bool = False) -> Column:
+    """The ``row`` and ``col`` of a point by one rule of ``BINNING``; null outside of the grid."""
     x, y = (F.col(c) if step is None else F.rint(F.col(c) / step) * step for c in ("x", "y"))
     fx, fy = x / size, y / size
     col, row = F.floor(fx), (F.ceil(fy) - 1 if north_up else F.floor(fy))
@@ -52,8 +58,7 @@ def binned(points: DataFrame, cols: int = 100, rows: int = 100, size: float = 1.
     inside = finite(F.col("x"), F.col("y"), F.col("z"))
     if centres:
         inside = inside & fx.between(0.5, cols - 0.5) & fy.between(0.5, rows - 0.5)
-    placed = points.where(inside).withColumns({"row": row.cast("int"), "col": col.cast("int")})
-    return placed.where(F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1))
+    return F.when(inside & row.between(0, rows - 1) & col.between(0, cols - 1), F.struct(row.cast("int").alias("row"), col.cast("int").alias("col")))
 
 
 def extents(points: DataFrame, size: float = 1.0, aligned: bool = False) -> DataFrame:

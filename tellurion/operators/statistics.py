@@ -76,12 +76,26 @@ def weighted_median(df: DataFrame, by: str, value: str, weight: str) -> DataFram
     return running(counts, by, value, "w").join(total, by).where(F.col("upto") * 2 >= F.col("total")).groupBy(by).agg(F.min(value).alias("median"))
 
 
+def quantiles(df: DataFrame, by: str, value: str, levels: dict[str, float]) -> DataFrame:
+    """``by, n`` and a column a level: the group's quantiles, interpolated linearly, from running sums over distinct values, so that no task holds a group. Nulls take no part."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("w"))
+    total = counts.groupBy(by).agg(F.sum("w").alias("n"))
+    ranked = running(counts, by, value, "w").join(total, by)
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col(value)))
+    out = []
+    for name, q in levels.items():
+        h = (F.col("n") - 1) * F.lit(q)
+        low = F.floor(h)
+        out += [at(low).alias(f"__{name}"), at(F.least(low + 1, F.col("n") - 1)).alias(f"__{name}2"), F.first(h - low).alias(f"__{name}h")]
+    met = ranked.groupBy(by).agg(F.first("n").alias("n"), *out)
+    return met.select(by, "n", *((F.col(f"__{c}") + F.col(f"__{c}h") * (F.col(f"__{c}2") - F.col(f"__{c}"))).alias(c) for c in levels))
+
+
 def distribution(by_unit: DataFrame, keys: list[str], rate: str) -> DataFrame:
     """Units, least, quartiles and greatest of ``rate``, interpolated linearly; null rates take no part."""
-    rated = by_unit.where(F.col(rate).isNotNull())
-    q = F.percentile(rate, F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q")
-    out = rated.groupBy(*keys).agg(F.count("*").alias("units"), q)
-    return out.select(*keys, "units", *(F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("least", "q1", "median", "q3", "greatest"))))
+    levels = {"least": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "greatest": 1.0}
+    out = quantiles(by_unit.withColumn("__by", F.struct(*keys)), "__by", rate, levels)
+    return out.select("__by.*", F.col("n").alias("units"), *levels)
 
 
 # -- seeded draws ------------------------------------------------------------------------------------------------

@@ -58,8 +58,9 @@ def heldout_error(spark, sf_dir):
     cells = grid.binned(p).groupBy(*grid.CELL).agg(F.count(of(False)).alias("n"), F.avg(of(False)).alias("built"), F.avg(of(True)).alias("check"), F.count(of(True)).alias("checks"))
     built = grid.support(cells.where("n > 0"))
     e = built.where("checks > 0").withColumns({"error": F.col("check") - F.col("built"), "grade": grid.grade(F.col("confidence"))})
-    out = e.groupBy("site", "grade").agg(F.count("*").alias("cells"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.percentile(F.abs("error"), F.lit(0.5)).alias("median_error"))
-    return rounded(out, "rmse", "median_error")
+    out = e.groupBy("site", "grade").agg(F.count("*").alias("cells"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"))
+    middle = statistics.quantiles(e.select(F.struct("site", "grade").alias("by"), F.abs("error").alias("off")), "by", "off", {"median_error": 0.5}).select("by.*", "median_error")
+    return rounded(out.join(middle, ["site", "grade"]), "rmse", "median_error")
 
 
 def support_totals(spark, sf_dir):
@@ -73,9 +74,10 @@ def promotion_prevalence(spark, sf_dir):
     """Share of lines with a promoted span and its interval, and how large the promotions are."""
     spans = evidence.promotions(evidence.span_records(evidence.runs(evidence.edges(vertices(spark, sf_dir)))))
     per = spans.groupBy("line_id").agg(F.count_if("promoted").alias("promoted")).agg(F.count("*").alias("lines"), F.count_if(F.col("promoted") > 0).alias("with_promotion"))
-    sizes = spans.where("promoted").agg(F.count("*").alias("promoted"), F.percentile("promotion", F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75, 0.95)))).alias("q"))
+    sizes = statistics.quantiles(spans.where("promoted").withColumn("all", F.lit(1)), "all", "promotion", {"q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95}).withColumnRenamed("n", "promoted")
     low, high = statistics.wilson(F.col("with_promotion"), F.col("lines"))
-    out = per.join(F.broadcast(sizes)).select("lines", "with_promotion", low.alias("low"), high.alias("high"), "promoted", *(F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("q1", "median", "q3", "p95"))))
+    met = per.join(F.broadcast(sizes), F.lit(True), "left").withColumn("promoted", F.coalesce("promoted", F.lit(0).cast("long")))  # one row each
+    out = met.select("lines", "with_promotion", low.alias("low"), high.alias("high"), "promoted", "q1", "median", "q3", "p95")
     return rounded(out, "low", "high", "q1", "median", "q3", "p95")
 
 

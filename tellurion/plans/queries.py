@@ -69,9 +69,10 @@ def promotion_interval(spark, sf_dir):
     """A channel-wise share of spans promoted over all lines, with its interval, and the quartiles of lines' shares."""
     per = promotion_by_line(spark, sf_dir)
     share = F.try_divide(F.col("promoted"), F.col("spans"))
-    total = per.agg(F.sum("spans").alias("spans"), F.sum("promoted").alias("promoted"), F.percentile(share, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    total = per.agg(F.sum("spans").alias("spans"), F.sum("promoted").alias("promoted"))
+    shares = statistics.quantiles(per.select(F.lit(1).alias("all"), share.alias("share")), "all", "share", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     low, high = statistics.wilson(F.col("promoted"), F.col("spans"))
-    out = total.select("spans", "promoted", low.alias("low"), high.alias("high"), *(F.get("q", F.lit(k)).alias(f"q{k + 1}") for k in range(3)))
+    out = total.join(F.broadcast(shares), F.lit(True), "left").select("spans", "promoted", low.alias("low"), high.alias("high"), "q1", "q2", "q3")  # one row each
     return _rounded(out, "low", "high", "q1", "q2", "q3")
 
 

@@ -26,11 +26,8 @@ def blundered(spark, sf_dir) -> DataFrame:
 
 def binning_rules(spark, sf_dir):
     """A site's cells and points by every rule, and the cells whose count differs from the plain rule's."""
-    p = points(spark, sf_dir)
-    counted = None
-    for rule, options in grid.BINNING.items():
-        own = grid.binned(p, COLS, ROWS, **options).select(F.lit(rule).alias("rule"), *grid.CELL)
-        counted = own if counted is None else counted.unionByName(own)
+    every = F.array(*(F.struct(F.lit(rule).alias("rule"), grid.bin_of(COLS, ROWS, **options).alias("at")) for rule, options in grid.BINNING.items()))
+    counted = points(spark, sf_dir).select("site", F.explode(every).alias("b")).where("b.at is not null").select("b.rule", "site", "b.at.row", "b.at.col")
     n = counted.groupBy(*grid.CELL).pivot("rule", list(grid.BINNING)).count()
     rows = F.array(*(F.struct(F.lit(r).alias("rule"), F.coalesce(r, F.lit(0).cast("long")).alias("n"), F.coalesce("floor", F.lit(0).cast("long")).alias("plain")) for r in grid.BINNING))
     e = n.select("site", F.explode(rows).alias("r")).select("site", "r.*")
