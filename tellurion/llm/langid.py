@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from tellurion.llm._util import table
+from tellurion.llm._util import lean, table
 
 UNKNOWN = "und"
 #: Trigrams are hashed into so many buckets; the model holds a row of 256 KB a language.
@@ -61,7 +61,7 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(count[at])], names=["lang", "bucket", "n"])
 
     known = labelled.select("lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = known.mapInArrow(lean(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     if labelled.where(F.col("lang").isNotNull()).agg(F.approx_count_distinct("lang")).first()[0] > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
     got = counts.toArrow()  # at most MOST_LANGUAGES * BUCKETS rows
@@ -164,7 +164,7 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(share), pa.array(sets, pa.list_(pa.string()))], names=[*b.schema.names[:-1], "lang_pred", "score", "langs"])
 
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("langs", ArrayType(StringType()))
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(lean(run), schema)
 
 
 def crc_mod(doc_id: str | Column, by: int) -> Column:

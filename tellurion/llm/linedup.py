@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellurion.llm._joins import counted_join, spread_join
-from tellurion.llm._util import cut, free, table
+from tellurion.llm._util import cut, free, lean, table
 from tellurion.llm._words import stirred
 
 #: A line that is rare by itself has so many words: with fewer, chance and layout repeat it. How many documents
@@ -141,7 +141,7 @@ def _tables(docs: DataFrame) -> DataFrame:
             arrays = [pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([run_keys(*r) for r in rows], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=["doc_id", "lines", "words", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, lines array<long>, words array<int>, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(lean(run), "doc_id long, lines array<long>, words array<int>, keys array<long>")
 
 
 def _aligned(pairs: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def _aligned(pairs: DataFrame) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "gone"])
 
-    return pairs.select("doc_id", "first_lines", "lines", "words").mapInArrow(run, "doc_id long, gone array<int>")
+    return pairs.select("doc_id", "first_lines", "lines", "words").mapInArrow(lean(run), "doc_id long, gone array<int>")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:

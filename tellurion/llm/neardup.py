@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellurion.llm._joins import components, counted_join, spread_join
-from tellurion.llm._util import cut, free, join_small, table
+from tellurion.llm._util import cut, free, join_small, lean, table
 from tellurion.llm._words import FOLD, chunks, run_codes, stirred, word_codes
 
 WORDS, SIMILARITY = 5, 75
@@ -63,7 +63,7 @@ def _mapped(docs: DataFrame, schema: str, row, kinds: list) -> DataFrame:
             rows = [row(x) for x in shingles(texts)]
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(lean(run), schema)
 
 
 def sketches(docs: DataFrame) -> DataFrame:

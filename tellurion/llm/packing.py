@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellurion.llm._util import table
+from tellurion.llm._util import lean, table
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 EOD = 1
@@ -45,7 +45,7 @@ def _byte_letters() -> dict[int, str]:
 class _Kept(dict):
     """A dictionary that fills itself by ``make``. Once it holds ``LIMIT`` keys, those not met again since the last such change of generation are forgotten."""
 
-    LIMIT, LONG = 400_000, 64
+    LIMIT, LONG = 200_000, 64
 
     def __init__(self, make):
         self.make, self.older = make, {}
@@ -257,7 +257,7 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 2048) -> DataFrame:
         if out:
             yield batch(out)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(lean(run), SCHEMA)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
