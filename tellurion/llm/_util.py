@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from contextlib import suppress
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space. ``bytes.split()`` cuts the UTF-8 form at just these bytes.
@@ -22,6 +22,18 @@ BROADCAST_ROWS = 20_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def named(name: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def apart(docs: DataFrame, *made: str) -> tuple[Column, list[Column]]:
+    """All columns of ``docs`` as one struct ``row``, so that none of their names meets another, and these columns out of it but those
+    called like one of ``made``, in whatever case."""
+    row = F.struct(*(named(c).alias(f"c{k}") for k, c in enumerate(docs.columns))).alias("row")
+    return row, [F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns) if c.lower() not in made]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

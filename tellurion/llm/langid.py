@@ -13,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
-from tellurion.llm._util import lean, table
+from tellurion.llm._util import apart, lean, table
 
 UNKNOWN = "und"
 #: Trigrams are hashed into so many buckets; the model holds a row of 256 KB a language.
@@ -62,7 +62,7 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
     known = labelled.select("lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.mapInArrow(lean(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    if labelled.where(F.col("lang").isNotNull()).agg(F.approx_count_distinct("lang")).first()[0] > MOST_LANGUAGES:
+    if len(known.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
     got = counts.toArrow()  # at most MOST_LANGUAGES * BUCKETS rows
     langs = sorted(set(got["lang"].to_pylist()))
@@ -89,16 +89,16 @@ def word_likelihoods(texts: list[bytes], model: np.ndarray) -> tuple[np.ndarray,
     return out, per
 
 
-def infer(ll: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index of each text's main language (-1: no word), its estimated proportion, and who is in its set.
+def infer(ll: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index of each text's main language (-1: no word), its estimated proportion, who is in its set, and the text's log likelihood by it.
 
     Nested sets, by proportion, grow as long as the penalised likelihood rises.
     """
     n, langs = len(per), ll.shape[1]
-    main, share, member = np.full(n, -1), np.zeros(n), np.zeros((n, langs), bool)
+    main, share, member, fitness = np.full(n, -1), np.zeros(n), np.zeros((n, langs), bool), np.zeros(n)
     has = np.nonzero(per)[0]
     if not len(has) or not langs:
-        return main, share, member
+        return main, share, member, fitness
     top = ll.max(1, keepdims=True)
     like, words = np.exp(ll - top).astype(np.float64) + 1e-30, per[has]
     starts, owner = np.concatenate([[0], np.cumsum(words)[:-1]]), np.repeat(np.arange(len(has)), words)
@@ -125,30 +125,39 @@ def infer(ll: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
         member[has[rising]] = rank[rising] < k
     main[has] = chosen.argmax(1)
     share[has] = np.clip(full[np.arange(len(has)), main[has]], 0, 1)
-    return main, share, member
+    fitness[has] = np.add.reduceat(np.log((like * chosen[owner]).sum(1)) + top[:, 0], starts)
+    return main, share, member, fitness
 
 
 def identify(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (the main language's proportion) and ``langs`` (its set); such columns are replaced.
+    """``docs`` with ``lang_pred``, ``score`` (the main language's proportion), ``langs`` (its set) and ``fit``; such columns are replaced, in any case.
 
-    Only ``text`` is an input. ``und`` with score 0 and no set: null text, no letter, or nothing was learned. Whole texts
+    ``fit`` is the mean log likelihood of the text's trigrams by its mixture, over that of trigrams that are all as likely: below 0,
+    what was learned says less of the text than nothing would.
+
+    Only ``text`` is an input. ``und`` with score 0, no set and a null fit: null text, no letter, or nothing was learned. Whole texts
     are read, about ``CHUNK`` bytes at once, a longer text alone. Ties go to the first language in order.
     Repeated rows are identified each; an empty table gives no rows; other columns pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast((langs, model))  # at most MOST_LANGUAGES rows of BUCKETS floats
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "langs")]
-    marked = docs.select(*keep, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    row, columns = apart(docs, "lang_pred", "score", "langs", "fit")
+    at = [c.lower() for c in docs.columns].index("text")
+    marked = docs.select(row, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, model = shared.value
         for b in batches:
-            main, share, sets = np.full(b.num_rows, -1), np.zeros(b.num_rows), [[] for _ in range(b.num_rows)]
-            text, letters = b.column(b.schema.get_field_index("text")), b.column(b.num_columns - 1)
+            main, share, fit, sets = np.full(b.num_rows, -1), np.zeros(b.num_rows), np.full(b.num_rows, np.nan), [[] for _ in range(b.num_rows)]
+            text, letters = b.column(0).field(at), b.column(1)
             rows, texts, size = [], [], 0
 
             def score() -> None:
                 if rows:
-                    main[rows], share[rows], member = infer(*word_likelihoods(texts, model))
+                    ll, per = word_likelihoods(texts, model)
+                    main[rows], share[rows], member, fitness = infer(ll, per)
+                    # A word has a trigram for each of its bytes and one for its end.
+                    size = np.array([len(x) - x.count(b" ") for x in texts]) + per
+                    fit[rows] = np.where(main[rows] >= 0, fitness / np.maximum(size, 1) + np.log(BUCKETS), np.nan)
                     for i, x in zip(rows, member, strict=True):
                         sets[i] = [langs[k] for k in np.nonzero(x)[0]]
 
@@ -161,10 +170,11 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
                     rows, texts, size = [], [], 0
             score()
             names = np.array([*langs, UNKNOWN], object)[main]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(share), pa.array(sets, pa.list_(pa.string()))], names=[*b.schema.names[:-1], "lang_pred", "score", "langs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(share), pa.array(sets, pa.list_(pa.string())), pa.array(fit, mask=np.isnan(fit))], names=["row", *made])
 
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("langs", ArrayType(StringType()))
-    return marked.mapInArrow(lean(run), schema)
+    made = ["lang_pred", "score", "langs", "fit"]
+    schema = StructType([marked.schema["row"]]).add("lang_pred", "string").add("score", "double").add("langs", ArrayType(StringType())).add("fit", "double")
+    return marked.mapInArrow(lean(run), schema).select(*columns, *made)
 
 
 def crc_mod(doc_id: str | Column, by: int) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellurion.llm._joins import counted_join, spread_join
-from tellurion.llm._util import cut, free, lean, table
+from tellurion.llm._util import apart, cut, free, lean, table
 from tellurion.llm._words import stirred
 
 #: A line that is rare by itself has so many words: with fewer, chance and layout repeat it. How many documents
@@ -184,17 +184,17 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     Judged on the input, so the result doesn't depend on order. ``doc_id`` is unique and not null: rows with
     a null one stay as they are, repeated ones are one document for the comparison. Null text stays null,
     empty text empty; a text of any length is one row; empty tables give none. Columns named ``n_lines`` and
-    ``n_removed`` are replaced, others kept.
+    ``n_removed`` (in any case) are replaced, others kept, whatever their names.
     """
-    # The columns of docs travel as one, so that none of their names meets one of ours.
-    given = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    kept = docs.select(F.struct(*(docs[c] for c in given)).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("said"))
+    row, columns = apart(docs, "n_lines", "n_removed")
+    kept = docs.select(row, F.col("doc_id").alias("id"), F.col("text").alias("said"))
     known = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
     found = repeated_lines(known)
     left = F.array_join(F.filter(F.split("said", "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
     joined = kept.join(found, F.col("id") == F.col("doc_id"), "left")
     said = F.when(F.size("gone") > 0, left).otherwise(F.col("said"))
-    columns = (said.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in given)
+    given = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    columns = [said.alias(c) if c.lower() == "text" else x for c, x in zip(given, columns, strict=True)]
     return joined.select(*columns, F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tellurion.llm._util import WORD, cut, join_small, table
+from tellurion.llm._util import WORD, apart, cut, free, join_small, table
 
 MOST = 3.0
 BINS = 4096
@@ -61,6 +61,7 @@ def solve(histogram: DataFrame, sources: DataFrame, most: float) -> DataFrame:
         .withColumn("high", F.when(share > 1, F.log(F.lit(most)) * F.col("scale") / F.col("least")).otherwise(0.0))
     )
     for _ in range(MAX_STEPS):
+        before = state
         rate = tilted(most)
         moved = join_small(histogram, state.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).groupBy("source").agg(
             F.sum(F.col("n") * F.col("size") * rate).alias("got"),
@@ -75,6 +76,7 @@ def solve(histogram: DataFrame, sources: DataFrame, most: float) -> DataFrame:
             .withColumn("lam", F.when(F.col("off") <= TOLERANCE, F.col("lam")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2))
             .select("source", "source_size", "target", "scale", "least", "lam", "low", "high", "off")
         )
+        free(before)
         if (state.agg(F.max("off")).first()[0] or 0.0) <= TOLERANCE:
             return state.select("source", "source_size", "target", "scale", "lam")
     raise RuntimeError(f"no multipliers within {TOLERANCE} of the targets after {MAX_STEPS} steps")
@@ -87,11 +89,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = M
     at ``most`` times its source's words and the excess is shared again. Copies are whole and at most
     ``most``. Reruns agree: the rounding hashes ``doc_id`` and ``size``. A document without words gets rate 1
     and one copy of nothing; a source without words has target 0; rows that repeat are documents of their
-    own; an empty table gives no rows. Columns of these five names in ``docs`` are replaced.
+    own; an empty table gives no rows. Columns of these five names in ``docs`` (in any case) are replaced.
     """
-    # The columns of docs travel as one, so that none of their names meets one of ours.
-    given = [c for c in docs.columns if c not in ("size", "source_size", "target", "rate", "copies")]
-    docs = docs.select(F.struct(*(docs[c] for c in given)).alias("row"), "doc_id", "source", sized().alias("size"))
+    row, given = apart(docs, "size", "source_size", "target", "rate", "copies")
+    docs = docs.select(row, "doc_id", "source", sized().alias("size"))
     sizes = cut(docs.select("doc_id", "source", "size"))
     histogram = cut(sizes.groupBy("source", "size").agg(F.count("*").alias("n")))
     state = solve(histogram, cut(source_targets(histogram, weights, most)), most).withColumnRenamed("source", "of")
@@ -119,7 +120,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = M
     turned = cut(turned.select(F.col("source").alias("for"), "x.turned", "x.by"))
     out = join_small(copied(rated(docs)), turned, F.col("source").eqNullSafe(F.col("for")) & (F.col("doc_id") == F.col("turned")), "left")
     out = out.withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0)))
-    return out.select(*(F.col("row")[c].alias(c) for c in given), "size", "source_size", "target", "rate", "copies")
+    return out.select(*given, "size", "source_size", "target", "rate", "copies")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

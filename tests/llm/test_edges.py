@@ -319,7 +319,9 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         stage(spark, docs if not outs else outs[-1], "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/{name}")
         outs.append(spark.read.parquet(f"{tmp_path}/{name}"))
     first, lines, near, mixed, packed = ([r.asDict() for r in x.collect()] for x in outs)
-    assert {r["doc_id"] for r in first} == {r["doc_id"] for r in docs.collect() if re.search(r"[^\W\d_]", r["text"] or "")}
+    fit = {r["doc_id"]: r["fit"] for r in langid.language_of(docs).collect()}
+    assert {r["doc_id"] for r in first} == {r["doc_id"] for r in docs.collect() if re.search(r"[^\W\d_]", r["text"] or "") and fit[r["doc_id"]] >= 0}
+    assert min(r["fit"] for r in langid.language_of(outs[0]).collect()) > 1
     removed = {r["doc_id"]: r for r in linedup.drop_repeated_lines(outs[0]).collect()}
     assert {r["doc_id"]: r["text"] for r in lines} == {i: r["text"] for i, r in removed.items() if WORD.search(r["text"]) or r["n_removed"] == 0}
     sets = {}
@@ -348,6 +350,31 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert scoring and corpus_pipeline.run(spark, "/root/testdata/sf0.001").columns == outs[-1].columns
 
 
+def test_language_stage_rejects_what_no_language_explains(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    rng = np.random.default_rng(2)
+    letters = list("abcdefghijklmnopqrstuvwxyz   ")
+    odd = ["".join(rng.choice(letters, 600)) for _ in range(5)] + ["Привет, как дела сегодня", "日本語のテキスト です", "zzzz qqqq xxxx jjjj"]
+    more = spark.createDataFrame([(10_000_000 + k, t, None, "odd", len(t)) for k, t in enumerate(odd)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(more), "").select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.where(docs["text"].rlike(r"\p{L}")).select("doc_id").collect()}
+
+
+def test_pipeline_column_names(spark, tmp_path):
+    """Names with dots, blanks and back quotes, and the stages' own in another case."""
+    import corpus_pipeline
+
+    names = ["a.b", "Score", "N_lines", "Size", "row.c0", "x y", "b`q", "LANGS", "Kept"]
+    rows = [(1, "Some words of a text here.", "en", "a"), (2, "other words in it", "en", "b"), (3, "Some words of a text here.", "en", None)]
+    docs = got = spark.createDataFrame([(*r, 9, *range(len(names))) for r in rows], ["doc_id", "text", "lang", "source", "N_chars", *names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, got, "").write.parquet(f"{tmp_path}/{name}")
+        got = spark.read.parquet(f"{tmp_path}/{name}")
+        assert got.columns == docs.columns and not got.isEmpty() and all(list(r)[5:] == list(range(len(names))) for r in got.collect()), name
+
+
 def test_pipeline_odd_inputs(spark, tmp_path):
     import corpus_pipeline
 

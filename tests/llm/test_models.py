@@ -139,7 +139,7 @@ def test_language_held_out(spark, documents):
 def test_proportions_match_brute_force():
     rng = np.random.default_rng(5)
     ll, per = rng.normal(size=(30, 3)).astype(np.float32) * 3, np.array([12, 0, 18])
-    main, share, _ = langid.infer(ll, per)
+    main, share, _, _ = langid.infer(ll, per)
     at = 0
     for k, n in enumerate(per):
         if not n:
