@@ -4,7 +4,7 @@
 predecessor kept and returns a DataFrame, which is written as Parquet and reread as the next one's ``docs``.
 
 ``documents`` needs ``doc_id, text, lang, source``; other columns pass through up to packing, whatever their names. Null
-and letterless texts go in the first stage. A null ``doc_id`` passes the first two and the near duplicates as it is
+and letterless texts, and those that no learned language explains, go in the first stage. A null ``doc_id`` passes the first two and the near duplicates as it is
 and is mixed and packed like any other; rows that repeat are documents of their own but for near duplicates, where
 those of one ``doc_id`` are one document. A null source is a source. Texts of any length pass whole. An empty table
 gives no windows.
@@ -18,19 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellurion.llm import langid, linedup, mixing, neardup, packing
-from tellurion.llm._util import shared_folder, table
+from tellurion.llm._util import named, shared_folder, table
 
 
 def _apart(docs: DataFrame, *made: str) -> tuple[DataFrame, list]:
     """``docs`` with its columns of these names renamed, and all its columns under their own names again."""
-    names = {c: f"__docs_{c}" for c in docs.columns if c in made}
-    return docs.withColumnsRenamed(names), [F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns]
+    names = {c: f"__docs_{c}" for c in docs.columns if c.lower() in made}
+    return docs.withColumnsRenamed(names), [named(names.get(c, c)).alias(c) for c in docs.columns]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects null text and text without a letter, nothing else; where nothing is learned, all. How well a language fits decides nothing here."""
-    given, back = _apart(docs, "lang_pred", "score", "langs", "held_out")
-    return langid.language_of(given).where(F.col("lang_pred") != langid.UNKNOWN).select(back)
+    """Rejects null text, text without a letter, and text that its mixture of learned languages makes less likely than if all trigrams
+    were as likely: other scripts, keys, random letters. Where nothing is learned, all goes."""
+    given, back = _apart(docs, "lang_pred", "score", "langs", "fit", "held_out")
+    return langid.language_of(given).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("fit") >= 0)).select(back)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +39,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     given, back = _apart(docs, "n_lines", "n_removed")
     out = linedup.drop_repeated_lines(given)
     out = out.where((F.col("n_removed") < F.col("n_lines")) | (F.col("n_removed") == 0))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(back)
+    counted = next((c for c in given.columns if c.lower() == "n_chars"), "n_chars")
+    return out.withColumn(counted, F.char_length("text").cast("long")).select(back)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select([named(c) for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
