@@ -132,3 +132,28 @@ def understatement(spans: DataFrame) -> DataFrame:
     for t in (most, upper_middle(some, "site", "factor"), upper_middle(some, "site", "more")):
         out = out.join(t, "site", "left")
     return out
+
+
+# -- results compared --------------------------------------------------------------------------------------------
+
+
+def compared(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """``keys, state`` and each value's difference: rows of two results by their unique keys, ``left only``, ``right only``, ``differs`` or ``same``.
+
+    Two nulls are the same; a null and a value differ, and their difference is null. No row has state ``left only`` or ``right only`` if the
+    results have the same keys.
+    """
+    a = left.select(*keys, *(F.col(v).alias(f"__a_{v}") for v in values), F.lit(True).alias("__a"))
+    b = right.select(*keys, *(F.col(v).alias(f"__b_{v}") for v in values), F.lit(True).alias("__b"))
+    met = a.join(b, keys, "full")
+    differs = F.lit(False)
+    for v in values:
+        x, y = F.col(f"__a_{v}"), F.col(f"__b_{v}")
+        differs = differs | F.when(x.isNull() | y.isNull(), x.isNull() != y.isNull()).otherwise(F.abs(x - y) > tolerance)
+    state = F.when(F.col("__b").isNull(), "left only").when(F.col("__a").isNull(), "right only").when(differs, "differs").otherwise("same")
+    return met.select(*keys, state.alias("state"), *((F.col(f"__b_{v}") - F.col(f"__a_{v}")).alias(v) for v in values))
+
+
+def worst(spans: DataFrame, promotion: str, length: str, ties: list[str], k: int = 1) -> DataFrame:
+    """The ``k`` spans with the largest promotion; of equal ones the longer, then the first by ``ties``. Spans without promotion take no part."""
+    return spans.where(F.col(promotion) > 0).orderBy(F.desc(promotion), F.desc(length), *ties).limit(k)

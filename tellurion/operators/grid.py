@@ -116,12 +116,20 @@ def robust_raster(cells: DataFrame) -> DataFrame:
     return near.select(*CELL, (F.aggregate("kept", F.lit(0.0), lambda a, z: a + z) / F.size("kept")).alias("robust"), F.size("kept").cast("long").alias("kept"))
 
 
-def support(raster: DataFrame) -> DataFrame:
-    """Add ``target``, the site's median count, and ``confidence`` (0 to 100) of measured cells."""
-    # By count first: the median of a site's cells from as many rows as there are different counts.
-    target = raster.groupBy("site", "n").agg(F.count("*").alias("times")).groupBy("site").agg(F.percentile("n", F.lit(0.5), F.col("times")).alias("target"))
+def support(raster: DataFrame, target: float | None = None, shared: bool = False) -> DataFrame:
+    """Add ``target``, the site's median count, and ``confidence`` (0 to 100) of measured cells.
+
+    A ``target`` that is given holds for all sites, and a ``shared`` one is the median of all their cells.
+    """
+    if target is None:
+        # By count first: the median of a site's cells from as many rows as there are different counts.
+        by = [] if shared else ["site"]
+        median = raster.groupBy(*by, "n").agg(F.count("*").alias("times")).groupBy(*by).agg(F.percentile("n", F.lit(0.5), F.col("times")).alias("target"))
+        aimed = raster.join(F.broadcast(median), F.lit(True)) if shared else raster.join(median, "site")  # one row
+    else:
+        aimed = raster.withColumn("target", F.lit(float(target)))
     share = F.least(F.lit(1.0), F.col("n") / F.col("target")) * F.col("n") / (F.col("n") + HALF_COUNT)
-    return raster.join(target, "site").withColumn("confidence", F.floor(100 * share + 0.5).cast("long"))
+    return aimed.withColumn("confidence", F.floor(100 * share + 0.5).cast("long"))
 
 
 def grade(confidence: Column) -> Column:

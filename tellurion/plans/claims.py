@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from tellurion.operators import audits, contours, evidence, grid, profiles, simplify, stitching
 from tellurion.plans.attribution import _MEASURED, _PLAIN_LINES, CELL_TOLERANCE
 from tellurion.plans.rasters import _FIELD, COLS, ROWS, field_cells, rounded
-from tellurion.plans.records import _EDGES, _thinned
+from tellurion.plans.records import _EDGES, _PLACED, TOLERANCE, _thinned
 from tellurion.sources.tables import points, vertices
 
 #: Every how many points are checkpoints, how far these are moved, and how much is added to their height.
 EVERY, MOVED, RAISED = 7, 2.5, 0.05
+#: A target count that is given, spans that are reported, widths of bins of support, and a tolerance wider than the usual.
+GIVEN, WORST, BINS, WIDER = 4.0, 10, (0, 10, 25), 30.0
 
 
 def checkpoint_audit(spark, sf_dir):
@@ -56,11 +58,59 @@ def position_uncertainty(spark, sf_dir):
     return rounded(out, *(c for c in out.columns if c not in ("site", "spans")), to=4)
 
 
-QUERIES = {f.__name__: f for f in (checkpoint_audit, dissolve_audit, provenance_by_grade, position_uncertainty)}
+def shared_targets(spark, sf_dir):
+    """Mean confidence of the sites' measured cells by their own target count, one shared by all, and a given one."""
+    cells = grid.to_cells(points(spark, sf_dir), COLS, ROWS).groupBy(*grid.CELL).agg(F.count("*").alias("n"))
+    out = None
+    for name, options in {"own": {}, "shared": {"shared": True}, "given": {"target": GIVEN}}.items():
+        one = grid.support(cells, **options).groupBy("site").agg(F.lit(name).alias("target_of"), F.first("target").alias("target"), F.count("*").alias("cells"), F.avg("confidence").alias("mean_confidence"))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, "mean_confidence")
+
+
+def worst_spans(spark, sf_dir):
+    """The ten spans whose endpoint record claims most beyond their edges."""
+    judged = evidence.promotions(evidence.span_records(evidence.runs(evidence.edges(vertices(spark, sf_dir)))))
+    return rounded(audits.worst(judged, "promotion", "len", ["line_id", "span"], WORST).select("line_id", "span", "promotion", "len"), "promotion", "len", to=5)
+
+
+def split_bins(spark, sf_dir):
+    """Stretches simplified with forced vertices where an edge's class changes, by the width of the bins of support (0: every value):
+    vertices retained, as a multiple of plain chords', and how many percent fewer than the source's."""
+    placed = simplify.with_boundaries(simplify.stretches(vertices(spark, sf_dir)), {f"at{w}": ("bin", w) for w in BINS})
+    kept = simplify.thinned(placed, TOLERANCE, {"dp": None, **{f"b{w}": F.col(f"at{w}") for w in BINS}})
+    total = kept.agg(F.count("*").alias("source"), F.count_if("dp").alias("dp"), *(F.count_if(f"b{w}").alias(f"b{w}") for w in BINS))
+    rows = F.array(*(F.struct(F.lit(w).alias("width"), F.col(f"b{w}").alias("retained")) for w in BINS))
+    e = total.select("source", "dp", F.explode(rows).alias("r")).select("r.*", "source", "dp")
+    return rounded(e.withColumns({"multiple": F.col("retained") / F.col("dp"), "reduction": 100 * (1 - F.col("retained") / F.col("source"))}), "multiple", "reduction", to=5)
+
+
+def compared_tolerances(spark, sf_dir):
+    """Lines whose retained vertices differ between two tolerances, and those that only one of two selections has."""
+    def counts(tolerance: float, least: int):
+        kept = simplify.simplified(vertices(spark, sf_dir), tolerance)
+        return kept.groupBy("line_id").agg(F.count_if("keep").alias("retained"), F.max(F.when(F.col("keep") & (F.col("seq") > 3), F.col("seq"))).alias("last")).where(F.col("retained") >= least)
+
+    met = audits.compared(counts(TOLERANCE, 36), counts(WIDER, 35), ["line_id"], ["retained", "last"])
+    return met.groupBy("state").agg(F.count("*").alias("lines"), F.sum("retained").alias("retained"), F.sum("last").alias("last"))
+
+
+QUERIES = {f.__name__: f for f in (shared_targets, worst_spans, split_bins, compared_tolerances, checkpoint_audit, dissolve_audit, provenance_by_grade, position_uncertainty)}
 
 _BAND = "CASE WHEN {0} >= 66 THEN 'solid' WHEN {0} >= 33 THEN 'dashed' ELSE 'gap' END"
 _SETS = "CASE {0} WHEN 'X' THEN ['I', 'M'] ELSE [{0}] END"
+_CLASS = "prov || '|' || coalesce(CAST({m} AS VARCHAR), '-') || '|' || coalesce(CAST({i} AS VARCHAR), '-')"
+_BINNED = ", ".join(f"fb{w} AS (SELECT line_id, run, seq, x, y, is_end, coalesce(k <> lag(k) OVER q, false) AS at_bin FROM (SELECT *, {_CLASS.format(m='m' if w == 0 else f'CAST(floor(m / {w}) AS BIGINT)', i='i' if w == 0 else f'CAST(floor(i / {w}) AS BIGINT)')} AS k FROM f) WINDOW q AS (PARTITION BY line_id, run ORDER BY seq)), {_thinned(f'bin{w}', 'is_end OR at_bin', f=f'fb{w}')}" for w in BINS)
 SQL = {
+    "shared_targets": f"""WITH {_FIELD}, ct AS (SELECT site, 'own' AS target_of, quantile_cont(n, 0.5) AS target FROM m GROUP BY site UNION ALL SELECT s0.site, 'shared', (SELECT quantile_cont(n, 0.5) FROM m) FROM (SELECT DISTINCT site FROM m) s0 UNION ALL SELECT DISTINCT site, 'given', {GIVEN} FROM m)
+        SELECT m.site, target_of, ct.target::DOUBLE AS target, count(*) AS cells, round(avg(floor(100 * least(1.0::DOUBLE, n / ct.target) * n / (n + 3) + 0.5)), 6) AS mean_confidence FROM m JOIN ct ON ct.site = m.site GROUP BY ALL""",
+    "worst_spans": f"""WITH {_EDGES}, ws AS (SELECT line_id, span, sum(len) AS len, least(arg_min({{'v': m}}, seq).v, arg_max({{'v': m}}, seq).v) - min(m) AS promotion FROM s GROUP BY line_id, span)
+        SELECT line_id, span, round(promotion, 5) AS promotion, round(len, 5) AS len FROM ws WHERE promotion > 1e-12 ORDER BY ws.promotion DESC, ws.len DESC, line_id, span LIMIT {WORST}""",
+    "split_bins": f"""WITH RECURSIVE {_PLACED}, {_thinned('dp', 'is_end')}, {_BINNED}, tl AS (SELECT (SELECT count(*) FROM f) AS source, {", ".join(f"(SELECT count(*) FROM f WHERE is_end OR (line_id, seq) IN (SELECT (line_id, seq) FROM {k}_k)) AS {k}" for k in ("dp", *(f"bin{w}" for w in BINS)))}),
+        tr AS ({" UNION ALL ".join(f"SELECT CAST({w} AS INTEGER) AS width, bin{w} AS retained, source, dp FROM tl" for w in BINS)}) SELECT *, round(retained / dp, 5) AS multiple, round(100 * (1 - retained / source), 5) AS reduction FROM tr""",
+    "compared_tolerances": f"""WITH RECURSIVE {_PLACED}, {_thinned('dp', 'is_end')}, {_thinned('dw', 'is_end', WIDER)}, {", ".join(f"{t} AS (SELECT line_id, count(*) AS retained, max(seq) FILTER (seq > 3) AS last FROM f WHERE is_end OR (line_id, seq) IN (SELECT (line_id, seq) FROM {k}_k) GROUP BY line_id HAVING count(*) >= {n})" for t, k, n in (("ca", "dp", 36), ("cb", "dw", 35)))},
+        cc AS (SELECT CASE WHEN cb.line_id IS NULL THEN 'left only' WHEN ca.line_id IS NULL THEN 'right only' WHEN ca.retained <> cb.retained OR ca.last IS DISTINCT FROM cb.last THEN 'differs' ELSE 'same' END AS state, cb.retained - ca.retained AS retained, cb.last - ca.last AS last FROM ca FULL JOIN cb ON cb.line_id = ca.line_id)
+        SELECT state, count(*) AS lines, CAST(sum(retained) AS BIGINT) AS retained, CAST(sum(last) AS BIGINT) AS last FROM cc GROUP BY state""",
     "checkpoint_audit": f"""WITH {_FIELD}, ck AS (SELECT l_returnflag AS site, (l_partkey % 1000) / 10.0::DOUBLE + {MOVED} AS x, (l_orderkey % 1000) / 10.0::DOUBLE AS y, 0.08::DOUBLE * ((l_partkey % 1000) / 10.0::DOUBLE) + 0.06::DOUBLE * ((l_orderkey % 1000) / 10.0::DOUBLE) + 5 * l_tax + {RAISED} AS z FROM lineitem WHERE l_suppkey % {EVERY} = 0),
         er AS (SELECT ck.site, CASE WHEN floor(ck.x) > 99 OR floor(ck.y) > 99 THEN 'off grid' WHEN s.z IS NULL THEN 'unsupported' ELSE s.coverage END AS channel, s.confidence, abs(s.z - ck.z) AS error FROM ck LEFT JOIN (SELECT * FROM s WHERE dist < 2) s ON s.site = ck.site AND s."row" = floor(ck.y) AND s.col = floor(ck.x))
         SELECT site, channel, CASE WHEN error IS NOT NULL THEN {_BAND.format('confidence')} END AS band, count(*) AS checkpoints, round(sqrt(avg(error * error)), 5) AS rmse, round(quantile_cont(error, 0.5), 5) AS median_error FROM er GROUP BY 1, 2, 3""",

@@ -39,3 +39,20 @@ def test_uncertainty(spark):
     edges = spark.createDataFrame([("s", 1, k, 1.0, u, True) for k, u in enumerate([1.0, 4.0, 2.0])] + [("s", 2, 0, 5.0, 3.0, False)] + [("s", 3, k, 1.0, u, True) for k, u in enumerate([1.0, 3.0, 1.0])], "site string, span int, seq int, len double, u double, steep boolean")
     r = audits.understatement(audits.understated(edges, ["span"])).first()
     assert (r["length"], r["under_length"], r["spans"], r["steep_length"], r["factor_middle"], r["factor_most"], r["more_middle"], r["more_most"]) == (11.0, 6.0, 2, 6.0, 3.0, 3.0, 2.0, 2.0)
+
+
+def test_compared_results(spark):
+    a = spark.createDataFrame([(1, 1.0, None), (2, 2.0, 5.0), (3, 3.0, None), (4, 4.0, 1.0)], "k int, v double, w double")
+    b = spark.createDataFrame([(1, 1.0 + 1e-12, None), (2, 2.0, 5.5), (3, 3.0, 0.0), (5, 5.0, 1.0)], "k int, v double, w double")
+    got = {r["k"]: (r["state"], r["w"]) for r in audits.compared(a, b, ["k"], ["v", "w"]).collect()}
+    assert got == {1: ("same", None), 2: ("differs", 0.5), 3: ("differs", None), 4: ("left only", None), 5: ("right only", None)}
+
+
+def test_worst_and_targets(spark):
+    from tellurion.operators import grid
+
+    t = spark.createDataFrame([("b", 5.0, 1.0), ("a", 5.0, 1.0), ("c", 5.0, 2.0), ("d", 9.0, 0.5), ("e", 0.0, 9.0)], "site string, more double, len double")
+    assert [r["site"] for r in audits.worst(t, "more", "len", ["site"], 9).collect()] == ["d", "c", "a", "b"]
+    cells = spark.createDataFrame([("s", 1), ("s", 3), ("t", 8)], "site string, n long")
+    targets = {k: {r["site"]: r["target"] for r in grid.support(cells, **o).collect()} for k, o in (("own", {}), ("shared", {"shared": True}), ("given", {"target": 6}))}
+    assert targets == {"own": {"s": 2.0, "t": 8.0}, "shared": {"s": 3.0, "t": 3.0}, "given": {"s": 6.0, "t": 6.0}}
