@@ -134,6 +134,34 @@ def understatement(spans: DataFrame) -> DataFrame:
     return out
 
 
+# -- errors that records hide ------------------------------------------------------------------------------------
+
+
+def block_errors(cells: DataFrame) -> DataFrame:
+    """``site, row, col, error`` of blocks of ``cells(site, row, col, error)``: the root mean square over those of the four cells that have an error; null if none has."""
+    b = blocks(cells, "error")
+    e = [F.col(f"error{k}") for k in range(4)]
+    known = sum((x.isNotNull().cast("int") for x in e[1:]), e[0].isNotNull().cast("int"))
+    square = sum((F.coalesce(x * x, F.lit(0.0)) for x in e[1:]), F.coalesce(e[0] * e[0], F.lit(0.0)))
+    return b.select("site", "row", "col", F.when(known > 0, F.sqrt(square / known)).alias("error"))
+
+
+def hidden_errors(edges: DataFrame, keys: list[str], solid: float) -> DataFrame:
+    """By span ``site, keys`` of ``edges(site, keys, seq, confidence, error)``: whether the record of its end edges claims more than some
+    edge between them has (``promoted``), the mean error of those edges (``hidden``) and of the ends (``ends``), the greatest error (``most``),
+    and whether the ends are solid and all of its edges are.
+    """
+    inner = F.array_sort(F.collect_list(F.struct("seq", "confidence", "error")))  # the edges of one span
+    s = edges.groupBy("site", *keys).agg(inner.alias("e"), F.min("confidence").alias("least"), F.max("error").alias("most"))
+    first, last = F.element_at("e", 1), F.element_at("e", -1)
+    s = s.withColumn("says", F.least(first["confidence"], last["confidence"]))
+    between = F.slice("e", F.lit(2), F.greatest(F.size("e") - 2, F.lit(0)))
+    hidden = F.filter(between, lambda x: x["confidence"] < F.col("says") - 1e-12)
+    mean = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda t, v: t + v) / F.size(a))
+    errors = lambda a: F.filter(F.transform(a, lambda x: x["error"]), lambda v: v.isNotNull())
+    return s.select("site", *keys, (F.size(hidden) > 0).alias("promoted"), mean(errors(hidden)).alias("hidden"), mean(errors(F.array(first, last))).alias("ends"), "most", (F.col("says") >= solid).alias("solid"), (F.col("least") >= solid).alias("all_solid"))
+
+
 # -- results compared --------------------------------------------------------------------------------------------
 
 

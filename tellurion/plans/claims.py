@@ -41,10 +41,8 @@ def provenance_by_grade(spark, sf_dir):
     return found.groupBy("grade").agg(F.count("*").alias("spans"), F.count_if("grade_loss").alias("grade_loss"), F.count_if("typed_loss").alias("typed_loss"))
 
 
-def position_uncertainty(spark, sf_dir):
-    """Horizontal uncertainty of simplified contours by site, and what records of the two end edges understate of it."""
-    measured = grid.to_cells(points(spark, sf_dir), COLS, ROWS)
-    cells = rounded(field_cells(spark, sf_dir).where("coverage = 'measured'"), "z")
+def _spans_of(cells):
+    """Segments of the contours of cells with the span of simplified lines that replaces each: ``site, line_id, span, seq, row, col, len, confidence``."""
     edges = stitching.stitched(stitching.numbered(contours.segments(cells, 1.0, parts=True)), tile=32)
     key = F.concat_ws("/", "site", F.col("level").cast("long"), "line").alias("line_id")
     v = stitching.line_vertices(edges)
@@ -52,7 +50,30 @@ def position_uncertainty(spark, sf_dir):
     v = rounded(v.unionByName(again), "x", "y").select("site", key, F.lit(0).alias("run"), "seq", "x", "y")
     kept = simplify.thinned(v, CELL_TOLERANCE, {"keep": None}).withColumn("span", F.count_if("keep").over(Window.partitionBy("line_id").orderBy("seq")))
     length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
-    placed = edges.select("site", key, F.col("place").alias("seq"), "row", "col", length.alias("len")).join(kept.select("line_id", "seq", "span"), ["line_id", "seq"])
+    return edges.select("site", key, F.col("place").alias("seq"), "row", "col", length.alias("len"), "confidence").join(kept.select("line_id", "seq", "span"), ["line_id", "seq"])
+
+
+def hidden_edges(spark, sf_dir):
+    """Contours of half of the points, checked by the other half: spans whose ends hide weaker edges, how often these have the larger error,
+    and spans that are solid by their ends, kept by all edges or not, with their mean greatest error."""
+    built = rounded(field_cells(spark, sf_dir, "(l_orderkey + l_linenumber) % 2 = 0").where("coverage = 'measured'"), "z")
+    held = grid.to_cells(points(spark, sf_dir, "(l_orderkey + l_linenumber) % 2 = 1"), COLS, ROWS).groupBy(*grid.CELL).agg(F.avg("z").alias("held"))
+    errors = audits.block_errors(built.join(held, grid.CELL, "left").select(*grid.CELL, F.abs(F.col("held") - F.col("z")).alias("error")))
+    found = audits.hidden_errors(_spans_of(built).join(errors, grid.CELL), ["line_id", "span"], grid.SOLID)
+    both = F.col("promoted") & F.col("hidden").isNotNull() & F.col("ends").isNotNull()
+    scored = F.col("solid") & F.col("most").isNotNull()
+    out = found.groupBy("site").agg(
+        F.count("*").alias("spans"), F.count_if("promoted").alias("promoted"), F.count_if(both).alias("scored"), F.count_if(both & (F.round(F.col("hidden") - F.col("ends"), 9) > 0)).alias("worse"),
+        F.count_if(scored & F.col("all_solid")).alias("kept"), F.count_if(scored & ~F.col("all_solid")).alias("downgraded"), F.avg(F.when(scored & ~F.col("all_solid"), F.col("most"))).alias("error_downgraded"), F.avg(F.when(scored & F.col("all_solid"), F.col("most"))).alias("error_kept"),
+    )
+    return rounded(out, "error_downgraded", "error_kept", to=5)
+
+
+def position_uncertainty(spark, sf_dir):
+    """Horizontal uncertainty of simplified contours by site, and what records of the two end edges understate of it."""
+    measured = grid.to_cells(points(spark, sf_dir), COLS, ROWS)
+    cells = rounded(field_cells(spark, sf_dir).where("coverage = 'measured'"), "z")
+    placed = _spans_of(cells)
     u = audits.block_uncertainty(cells.join(profiles.standard_errors(measured), grid.CELL))
     out = audits.understatement(audits.understated(placed.join(u, grid.CELL), ["line_id", "span"]))
     return rounded(out, *(c for c in out.columns if c not in ("site", "spans")), to=4)
@@ -95,13 +116,27 @@ def compared_tolerances(spark, sf_dir):
     return met.groupBy("state").agg(F.count("*").alias("lines"), F.sum("retained").alias("retained"), F.sum("last").alias("last"))
 
 
-QUERIES = {f.__name__: f for f in (shared_targets, worst_spans, split_bins, compared_tolerances, checkpoint_audit, dissolve_audit, provenance_by_grade, position_uncertainty)}
+QUERIES = {f.__name__: f for f in (hidden_edges, shared_targets, worst_spans, split_bins, compared_tolerances, checkpoint_audit, dissolve_audit, provenance_by_grade, position_uncertainty)}
 
 _BAND = "CASE WHEN {0} >= 66 THEN 'solid' WHEN {0} >= 33 THEN 'dashed' ELSE 'gap' END"
 _SETS = "CASE {0} WHEN 'X' THEN ['I', 'M'] ELSE [{0}] END"
+#: Vertices of the lines, simplified.
+_SPANS = f"""lv2 AS (SELECT site, site || '/' || CAST(level AS BIGINT) || '/' || line AS line_id, 0 AS run, place AS seq, round(x1, 6) AS x, round(y1, 6) AS y FROM ln
+          UNION ALL SELECT site, site || '/' || CAST(level AS BIGINT) || '/' || line, 0, place + 1, round(x2, 6), round(y2, 6) FROM ln WHERE place = n - 1), {_PLAIN_LINES.format("lv2")}, {_thinned('dp', 'is_end', CELL_TOLERANCE, 'fl2', 'ol2')}"""
+_HALF = _MEASURED.replace("l_suppkey FROM lineitem)", "l_suppkey FROM lineitem WHERE (l_orderkey + l_linenumber) % 2 = 0)", 1)
 _CLASS = "prov || '|' || coalesce(CAST({m} AS VARCHAR), '-') || '|' || coalesce(CAST({i} AS VARCHAR), '-')"
 _BINNED = ", ".join(f"fb{w} AS (SELECT line_id, run, seq, x, y, is_end, coalesce(k <> lag(k) OVER q, false) AS at_bin FROM (SELECT *, {_CLASS.format(m='m' if w == 0 else f'CAST(floor(m / {w}) AS BIGINT)', i='i' if w == 0 else f'CAST(floor(i / {w}) AS BIGINT)')} AS k FROM f) WINDOW q AS (PARTITION BY line_id, run ORDER BY seq)), {_thinned(f'bin{w}', 'is_end OR at_bin', f=f'fb{w}')}" for w in BINS)
 SQL = {
+    "hidden_edges": f"""WITH RECURSIVE {_HALF}, {_SPANS},
+        hc AS (SELECT l_returnflag AS site, CAST(least(99, floor(y)) AS INTEGER) AS r, CAST(least(99, floor(x)) AS INTEGER) AS c, avg(0.08::DOUBLE * x + 0.06::DOUBLE * y + 5 * l_tax) AS held FROM (SELECT *, (l_partkey % 1000) / 10.0::DOUBLE AS x, (l_orderkey % 1000) / 10.0::DOUBLE AS y FROM lineitem WHERE (l_orderkey + l_linenumber) % 2 = 1) GROUP BY ALL),
+        he AS (SELECT s6.site, s6."row" AS r, s6.col AS c, abs(hc.held - s6.z) AS e FROM s6 JOIN hc ON hc.site = s6.site AND hc.r = s6."row" AND hc.c = s6.col WHERE s6.coverage = 'measured'),
+        hd AS (SELECT ln.site, dp_s.line_id, dp_s.span, ln.place, any_value(ln.confidence) AS confidence, sqrt(avg(he.e * he.e)) AS error FROM ln JOIN dp_s ON dp_s.line_id = ln.site || '/' || CAST(ln.level AS BIGINT) || '/' || ln.line AND dp_s.seq = ln.place
+          LEFT JOIN he ON he.site = ln.site AND he.r - (ln.seg >> 33) BETWEEN 0 AND 1 AND he.c - ((ln.seg >> 1) & 4294967295) BETWEEN 0 AND 1 GROUP BY ln.site, dp_s.line_id, dp_s.span, ln.place),
+        hs AS (SELECT *, least(first_value(confidence) OVER w, last_value(confidence) OVER w) AS says, min(place) OVER p AS a, max(place) OVER p AS b FROM hd WINDOW p AS (PARTITION BY site, line_id, span), w AS (PARTITION BY site, line_id, span ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+        hg AS (SELECT site, line_id, span, any_value(says) AS says, min(confidence) AS least, max(error) AS most, count(*) FILTER (place > a AND place < b AND confidence < says - 1e-12) > 0 AS promoted, avg(error) FILTER (place > a AND place < b AND confidence < says - 1e-12) AS hidden,
+          list_avg(list_filter([arg_min({{'e': error}}, place).e, arg_max({{'e': error}}, place).e], lambda v: v IS NOT NULL)) AS ends FROM hs GROUP BY ALL)
+        SELECT site, count(*) AS spans, count(*) FILTER (promoted) AS promoted, count(*) FILTER (promoted AND hidden IS NOT NULL AND ends IS NOT NULL) AS scored, count(*) FILTER (promoted AND hidden IS NOT NULL AND ends IS NOT NULL AND round(hidden - ends, 9) > 0) AS worse,
+          count(*) FILTER (says >= 66 AND most IS NOT NULL AND least >= 66) AS kept, count(*) FILTER (says >= 66 AND most IS NOT NULL AND least < 66) AS downgraded, round(avg(most) FILTER (says >= 66 AND least < 66), 5) AS error_downgraded, round(avg(most) FILTER (says >= 66 AND least >= 66), 5) AS error_kept FROM hg GROUP BY site""",
     "shared_targets": f"""WITH {_FIELD}, ct AS (SELECT site, 'own' AS target_of, quantile_cont(n, 0.5) AS target FROM m GROUP BY site UNION ALL SELECT s0.site, 'shared', (SELECT quantile_cont(n, 0.5) FROM m) FROM (SELECT DISTINCT site FROM m) s0 UNION ALL SELECT DISTINCT site, 'given', {GIVEN} FROM m)
         SELECT m.site, target_of, ct.target::DOUBLE AS target, count(*) AS cells, round(avg(floor(100 * least(1.0::DOUBLE, n / ct.target) * n / (n + 3) + 0.5)), 6) AS mean_confidence FROM m JOIN ct ON ct.site = m.site GROUP BY ALL""",
     "worst_spans": f"""WITH {_EDGES}, ws AS (SELECT line_id, span, sum(len) AS len, least(arg_min({{'v': m}}, seq).v, arg_max({{'v': m}}, seq).v) - min(m) AS promotion FROM s GROUP BY line_id, span)
@@ -122,8 +157,7 @@ SQL = {
     "provenance_by_grade": f"""WITH {_EDGES}, gl AS (SELECT line_id, span, min(least(m, i)) AS c, list_distinct(flatten(list({_SETS.format('prov')}))) AS truth, list_concat({_SETS.format('arg_min(prov, seq)')}, {_SETS.format('arg_max(prov, seq)')}) AS typed FROM s GROUP BY line_id, span),
         gg AS (SELECT *, {_BAND.format('c')} AS grade FROM gl) SELECT grade, count(*) AS spans, count(*) FILTER (len(list_filter(truth, lambda p: p <> CASE grade WHEN 'solid' THEN 'M' WHEN 'dashed' THEN 'I' ELSE 'U' END)) > 0) AS grade_loss,
           count(*) FILTER (len(list_filter(truth, lambda p: NOT list_contains(typed, p))) > 0) AS typed_loss FROM gg GROUP BY grade""",
-    "position_uncertainty": f"""WITH RECURSIVE {_MEASURED}, lv2 AS (SELECT site, site || '/' || CAST(level AS BIGINT) || '/' || line AS line_id, 0 AS run, place AS seq, round(x1, 6) AS x, round(y1, 6) AS y FROM ln
-          UNION ALL SELECT site, site || '/' || CAST(level AS BIGINT) || '/' || line, 0, place + 1, round(x2, 6), round(y2, 6) FROM ln WHERE place = n - 1), {_PLAIN_LINES.format("lv2")}, {_thinned('dp', 'is_end', CELL_TOLERANCE, 'fl2', 'ol2')},
+    "position_uncertainty": f"""WITH RECURSIVE {_MEASURED}, {_SPANS},
         sd AS (SELECT site, "row" AS r, col AS c, sqrt((coalesce(var_samp(z), 0) + 0.0025::DOUBLE) / count(*)) AS se FROM c GROUP BY ALL),
         q4 AS (SELECT s6.site, s6."row" AS r, s6.col AS c, s6.z, sd.se FROM s6 JOIN sd ON sd.site = s6.site AND sd.r = s6."row" AND sd.c = s6.col WHERE s6.coverage = 'measured'),
         bu AS (SELECT a.site, a.r, a.c, greatest(a.se, b.se, d.se, e.se) AS se, sqrt((((b.z + d.z) - (a.z + e.z)) / 2) ** 2 + (((d.z + e.z) - (a.z + b.z)) / 2) ** 2) AS slope FROM q4 a JOIN q4 b ON b.site = a.site AND b.r = a.r AND b.c = a.c + 1 JOIN q4 d ON d.site = a.site AND d.r = a.r + 1 AND d.c = a.c + 1 JOIN q4 e ON e.site = a.site AND e.r = a.r + 1 AND e.c = a.c),

@@ -50,8 +50,9 @@ def despiked_floor(spark, sf_dir):
     return rounded(grid.despiked(grid.to_cells(points(spark, sf_dir), COLS, ROWS), 5), "floor")
 
 
-def field_cells(spark, sf_dir) -> DataFrame:
-    cells = grid.to_cells(points(spark, sf_dir), COLS, ROWS).groupBy(*grid.CELL).agg(F.count("*").alias("n"), F.avg("z").alias("z"))
+def field_cells(spark, sf_dir, where: str = "true") -> DataFrame:
+    """The support field of the given points, or of those for whose rows ``where`` holds."""
+    cells = grid.to_cells(points(spark, sf_dir, where), COLS, ROWS).groupBy(*grid.CELL).agg(F.count("*").alias("n"), F.avg("z").alias("z"))
     return fill.support_field(cells, ROWS, COLS, radius=RADIUS, tile=32)
 
 

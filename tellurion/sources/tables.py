@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``site, x, y, z`` of lineitem rows."""
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+def points(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """``site, x, y, z`` of lineitem rows, or of those for which ``where`` holds."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(where)
     x, y = (F.col("l_partkey") % 1000) / 10.0, (F.col("l_orderkey") % 1000) / 10.0
     return t.select(F.col("l_returnflag").alias("site"), x.alias("x"), y.alias("y"), (0.08 * x + 0.06 * y + 5 * F.col("l_tax")).alias("z"))
 

@@ -56,3 +56,13 @@ def test_worst_and_targets(spark):
     cells = spark.createDataFrame([("s", 1), ("s", 3), ("t", 8)], "site string, n long")
     targets = {k: {r["site"]: r["target"] for r in grid.support(cells, **o).collect()} for k, o in (("own", {}), ("shared", {"shared": True}), ("given", {"target": 6}))}
     assert targets == {"own": {"s": 2.0, "t": 8.0}, "shared": {"s": 3.0, "t": 3.0}, "given": {"s": 6.0, "t": 6.0}}
+
+
+def test_hidden_errors(spark):
+    """An edge between the ends that is weaker than both is hidden; blocks take the errors that they have."""
+    rows = [(1, 0, 80, 1.0), (1, 1, 40, 3.0), (1, 2, 90, None), (2, 0, 70, 2.0), (2, 1, 75, 1.0), (3, 0, 50, None), (4, 0, 70, None), (4, 1, 10, None), (4, 2, 70, 0.5)]
+    e = spark.createDataFrame([("s", *r) for r in rows], "site string, span int, seq int, confidence int, error double")
+    got = {r["span"]: tuple(r)[2:] for r in audits.hidden_errors(e, ["span"], 66).collect()}
+    assert got == {1: (True, 3.0, 1.0, 3.0, True, False), 2: (False, None, 1.5, 2.0, True, True), 3: (False, None, None, None, False, False), 4: (True, None, 0.5, 0.5, True, False)}
+    cells = spark.createDataFrame([("s", 0, 0, 3.0), ("s", 0, 1, None), ("s", 1, 0, 4.0), ("s", 1, 1, None), ("s", 0, 2, None), ("s", 1, 2, None)], "site string, row int, col int, error double")
+    assert {r["col"]: r["error"] for r in audits.block_errors(cells).collect()} == {0: pytest.approx((25 / 2) ** 0.5), 1: None}
