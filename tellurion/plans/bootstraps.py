@@ -74,17 +74,14 @@ def merged_bootstrap(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (paired_bootstrap, rate_bootstrap, median_bootstrap, merged_bootstrap)}
 
-#: Bits of a draw's number that the SQL can take.
-BITS = 24
-
-
 def _draws(units: str) -> str:
-    """Draws of every replicate over the rows of ``units``: the generator's state after any number of steps, bit by bit of that number."""
+    """Draws of every replicate over the rows of ``units``: the generator's state after any number of steps, bit by bit of that number, as many bits as the query takes."""
+    steps = bootstrap.matrices()
     out = f"""un AS (SELECT *, row_number() OVER (ORDER BY line_id % 1024, line_id) - 1 AS number, count(*) OVER () AS total FROM {units}),
   z0 AS (SELECT r, total, r * total + number + 1 AS k, {SEED}::BIGINT AS s FROM un, range({REPLICATES}) x(r))"""
-    for bit, m in enumerate(bootstrap.matrices()[:BITS]):
+    for bit, m in enumerate(steps):
         out += f""", z{bit + 1} AS (SELECT r, total, k, CASE WHEN (k >> {bit}) & 1 = 1 THEN list_reduce(list_transform({m.tolist()}::BIGINT[], lambda c, i: CASE WHEN (s >> (i - 1)) & 1 = 1 THEN c ELSE 0 END), lambda a, b: xor(a, b)) ELSE s END AS s FROM z{bit})"""
-    return out + f", dr AS (SELECT r, CAST(floor(s / 4294967296.0::DOUBLE * total) AS BIGINT) AS number, count(*) AS times FROM z{BITS} GROUP BY ALL)"
+    return out + f", dr AS (SELECT r, CAST(floor(s / 4294967296.0::DOUBLE * total) AS BIGINT) AS number, count(*) AS times FROM z{len(steps)} GROUP BY ALL)"
 
 
 _INTERVAL = "round(quantile_cont({0}, 0.025), 5) AS {0}_low, round(quantile_cont({0}, 0.975), 5) AS {0}_high"

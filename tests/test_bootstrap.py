@@ -4,6 +4,7 @@ import math
 from collections import Counter
 from statistics import median
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -95,3 +96,14 @@ def test_merged_intervals_are_near_those_of_draws(spark):
     for name in ("endpoint_fa", "endpoint_wr", "complete_wr"):
         (a, b), (c, d) = ((x[f"{name}_low"], x[f"{name}_high"]) for x in (by_draws, merged))
         assert abs(a - c) < 0.25 * (b - a) and abs(b - d) < 0.25 * (b - a) and 0.8 < (d - c) / (b - a) < 1.25
+
+
+def test_sql_draws_over_many_lines():
+    """Beyond 2**24 draws, the SQL's are the generator's as well."""
+    from tellurion.plans import bootstraps
+
+    n, r = 90_000, 199
+    sql = f"WITH ol AS (SELECT range AS line_id FROM range({n})), {bootstraps._draws('ol')} SELECT number, times FROM dr".replace(f"range({bootstraps.REPLICATES})", f"range({r}, {r + 1})")
+    s = bootstrap.advanced(bootstraps.SEED, r * n + 1 + np.arange(n))
+    number, times = np.unique(np.floor(s / 4294967296.0 * n).astype(np.int64), return_counts=True)
+    assert sorted(duckdb.connect().execute(sql).fetchall()) == list(zip(number.tolist(), times.tolist(), strict=True))
