@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellurion.operators.statistics import numbered, rank_correlation, running
+from tellurion.operators.statistics import dealt, numbered, parts, rank_correlation, running
+from tellurion.sources.shared import written
 
 #: Draws that one row of work makes, and rows of work that are taken together.
 BLOCK, TOGETHER = 4096, 64
@@ -77,15 +78,17 @@ def draws(spark: SparkSession, seed: int, units: int, replicates: int) -> DataFr
                 key, times = np.unique(np.concatenate(keys), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array((key // units).astype(np.int32)), pa.array(key % units), pa.array(times)], names=["replicate", "number", "times"])
 
-    rows = spark.range(replicates * blocks).mapInArrow(run, "replicate int, number long, times long")
-    return rows.groupBy("replicate", "number").agg(F.sum("times").alias("times"))
+    tasks = parts(units, replicates)
+    rows = spark.range(0, replicates * blocks, 1, tasks).mapInArrow(run, "replicate int, number long, times long")
+    # Dealt by number, as the units are, so that counting needs no more than a task's own draws and joining no other exchange.
+    return rows.repartition(tasks, "number").groupBy("replicate", "number").agg(F.sum("times").alias("times"))
 
 
 def replicated(units: DataFrame, key: str, seed: int, replicates: int) -> DataFrame:
     """``units`` once for each replicate that draws them, with ``replicate`` and ``times``. ``key`` is a unique integer; units are numbered as by ``numbered``."""
-    placed = numbered(units, key)
-    n = units.count()
-    return draws(units.sparkSession, seed, n, replicates).join(placed, "number").drop("number") if n else placed.select(F.lit(0).alias("replicate"), F.lit(0).cast("long").alias("times"), *units.columns)
+    placed = written(numbered(units, key))
+    n = placed.count()
+    return dealt(draws(units.sparkSession, seed, n, replicates), placed, n, replicates) if n else placed.select(F.lit(0).alias("replicate"), F.lit(0).cast("long").alias("times"), *units.columns)
 
 
 def ratios(units: DataFrame, key: str, measures: dict[str, tuple[str, str, float]], seed: int, replicates: int) -> DataFrame:
@@ -96,12 +99,22 @@ def ratios(units: DataFrame, key: str, measures: dict[str, tuple[str, str, float
 
 def means(units: DataFrame, key: str, value: str, seed: int, replicates: int) -> DataFrame:
     """``replicate, mean``: the mean of the drawn units' values."""
-    return replicated(units.select(key, value), key, seed, replicates).groupBy("replicate").agg((F.sum(F.col("times") * F.col(value)) / F.sum("times")).alias("mean"))
+    return means_of(replicated(units.select(key, value), key, seed, replicates), value)
+
+
+def means_of(drawn: DataFrame, value: str) -> DataFrame:
+    return drawn.groupBy("replicate").agg((F.sum(F.col("times") * F.col(value)) / F.sum("times")).alias("mean"))
 
 
 def correlations(units: DataFrame, key: str, a: str, b: str, seed: int, replicates: int) -> DataFrame:
     """``replicate, n, rho``: Spearman's coefficient over the drawn units, each as often as it was drawn."""
-    return rank_correlation(replicated(units.select(key, a, b), key, seed, replicates), "replicate", a, b, weight="times")
+    return rank_correlation(pairs(units, key, a, b, seed, replicates), "replicate", a, b, weight="times")
+
+
+def pairs(units: DataFrame, key: str, a: str, b: str, seed: int, replicates: int) -> DataFrame:
+    """``replicate, a, b, times``: how often units with these values were drawn. Written, since what ranks them reads them time and again."""
+    drawn = replicated(units.select(key, a, b), key, seed, replicates)
+    return written(drawn.groupBy("replicate", a, b).agg(F.sum("times").alias("times")))
 
 
 def middle_of(values: DataFrame, by: str, value: str, weight: str) -> DataFrame:

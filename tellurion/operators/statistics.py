@@ -39,7 +39,8 @@ def rank_correlation(df: DataFrame, by: str, a: str, b: str, weight: str | None
         upto = running(pairs.groupBy(by, value).agg(F.sum("w").alias("w")), by, value, "w")
         return upto.select(by, value, (F.col("upto") - (F.col("w") - 1) / 2.0).alias(name))
 
-    met = pairs.join(ranks(a, "ra"), [by, a]).join(ranks(b, "rb"), [by, b])
+    # Ranks grow with the values: merged, so that they don't pass the driver.
+    met = pairs.join(ranks(a, "ra").hint("merge"), [by, a]).join(ranks(b, "rb").hint("merge"), [by, b])
     n, mean = F.sum("w"), (F.sum("w") + 1) / 2.0
     dot = F.sum(F.col("w") * F.col("ra") * F.col("rb")) - n * mean * mean
     va, vb = (F.sum(F.col("w") * F.col(r) * F.col(r)) - n * mean * mean for r in ("ra", "rb"))
@@ -100,6 +101,8 @@ def distribution(by_unit: DataFrame, keys: list[str], rate: str) -> DataFrame:
 
 # -- seeded draws ------------------------------------------------------------------------------------------------
 
+#: Draws that one task makes or takes.
+DRAWS = 1 << 19
 _MASK = 0xFFFFFFFF
 
 
@@ -136,6 +139,17 @@ def numbered(df: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
     return placed.join(F.broadcast(counts.select("__bucket", before.alias("__before"))), "__bucket").withColumn("number", (own + F.col("__before")).cast("long")).drop("__bucket", "__before")
 
 
+def parts(units: int, replicates: int) -> int:
+    """Tasks that make, or take, the draws of so many units and replicates: each about ``DRAWS`` of them, so that its memory doesn't grow with the units."""
+    return max(1, -(-units * replicates // DRAWS))
+
+
+def dealt(drawn: DataFrame, placed: DataFrame, units: int, replicates: int) -> DataFrame:
+    """``drawn(number, ...)`` with the units of these numbers. Both are dealt by number over ``parts``; a task holds its own units and passes the draws by."""
+    k = parts(units, replicates)
+    return drawn.repartition(k, "number").join(placed.repartition(k, "number").hint("shuffle_hash"), "number").drop("number")
+
+
 def bootstrap_ratio(units: DataFrame, key: str, top: str, bottom: str, seed: int, replicates: int) -> DataFrame:
     """``replicate, ratio``: the ratio of sums over as many units as there are, drawn with replacement.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellurion.operators import bootstrap, evidence
+from tellurion.operators.statistics import rank_correlation
 from tellurion.plans import records
 from tellurion.plans.records import rounded
 from tellurion.sources.tables import vertices
@@ -46,8 +47,8 @@ def rate_bootstrap(spark, sf_dir):
     """Mean of the lines' promotion rates and its rank correlation with their spans, over lines that are rated."""
     judged = evidence.promotions(evidence.span_records(_edges(spark, sf_dir)))
     rated = judged.groupBy("line_id").agg(F.count("*").alias("spans"), F.count_if("promoted").alias("promoted")).where(F.col("spans") >= RATED).withColumn("rate", F.col("promoted") / F.col("spans"))
-    mean = bootstrap.means(rated, "line_id", "rate", SEED, REPLICATES)
-    rho = bootstrap.correlations(rated, "line_id", "spans", "rate", SEED, REPLICATES)
+    drawn = bootstrap.pairs(rated, "line_id", "spans", "rate", SEED, REPLICATES)
+    mean, rho = bootstrap.means_of(drawn, "rate"), rank_correlation(drawn, "replicate", "spans", "rate", weight="times")
     met = mean.join(rho.select("replicate", "rho"), "replicate")
     out = met.agg(F.count("*").alias("replicates"), F.sum("mean").alias("means"), *bootstrap.interval(met, "mean", "rho"))
     return rounded(out, "means", "mean_low", "mean_high", "rho_low", "rho_high")

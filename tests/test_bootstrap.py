@@ -1,6 +1,7 @@
 """Draws, replicates and their statistics against a sequential generator and plain lists."""
 
 import math
+import re
 from collections import Counter
 from statistics import median
 
@@ -98,6 +99,20 @@ def test_merged_intervals_are_near_those_of_draws(spark):
         assert abs(a - c) < 0.25 * (b - a) and abs(b - d) < 0.25 * (b - a) and 0.8 < (d - c) / (b - a) < 1.25
 
 
+def _ran(df):
+    """The rows, and the plan as it was run."""
+    return df.collect(), df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_do_not_pass_the_driver(spark):
+    """Where a replicate's values are many, so are their ranks: these are merged with the values, however few they are."""
+    units = spark.range(500).selectExpr("id", "id * 37 % 101 as a", "id * 53 % 89 / 7 as b")
+    rows, plan = _ran(bootstrap.correlations(units, "id", "a", "b", 3, 20))
+    assert len(rows) == 20 and all(r["n"] == 500 for r in rows)
+    for c in "ab":
+        assert re.search(rf"SortMergeJoin \[replicate#\d+, [^\]]*\b{c}#", plan)
+
+
 def test_sql_draws_over_many_lines():
     """Beyond 2**24 draws, the SQL's are the generator's as well."""
     from tellurion.plans import bootstraps
