@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tellurion.sources.shared import written
+
 #: Fixed value: the normal deviate of a two-sided 95 % interval.
 Z95 = 1.959963984540054
 
@@ -153,18 +155,16 @@ def dealt(drawn: DataFrame, placed: DataFrame, units: int, replicates: int) -> D
 def bootstrap_ratio(units: DataFrame, key: str, top: str, bottom: str, seed: int, replicates: int) -> DataFrame:
     """``replicate, ratio``: the ratio of sums over as many units as there are, drawn with replacement.
 
-    Draw ``j`` of replicate ``r`` takes unit ``floor(u n)`` of the generator's number ``r n + j``. How often a unit is
-    drawn is counted before the units' values are joined.
+    Draw ``j`` of replicate ``r`` takes unit ``floor(u n)`` of the generator's number ``r n + j``.
     """
-    placed = numbered(units.select(key, top, bottom), key)
-    n = placed.agg(F.count("*").alias("of"))
-    draws = placed.select(F.col("number").alias("j")).join(F.broadcast(n)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = with_draw(draws, seed, F.col("replicate") * F.col("of") + F.col("j"), "u")
+    placed = written(numbered(units.select(key, top, bottom), key))
+    n = placed.count()
+    ids = units.sparkSession.range(0, n * replicates, 1, parts(n, replicates))
+    drawn = with_draw(ids.withColumn("replicate", F.floor(F.col("id") / n).cast("int")), seed, F.col("id"), "u")
     # Never null, so that the join adds no test of it, which would go down through all the steps of a draw.
-    drawn = drawn.select("replicate", F.coalesce(F.floor(F.col("u") * F.col("of")), F.lit(0)).alias("number"))
-    times = drawn.groupBy("replicate", "number").agg(F.count("*").alias("times"))
-    met = times.join(placed, "number")
-    return met.groupBy("replicate").agg(F.try_divide(F.sum(F.col("times") * F.col(top)), F.sum(F.col("times") * F.col(bottom))).alias("ratio"))
+    drawn = drawn.select("replicate", F.coalesce(F.floor(F.col("u") * n), F.lit(0)).alias("number"))
+    met = dealt(drawn, placed, n, replicates)
+    return met.groupBy("replicate").agg(F.try_divide(F.sum(top), F.sum(bottom)).alias("ratio"))
 
 
 def concentration(units: DataFrame, top: str, bottom: str, key: str, k: int = 3) -> DataFrame:

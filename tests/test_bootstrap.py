@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tellurion.operators import bootstrap
+from tellurion.operators import bootstrap, statistics
 
 
 def _xorshift(seed):
@@ -113,6 +113,20 @@ def test_ranks_do_not_pass_the_driver(spark):
         assert re.search(rf"SortMergeJoin \[replicate#\d+, [^\]]*\b{c}#", plan)
 
 
+def test_draws_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks follow the draws, not the units' few bytes: a task makes and takes no more draws of more units."""
+    monkeypatch.setattr(statistics, "DRAWS", 1000, raising=False)
+    units = spark.range(300).selectExpr("id", "id % 7 as top", "1 + id % 5 as bottom")
+    rows, plan = _ran(statistics.bootstrap_ratio(units, "id", "top", "bottom", 9, 20))
+    assert re.search(r"Range \(0, 6000, step=1, splits=6\)", plan) and re.search(r"hashpartitioning\(number#\d+L?, 6\)", plan)
+    u = statistics.with_draw(spark.range(6000), 9, bootstrap.F.col("id"), "u").orderBy("id").toPandas()["u"].to_numpy().reshape(20, 300)
+    of = np.floor(u * 300).astype(int)
+    assert {r["replicate"]: r["ratio"] for r in rows} == pytest.approx(dict(enumerate((of % 7).sum(1) / (1 + of % 5).sum(1))))
+    drawn, plan = _ran(bootstrap.replicated(units, "id", 9, 20))
+    assert "splits=6" in plan and sum(r["times"] for r in drawn) == 6000
+    assert statistics.bootstrap_ratio(units.limit(0), "id", "top", "bottom", 9, 20).isEmpty()
+
+
 def test_sql_draws_over_many_lines():
     """Beyond 2**24 draws, the SQL's are the generator's as well."""
     from tellurion.plans import bootstraps
