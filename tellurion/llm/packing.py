@@ -45,7 +45,7 @@ def _byte_letters() -> dict[int, str]:
 class _Kept(dict):
     """A dictionary that fills itself by ``make``. Once it holds ``LIMIT`` keys, those not met again since the last such change of generation are forgotten."""
 
-    LIMIT, LONG = 200_000, 64
+    LIMIT, LONG = 400_000, 64
 
     def __init__(self, make):
         self.make, self.older = make, {}
@@ -86,8 +86,14 @@ class WordIds:
         def packed(ids: list[int]) -> bytes:
             return struct.pack(f"<{len(ids)}I", *ids)
 
-        pieces = _Kept(lambda x: packed([t.id for t in merge(x if x.isascii() else x.translate(self.BYTES))]))
-        self.plain = _Kept(lambda word: b"".join(map(pieces.__getitem__, cut(word))))
+        def ids(word: str) -> bytes:
+            # Letters are one piece, and most other words are letters and a mark. Pieces are kept among the words, many of which they are.
+            if word.isalpha():
+                return packed([t.id for t in merge(word if word.isascii() else word.translate(self.BYTES))])
+            found = [word[:-1], word[-1]] if word[:-1].isalpha() else cut(word)
+            return b"".join(map(self.plain.__getitem__, found)) if len(found) > 1 else packed([t.id for t in merge(word)])
+
+        self.plain = _Kept(ids)
         self.any = _Kept(lambda word: packed(tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids))
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")

@@ -22,3 +22,15 @@ def test_ids_are_the_tokenizers(path):
     for text in ["hello <|endoftext|> world", *("".join(rng.choices(PARTS, k=rng.randint(1, 12))) for _ in range(4000))]:
         ids = b"".join(words.lines(text.encode()))
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_are_encoded_once(path):
+    """Words that are letters are their own piece and kept once, so that twice as many fit."""
+    words, made = WordIds(path), []
+    make = words.plain.make
+    words.plain.make = lambda x: made.append(x) or make(x)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = " ".join(letters[k % 26] + letters[k // 26 % 26] + letters[k // 676 % 26] + letters[k // 17576] for k in range(390_000)).encode()
+    first = words.lines(text)
+    assert len(made) == 390_000 and words.lines(text + b" aaaa,")[0].startswith(first[0])
+    assert made[390_000:] == ["aaaa,", ","]
