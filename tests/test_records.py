@@ -156,3 +156,25 @@ def test_forced_vertices(spark):
     assert [(r["dp"], r["band"], r["exact"]) for r in kept.orderBy("seq").collect()] == [(True,) * 3, (False, True, True), (False,) * 3, (False,) * 3, (True,) * 3]
     scored = evidence.scores(evidence.carried(simplify.edges_within(kept, "dp").withColumnRenamed("dp", "span"), "endpoint"), []).first()
     assert (scored["spans"], scored["promoted"], scored["provenance_loss"]) == (1, 0, 0)
+
+
+def test_methods_compared_on_single_rows(spark):
+    """The totals of scores by method, without a copy of the edges a method or a group of a span."""
+    rng = random.Random(8)
+    rows = []
+    for line in range(40):
+        a = b = 0
+        for seq in range(rng.randint(1, 25)):
+            a, b, prov = a + (rng.random() < 0.3), b + (rng.random() < 0.5), rng.choice("MIX")
+            rows.append((line, seq, rng.random(), prov, rng.randint(0, 99) / 1.0 if prov != "I" else None, rng.randint(0, 99) / 1.0 if prov != "M" else None, a, b))
+    edges = spark.createDataFrame(rows, "line_id long, seq long, len double, prov string, m double, i double, a int, b int")
+    methods = {f"{k}-{rule}": (k, rule) for k in "ab" for rule in evidence.RULES}
+    found = evidence.compared(edges, methods)
+    got = {r["method"]: r.asDict() for r in found.collect()}
+    for name, (k, rule) in methods.items():
+        cut = edges.withColumn("span", F.col(k)).withColumn("method", F.lit(name))
+        want = evidence.scores(evidence.carried(cut, rule, ("method", "line_id", "span")), ["method"]).first().asDict()
+        assert {c: v for c, v in got[name].items() if c != "method"} == pytest.approx({c: v for c, v in want.items() if c != "method"})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(got) == 6 and "Expand" not in plan and plan.count("Generate explode") == 1 and plan.count("Aggregate") == 1
+    assert evidence.compared(edges.limit(0), methods).isEmpty()
