@@ -115,3 +115,23 @@ def test_fewest_vertices(condition):
             assert keep.sum() == _fewest(x, y, prov, m, tolerance, condition)
             if condition == "any":
                 assert keep.sum() <= simplify.retained(x, y, ends, tolerance).sum()
+
+
+@pytest.mark.parametrize("condition", simplify.CONDITIONS)
+def test_short_pieces_side_by_side(condition, monkeypatch):
+    """Many short pieces get the vertices that each gets by itself, ties included."""
+    rng, n = np.random.default_rng(6), 3000
+    x, y, fixed = np.cumsum(rng.integers(-2, 9, n)).astype(float), rng.integers(0, 60, n).astype(float), rng.random(n) < 0.1
+    fixed[[0, -1]] = True
+    prov = rng.choice(list("MMMIX"), n).astype(object)
+    columns = {"prov": prov, "m": np.where(prov == "I", np.nan, rng.integers(0, 5, n)), "i": np.where(prov == "M", np.nan, rng.integers(0, 5, n))}
+    together = simplify.fewest(x, y, fixed, 20.0, columns=columns, condition=condition)
+    monkeypatch.setattr(simplify, "SHORT", 0)
+    assert (together == simplify.fewest(x, y, fixed, 20.0, columns=columns, condition=condition)).all()
+
+
+def test_lines_are_read_once_for_all_conditions(spark):
+    from tellurion.plans import records
+
+    plan = records.fewest_vertices(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
